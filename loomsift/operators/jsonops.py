@@ -44,16 +44,17 @@ def json_profile(docs: DataFrame, keys: Sequence[str], text: str = "text",
     Documents are opened level by level in one narrow pass without an exchange.
     A document nested deeper than ``max_depth`` fails the job; nothing is cut.
     """
-    keys = list(keys)
-    cur = (docs.select(*keys, parse_json(F.col(text)).alias("v"))
+    names, keys = list(keys), [f"_key{i}" for i in range(len(keys))]
+    cur = (docs.select(*[F.col(c).alias(k) for c, k in zip(names, keys)], parse_json(F.col(text)).alias("v"))
            .where(F.col("v").isNotNull())
            .select(*keys, F.lit("$").alias("path"), "v", F.lit(False).alias("redacted"),
                    F.lit(True).alias("open")))
     spark = docs.sparkSession
     for _ in range(max_depth):
-        # An open container stays as a row of its own and is opened next to it.
-        container = F.col("open") & ~F.col("redacted") & (_is_object("v") | _is_array("v"))
-        cur = cur.withColumn("copy", F.explode(F.when(container, F.array(F.lit(0), F.lit(1)))
+        # An open value stays as a row of its own and is opened next to it; a
+        # scalar has nothing inside and its second copy falls away.
+        more = F.col("open") & ~F.col("redacted")
+        cur = cur.withColumn("copy", F.explode(F.when(more, F.array(F.lit(0), F.lit(1)))
                                                .otherwise(F.array(F.lit(0)))))
         cur = cur.withColumn("inner", F.when(F.col("copy") == 1, F.col("v")))
         cur = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("inner").outer()))
@@ -79,7 +80,7 @@ def json_profile(docs: DataFrame, keys: Sequence[str], text: str = "text",
         .otherwise(plain)
     n_items = F.when(_is_array("v"), F.size(F.variant_get("v", "$", "array<variant>")))
     return cur.select(
-        *keys,
+        *[F.col(k).alias(c) for c, k in zip(names, keys)],
         F.when(deep, F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")))
         .otherwise(F.col("path")).alias("path"),
         F.when(F.col("redacted"), "redacted").otherwise(type_name).alias("type"),

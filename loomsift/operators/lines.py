@@ -185,7 +185,7 @@ def context_rows(lines: DataFrame, stream: Sequence[str], chunk: str, order: Seq
     # Hits from other chunks can only be edge lines themselves: small side.
     edges = rows.where(edge)
     seam = Window.partitionBy(*stream).orderBy("_pos").rangeBetween(-context, context)
-    far = edges.withColumn("_near", F.max("_hit").over(seam))
+    far = edges.withColumn("_near", F.greatest("_near", F.max("_hit").over(seam)))
     both = rows.where(~edge).unionByName(far)
     return both.where(F.col("_near") == 1).drop("_hit", "_near", "_low", "_high", "_pos")
 

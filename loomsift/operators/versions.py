@@ -74,6 +74,34 @@ def consecutive_pairs(rows: DataFrame, key: Sequence[str], version: str, text: s
     return new.join(old, [*key, version])
 
 
+def _anchor_scan(names: list[str], t: str, ttl: int):
+    """Mark every second of a segment with the time of the entry it meets."""
+    def scan(batches):
+        import numpy as np
+
+        last, anchor = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ts = pdf[t].to_numpy()
+            new = (pdf[names] != pdf[names].shift()).any(axis=1).to_numpy()
+            new[0] = tuple(pdf[names].iloc[0]) != last
+            starts = np.union1d([0], np.flatnonzero(new))
+            out = np.empty(len(ts), dtype="int64")
+            for s, e in zip(starts, np.append(starts[1:], len(ts))):
+                if new[s]:
+                    anchor = ts[s]
+                while s < e:
+                    j = s + int(np.searchsorted(ts[s:e], anchor + ttl, side="left"))
+                    out[s:j] = anchor
+                    if j < e:
+                        anchor = ts[j]
+                    s = j
+            last = tuple(pdf[names].iloc[-1])
+            yield pdf.assign(_anchor=out)
+    return scan
+
+
 def session_fold(runs: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str],
                  t: str = "t", content: str = "hash", ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
     """State of a session cache at every run: new, unchanged or changed.
@@ -99,31 +127,14 @@ def session_fold(runs: DataFrame, key: Sequence[str], chunk: str, order: Sequenc
     seconds = rows.groupBy(*key, "_seg", t).agg(F.count("*").alias("_n"))
 
     names = key + ["_seg"]
-    types = dict(runs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in key]
-                       + ["_seg bigint", f"`{t}` bigint", "_anchor bigint", "_end bigint"])
-
-    def anchors(pdf):
-        import numpy as np
-        import pandas as pd
-
-        ts = np.sort(pdf[t].to_numpy(dtype="int64"))
-        hops, at = [], 0
-        while at < len(ts):
-            hops.append(at)
-            at = int(np.searchsorted(ts, ts[at] + ttl, side="left"))
-        which = np.searchsorted(np.asarray(hops), np.arange(len(ts)), side="right") - 1
-        out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(ts) for c in names})
-        out[t] = ts
-        out["_anchor"] = ts[np.asarray(hops)[which]]
-        out["_end"] = ts[hops[-1]]
-        return out
-
-    chain = seconds.select(*names, F.col(t).cast("bigint").alias(t)).groupBy(*names) \
-        .applyInPandas(anchors, schema)
+    by_second = seconds.select(*names, F.col(t).cast("bigint").alias(t))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in by_second.schema) + ", _anchor bigint"
+    # Sorted partitions stream through; a segment of any length keeps one number.
+    chain = by_second.repartition(*names).sortWithinPartitions(*names, t) \
+        .mapInPandas(_anchor_scan(names, t, ttl), schema)
     joined = rows.join(chain, [*names, t])
     # Last entry stored by the segment before, needed where content changed.
-    ends = chain.groupBy(*names).agg(F.max("_end").alias("_prev_end")) \
+    ends = chain.groupBy(*names).agg(F.max("_anchor").alias("_prev_end")) \
         .withColumn("_seg", F.col("_seg") + 1)
     joined = joined.join(ends, names, "left")
     is_start = F.col("_first") & (F.col(t) == F.col("_anchor"))
