@@ -291,7 +291,7 @@ def read_text_table(docs: DataFrame, keys: Sequence[str], text: str = "text") ->
     """Aligned text tables: one row per body row with ``header`` and ``cells``."""
     t = docs.select(*keys, table_lines(F.col(text)).alias("_l")).select(
         *keys, cells(F.get("_l", F.lit(0))).alias("header"),
-        F.posexplode(F.slice("_l", 2, 2147483647)).alias("row_no", "_r"))
+        F.posexplode(F.slice("_l", 2, F.size("_l"))).alias("row_no", "_r"))
     body = t.where(~F.col("_r").rlike(P.SEPARATOR_ROW))
     return body.select(*keys, (F.col("row_no") + 1).cast("bigint").alias("row_no"), "header",
                        cells(F.col("_r")).alias("cells"))
@@ -380,7 +380,7 @@ def compact_pods(text: Column) -> Column:
                 head = F.concat(F.size(pods).cast("string"), F.lit(" pods | "), F.array_join(by_count, ", "))
                 return F.when(F.size(pods) > 0, T.join_lines(F.concat(F.array(head), detail)))
 
-            pods = F.filter(F.transform(F.slice(lines, 2, 2147483647), pod), lambda p: p["status"].isNotNull())
+            pods = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), pod), lambda p: p["status"].isNotNull())
             return F.when((F.size(lines) >= 2) & (at("STATUS") >= 0) & (at("NAME") >= 0), let(pods, render))
         return let(F.transform(cells(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))), lambda h: F.upper(h)),
                    with_header)

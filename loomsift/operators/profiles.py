@@ -53,7 +53,7 @@ def training_facts(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> D
 
     def last_values(pairs: Column) -> Column:
         return F.filter(pairs, lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, 2147483647), lambda q: q["metric"] == p["metric"]))
+            F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["metric"] == p["metric"]))
 
     return e.select(*keys, (F.col("epoch") + 1).cast("bigint").alias("epoch"), F.inline(last_values(F.col("pairs"))))
 
@@ -85,8 +85,7 @@ def training_curve(text: Column) -> Column:
     """
     def build(epochs: Column) -> Column:
         def value_in(e: Column, metric: Column) -> Column:
-            hits = F.filter(e, lambda p: p["metric"] == metric)
-            return F.get(hits, F.size(hits) - 1)["value"]
+            return F.try_element_at(F.filter(e, lambda p: p["metric"] == metric), F.lit(-1))["value"]
 
         def series(metric: Column) -> Column:
             return F.filter(F.transform(epochs, lambda e, i: F.struct(
@@ -115,13 +114,13 @@ def training_curve(text: Column) -> Column:
                           reversed(P.BEST_METRIC_ORDER),
                           F.lit(None).cast("struct<metric:string,b:struct<k:double,i:int,v:double>>"))
 
-            def with_best(b: Column) -> Column:
+            def with_best(b: Column, n: Column) -> Column:
                 since = F.size(epochs) - 1 - b["b"]["i"]
                 return F.struct(n.alias("epochs"), ranges.alias("metrics"), b["metric"].alias("best_metric"),
                                 (b["b"]["i"] + 1).alias("best_epoch"), b["b"]["v"].alias("best_value"),
                                 since.alias("since_best"),
                                 (since >= F.greatest(F.lit(5), F.floor(n / 10))).alias("plateau"))
-            return let(best, with_best)
+            return let(best, lambda b: let(n, lambda total: with_best(b, total)))
         return F.when(F.size(epochs) >= 2, let(seen, with_metrics))
     return let(training_epochs(text), build)
 

@@ -80,7 +80,9 @@ def run_outcome(runs: DataFrame, kind: str = "kind", text: str = "raw", code: st
     body = T.join_lines(A.drop_progress(T.split_lines(F.col(text))))
     out = F.col(text)
     for name, build in OUTCOMES.items():
-        out = F.when(F.col(kind) == name, let(body, lambda t, b=build: b(t, F.col(code)))).otherwise(out)
+        def outcome(t: Column) -> Column:
+            return build(t, F.col(code))
+        out = F.when(F.col(kind) == name, let(body, outcome)).otherwise(out)
     return runs.withColumn("outcome", out)
 
 

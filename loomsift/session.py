@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "loomsift", **conf: str) -> SparkSession:
@@ -37,3 +37,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="loomsift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than cores.
+
+    A table large enough to fill the cluster is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

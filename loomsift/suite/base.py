@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from loomsift import patterns as P
+from loomsift.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,8 +27,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, wide: bool = False) -> DataFrame:
+    """A given table; ``wide`` spreads small files over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if wide else df
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,8 @@ class Derived:
     exprs: tuple[str, ...]
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read(spark, sf_dir, self.table).selectExpr(*self.exprs)
+        # Texts are built and compacted in place: worth a core for every share.
+        return read(spark, sf_dir, self.table, wide=self.table != "events").selectExpr(*self.exprs)
 
     @property
     def sql(self) -> str:

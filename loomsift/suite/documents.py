@@ -16,7 +16,7 @@ DOC_LINES = B.lines_of("documents", "doc_id", "text")
 
 
 def docs(spark, d):
-    return read(spark, d, "documents")
+    return read(spark, d, "documents", wide=True)
 
 
 @query("explode_lines", f"SELECT doc_id, CAST(n AS BIGINT) AS n, line FROM {DOC_LINES}")
@@ -120,7 +120,7 @@ def binary_screen(spark, d):
         "'doc' AS kind", "doc_id AS id",
         "CASE WHEN doc_id % 7 = 0 THEN repeat('QUJD', 100 + CAST(doc_id % 50 AS INT)) || text "
         "WHEN doc_id % 11 = 0 THEN text || repeat(chr(2), 40) ELSE text END AS text")
-    b = read(spark, d, "pages").selectExpr("'page' AS kind", "page_id AS id", "html AS text")
+    b = read(spark, d, "pages", wide=True).selectExpr("'page' AS kind", "page_id AS id", "html AS text")
     return corpus.binary_screen(a.unionByName(b)).drop("text")
 
 
@@ -263,7 +263,7 @@ def auto_compact(spark, d):
 
 @query("html_corpus", f"SELECT page_id, {B.html_text('html')} AS visible FROM pages")
 def html_corpus(spark, d):
-    return corpus.html_corpus(read(spark, d, "pages")).select("page_id", "visible")
+    return corpus.html_corpus(read(spark, d, "pages", wide=True)).select("page_id", "visible")
 
 
 @query("html_savings", f"""
@@ -272,7 +272,7 @@ SELECT host, count(*) AS runs, CAST(sum(r) AS BIGINT) AS raw, CAST(sum(o) AS BIG
 FROM (SELECT {B.host('url')} AS host, {B.tokens('html')} AS r, {B.tokens(B.html_text('html'))} AS o FROM pages)
 GROUP BY host""")
 def html_savings(spark, d):
-    p = corpus.html_corpus(read(spark, d, "pages"))
+    p = corpus.html_corpus(read(spark, d, "pages", wide=True))
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")
     return corpus.savings_by(p, [host], "html", "visible").withColumn("pct", F.round("pct", 4))
 
@@ -288,7 +288,7 @@ FROM {_RESP} JOIN {B.head_tail(B.lines_of(
     f"(SELECT page_id, CASE WHEN regexp_matches(t, {B.lit(P.HTML_PAGE)}) THEN {B.html_text('t')} ELSE t END AS v FROM {_RESP})",
     'page_id', 'v'), 'page_id', 40)} USING (page_id)""")
 def compact_response(spark, d):
-    return read(spark, d, "pages").select("page_id", shapes.compact_response(F.col("html")).alias("compact"))
+    return read(spark, d, "pages", wide=True).select("page_id", shapes.compact_response(F.col("html")).alias("compact"))
 
 
 URLS = Derived("pages", ("page_id", "regexp_replace(url, '[?#].*$', '') AS path"))
