@@ -238,16 +238,12 @@ def allowed(name: Column, include: Sequence[str] = (), exclude: Sequence[str] =
 
 def cost_topn(rows: DataFrame, group: str = "group", cost: str = "cost", k: int = 10,
               include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Top groups by cost next to the grand total and the number of groups.
-
-    Totals ride along the per-group sums (rollup), so the rows are read once.
-    """
+    """Top groups by cost next to the grand total and the number of groups."""
     kept = rows.where(allowed(F.col(group), include, exclude))
     sums = kept.groupBy(group).agg(F.sum(cost).alias("cost"))
+    totals = sums.agg(F.struct(F.sum("cost").alias("total"), F.count("*").alias("groups"))).scalar()
     top = sums.orderBy(F.col("cost").desc(), group).limit(k)
-    total = sums.agg(F.sum("cost").alias("total"), F.count("*").alias("groups"))
-    # One row: a scalar side, not a growing one.
-    return top.crossJoin(F.broadcast(total))
+    return top.withColumn("_t", totals).select(group, "cost", "_t.total", "_t.groups")
 
 
 # --- change sets -------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from loomsift.suite import documents, payloads, runs, streams  # noqa: F401
+    from loomsift.suite import documents, payloads, runs, sinks, streams  # noqa: F401
 
 
 def queries():
