@@ -137,16 +137,17 @@ def smart_dedup(lines: Column, min_total: int = P.SMART_DEDUP_MIN_TOTAL) -> Colu
     return let(lines, start)
 
 
-def head_tail(lines: Column, limit: int = P.MAX_LINES) -> Column:
+def head_tail(lines: Column, limit: int | Column = P.MAX_LINES) -> Column:
     """First two thirds and last third of ``limit`` lines around a marker."""
-    head = limit * 2 // 3
-    tail = limit - head
+    if isinstance(limit, int):
+        head, total = F.lit(limit * 2 // 3), F.lit(limit)
+    else:
+        head, total = F.floor(limit * 2 / 3).cast("int"), limit
 
     def cut(rows: Column) -> Column:
-        marker = F.concat(F.lit("... ["), (F.size(rows) - limit).cast("string"),
-                          F.lit(" lines omitted] ..."))
-        clipped = F.when(F.size(rows) <= limit, rows).otherwise(
-            F.concat(F.slice(rows, 1, head), F.array(marker), F.slice(rows, -tail, tail)))
+        marker = F.concat(F.lit("... ["), (F.size(rows) - total).cast("string"), F.lit(" lines omitted] ..."))
+        clipped = F.when(F.size(rows) <= total, rows).otherwise(
+            F.concat(F.slice(rows, 1, head), F.array(marker), F.slice(rows, head - total, total - head)))
         return F.transform(clipped, lambda x: clip_line(x))
     return let(lines, cut)
 

@@ -303,14 +303,16 @@ def cell(name: str) -> Column:
     return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
 
 
-def compact_table(text: Column, drop: Sequence[str] = (), max_rows: int = P.TABLE_LINES) -> Column:
+def compact_table(text: Column, drop: Sequence[str] | Column = (), max_rows: int = P.TABLE_LINES) -> Column:
     """Drop named columns and separator rows; rows of other width stay whole."""
     def build(lines: Column) -> Column:
         def with_header(cols: Column) -> Column:
             def row(line: Column) -> Column:
                 def out(parts: Column) -> Column:
                     kept = parts
-                    if drop:
+                    if isinstance(drop, Column):
+                        kept = F.filter(parts, lambda _, i: ~F.array_contains(drop, F.upper(F.get(cols, i))))
+                    elif drop:
                         names = [d.upper() for d in drop]
                         kept = F.filter(parts, lambda _, i: ~F.upper(F.get(cols, i)).isin(*names))
                     return F.when(F.size(parts) == F.size(cols), F.array_join(kept, "  ")) \

@@ -22,10 +22,9 @@ def _found(text: Column, pattern: str) -> Column:
     return _nonempty(F.regexp_extract(text, pattern, 1))
 
 
-def errors_or_head_tail(text: Column, limit: int, context: int = 1) -> Column:
-    lines = T.split_lines(text)
-    return F.coalesce(_nonempty(T.join_lines(A.error_lines(lines, context))),
-                      T.join_lines(A.head_tail(lines, limit)))
+def error_text(text: Column) -> Column:
+    """Error lines with one neighbour on each side, null without any."""
+    return _nonempty(T.join_lines(A.error_lines(T.split_lines(text), 1)))
 
 
 def build_errors(text: Column) -> Column:
@@ -36,54 +35,49 @@ def build_errors(text: Column) -> Column:
     return let(F.filter(T.split_lines(text), lambda x: F.startswith(x, F.lit("[ERROR]"))), render)
 
 
-def test_outcome(text: Column, code: Column) -> Column:
-    summary = F.btrim(_found(text, P.TEST_SUMMARY), F.lit(" =\t-"))
-    failed = F.concat(F.lit("FAILED (exit "), code.cast("string"), F.lit(")\n"),
-                      errors_or_head_tail(text, P.SHORT_LINES))
-    return F.when(code == 0, F.coalesce(F.concat(F.lit("PASSED  ("), _nonempty(summary), F.lit(")")),
-                                        F.lit("PASSED"))).otherwise(failed)
-
-
-def build_outcome(text: Column, code: Column) -> Column:
+def good_outcome(kind: Column, text: Column) -> Column:
+    """One line for a run that ended well."""
+    tested = F.btrim(_found(text, P.TEST_SUMMARY), F.lit(" =\t-"))
     ok = T.strip(_found(text, P.BUILD_OK))
     time = T.strip(_found(text, P.BUILD_TIME))
     last = F.element_at(F.filter(T.split_lines(text), lambda x: T.strip(x) != ""), -1)
-    good = F.coalesce(
+    built = F.coalesce(
         F.concat(F.lit("ok -- "), ok, F.coalesce(F.concat(F.lit("  ("), time, F.lit(")")), F.lit(""))),
         F.concat(F.lit("ok -- "), F.substring(F.when(T.strip(text) != "", last), 1, 120)), F.lit("ok"))
-    bad = F.concat(F.lit("FAILED\n"), F.coalesce(
-        build_errors(text), errors_or_head_tail(text, P.FALLBACK_LINES)))
-    return F.when(code == 0, good).otherwise(bad)
-
-
-def install_outcome(text: Column, code: Column) -> Column:
-    good = F.concat(F.lit("ok"), F.coalesce(F.concat(F.lit(" -- "), _found(text, P.INSTALL_OK)), F.lit("")))
-    bad = F.concat(F.lit("FAILED\n"), errors_or_head_tail(text, P.BUILD_ERROR_LINES))
-    return F.when(code == 0, good).otherwise(bad)
+    return (F.when(kind == "test", F.coalesce(
+                F.concat(F.lit("PASSED  ("), _nonempty(tested), F.lit(")")), F.lit("PASSED")))
+            .when(kind == "build", built)
+            .when(kind == "install", F.concat(F.lit("ok"), F.coalesce(
+                F.concat(F.lit(" -- "), _found(text, P.INSTALL_OK)), F.lit(""))))
+            .when(kind == "pull", F.concat(F.lit("ok"), F.coalesce(
+                F.concat(F.lit(" "), _found(text, P.PULL_SUMMARY)), F.lit(""))))
+            .otherwise(F.lit("valid")))
 
 
-def pull_outcome(text: Column, code: Column) -> Column:
-    good = F.concat(F.lit("ok"), F.coalesce(F.concat(F.lit(" "), _found(text, P.PULL_SUMMARY)), F.lit("")))
-    return F.when(code == 0, good).otherwise(text)
+def bad_outcome(kind: Column, text: Column, code: Column, errors: Column) -> Column:
+    """Errors of a run that failed, else its head and tail."""
+    limit = F.when(kind == "test", P.SHORT_LINES).when(kind == "install", P.BUILD_ERROR_LINES) \
+        .otherwise(P.FALLBACK_LINES)
+    head = F.when(kind == "test", F.concat(F.lit("FAILED (exit "), code.cast("string"), F.lit(")\n"))) \
+        .when(kind.isin("build", "install"), F.lit("FAILED\n")).otherwise(F.lit(""))
+    body = F.coalesce(F.when(kind == "build", build_errors(text)), errors,
+                      T.join_lines(A.head_tail(T.split_lines(text), limit)))
+    return F.when(kind == "pull", text).otherwise(F.concat(head, body))
 
 
-def validate_outcome(text: Column, code: Column) -> Column:
-    return F.when(code == 0, F.lit("valid")).otherwise(errors_or_head_tail(text, P.FALLBACK_LINES))
+OUTCOME_KINDS = ("test", "build", "install", "pull", "validate")
 
 
-OUTCOMES = {"test": test_outcome, "build": build_outcome, "install": install_outcome,
-            "pull": pull_outcome, "validate": validate_outcome}
+def outcome(kind: Column, text: Column, code: Column, errors: Column) -> Column:
+    """Outcome of a run whose progress lines are already gone."""
+    return F.when(code == 0, good_outcome(kind, text)).otherwise(bad_outcome(kind, text, code, errors))
 
 
 def run_outcome(runs: DataFrame, kind: str = "kind", text: str = "raw", code: str = "code") -> DataFrame:
     """Add ``outcome``: a one-line summary of good runs, the errors of bad ones."""
     body = T.join_lines(A.drop_progress(T.split_lines(F.col(text))))
-    out = F.col(text)
-    for name, build in OUTCOMES.items():
-        def outcome(t: Column) -> Column:
-            return build(t, F.col(code))
-        out = F.when(F.col(kind) == name, let(body, outcome)).otherwise(out)
-    return runs.withColumn("outcome", out)
+    out = let(body, lambda t: outcome(F.col(kind), t, F.col(code), F.when(F.col(code) != 0, error_text(t))))
+    return runs.withColumn("outcome", F.when(F.col(kind).isin(*OUTCOME_KINDS), out).otherwise(F.col(text)))
 
 
 def pass_rate(runs: DataFrame, by: Sequence[str], code: str = "code") -> DataFrame:
@@ -181,7 +175,7 @@ def flaky_tests(failures: DataFrame, keys: Sequence[str]) -> DataFrame:
                                         F.count_if(F.col("details").isNotNull()).alias("with_details"))
 
 
-def compact_test(text: Column, code: Column) -> Column:
+def compact_test(text: Column, code: Column, errors: Column | None = None) -> Column:
     """One line for a good run; summary, failing tests and details otherwise.
 
     Null when the text of a failing run has no test report in it.
@@ -212,5 +206,6 @@ def compact_test(text: Column, code: Column) -> Column:
     passed = T.strip(_found(text, P.TEST_PASSED))
     good = F.coalesce(F.concat(F.lit("PASSED  ("), passed, F.lit(")")), F.lit("PASSED"))
     bad = F.concat(F.lit("FAILED (exit "), code.cast("string"), F.lit(")\n"), F.coalesce(
-        let(test_report(text), render), errors_or_head_tail(text, P.SHORT_LINES)))
+        let(test_report(text), render), errors if errors is not None else error_text(text),
+        T.join_lines(A.head_tail(T.split_lines(text), P.SHORT_LINES))))
     return F.when(code == 0, good).otherwise(bad)

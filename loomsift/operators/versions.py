@@ -103,13 +103,16 @@ def _anchor_scan(names: list[str], t: str, ttl: int):
 
 
 def session_fold(runs: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str],
-                 t: str = "t", content: str = "hash", ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
+                 t: str = "t", content: str = "hash", ttl: int = P.CACHE_TTL_SECONDS,
+                 previous: Sequence[str] = ()) -> DataFrame:
     """State of a session cache at every run: new, unchanged or changed.
 
     A run is *unchanged* when the stored entry has its content and is younger
     than ``ttl`` seconds; it then leaves the entry alone.  Any other run is
     stored, as *changed* when the old entry was still fresh, else as *new*.
-    ``t`` is in whole seconds, ``age`` is the age of the entry met.
+    ``t`` is in whole seconds, ``age`` is the age of the entry met; ``chunk``
+    must be a function of ``t``.  ``previous`` columns of the run before are
+    returned as ``prev_<column>``.
 
     The stored content always equals that of the run before, so a stream falls
     apart wherever the content changes or a gap reaches the ttl; these segments
@@ -117,7 +120,7 @@ def session_fold(runs: DataFrame, key: Sequence[str], chunk: str, order: Sequenc
     pre-aggregation leaves however many runs share them.
     """
     key, order = list(key), list(order)
-    prev = with_previous(runs, key, chunk, order, [t, content])
+    prev = with_previous(runs, key, chunk, order, list(dict.fromkeys([t, content, *previous])))
     starts = (F.col(f"prev_{t}").isNull() | ~F.col(content).eqNullSafe(F.col(f"prev_{content}"))
               | (F.col(t) - F.col(f"prev_{t}") >= ttl))
     seg = block_id(prev, key, chunk, order, starts, "_seg")
@@ -146,4 +149,4 @@ def session_fold(runs: DataFrame, key: Sequence[str], chunk: str, order: Sequenc
               .otherwise(F.lit("new")))
     return joined.withColumn("status", status).withColumn(
         "age", F.when(F.col("status") != "new", age)) \
-        .select(*runs.columns, "status", "age")
+        .select(*runs.columns, "status", "age", *[f"prev_{c}" for c in previous])

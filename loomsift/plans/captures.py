@@ -11,9 +11,9 @@ from loomsift import patterns as P
 from loomsift.functions import linearrays as A
 from loomsift.functions import text as T
 from loomsift.functions.text import let
-from loomsift.operators import findings, jsonops, runs
+from loomsift.operators import findings, jsonops, profiles, runs
 from loomsift.operators.files import is_code
-from loomsift.operators.versions import session_fold, snapshot_changes, with_previous
+from loomsift.operators.versions import session_fold, snapshot_changes
 from loomsift.plans import rules, shapes
 from loomsift.sources.writers import tee_policy, tee_slug
 
@@ -148,79 +148,120 @@ def compact_plan_json(text: Column) -> Column:
     return F.when(plan.isNotNull(), let(plan, render))
 
 
-def compact_git(text: Column, sub: Column, code: Column) -> Column:
-    lines = T.split_lines(text)
+# How plain treatments differ: (drop progress lines, repeats, lines kept).
+PLAIN = {
+    "log": (True, "smart", P.LOG_LINES), "journal": (False, "smart", P.LOG_LINES),
+    "container_log": (True, "smart", P.TABLE_LINES), "auto_text": (True, "smart", P.MAX_LINES),
+    "generic": (True, "runs", P.MAX_LINES), "generic_table": (True, "runs", P.TABLE_LINES),
+    "generic_train": (True, "runs", P.RESPONSE_LINES), "generic_raw": (False, "runs", P.MAX_LINES),
+    "cut_long": (False, "none", P.MAX_LINES), "cut_mid": (False, "none", P.RESPONSE_LINES),
+    "cut_short": (False, "none", P.SHORT_LINES),
+}
+
+
+def compact_plain(action: Column, text: Column) -> Column:
+    """Clean, collapse and cut a text as its action says, in one expression."""
+    def pick(part: int, keep) -> list[str]:
+        return [name for name, row in PLAIN.items() if keep(row[part])]
+
+    def repeats(lines: Column) -> Column:
+        return (F.when(action.isin(*pick(1, lambda m: m == "smart")), A.smart_dedup(lines))
+                .when(action.isin(*pick(1, lambda m: m == "runs")), A.dedup_consecutive(lines))
+                .otherwise(lines))
+
+    limit = F.lit(P.MAX_LINES)
+    for n in sorted({row[2] for row in PLAIN.values()}):
+        limit = F.when(action.isin(*pick(2, lambda x, n=n: x == n)), n).otherwise(limit)
+    lines = T.split_lines(T.clean_control(text))
+    stripped = F.when(action.isin(*pick(0, bool)), A.drop_progress(lines)).otherwise(lines)
+    return T.join_lines(A.head_tail(let(stripped, repeats), limit))
+
 
-    def cut(n: int) -> Column:
-        return T.join_lines(A.head_tail(lines, n))
-    sha = F.regexp_extract(text, r"\[[^\]]*?([0-9a-f]{7,40})\]", 1)
-    branch = F.regexp_extract(text, r"-> (\S+)", 1)
-    errors = F.nullif(T.join_lines(A.error_lines(lines)), F.lit(""))
-    return (F.when(sub == "status", findings.compact_status(text))
-            .when(sub == "diff", findings.compact_diff(text))
-            .when(sub == "show", findings.compact_show(text))
-            .when(sub == "log", cut(P.MAX_LINES))
-            .when(sub.isin("add", "stage"), F.when(code == 0, F.lit("ok")).otherwise(text))
-            .when(sub == "commit", F.when(code == 0, F.rtrim(F.concat(F.lit("ok "), sha)))
-                  .otherwise(F.coalesce(errors, text)))
-            .when(sub == "push", F.when(code == 0, F.rtrim(F.concat(F.lit("ok "), branch))).otherwise(text))
-            .when(sub == "pull", runs.pull_outcome(text, code))
-            .when(sub.isin("branch", "remote", "tag"), cut(P.RESPONSE_LINES))
-            .when(sub == "stash", cut(P.SHORT_LINES))
-            .otherwise(T.join_lines(A.head_tail(A.dedup_consecutive(lines)))))
-
-
-def compact_container(text: Column, argv: Column, sub: Column, code: Column) -> Column:
+def action_of(rule: Column, argv: Column, code: Column, text: Column) -> Column:
+    """What to do with a capture: rule, sub-command and shape in one word."""
+    sub = F.coalesce(F.get(argv, F.lit(1)), F.lit(""))
     pods = F.arrays_overlap(argv, F.array(F.lit("pods"), F.lit("po"), F.lit("pod"))) & (sub == "get")
-    wide = F.array_contains(argv, "wide")
-    label = F.array_join(F.slice(argv, 1, 2), " ")
-    ps = ["CONTAINER ID", "COMMAND", "PORTS"]
-    wide_drop = ["IP", "NODE", "NOMINATED NODE", "READINESS GATES"]
-    table = (F.when(label == "docker ps", findings.compact_table(text, ps))
-             .when(label == "docker images", findings.compact_table(text, ["IMAGE ID"]))
-             .when(wide, findings.compact_table(text, wide_drop))
-             .otherwise(findings.compact_table(text)))
     tabular = sub.isin("get", "ps", "images", "image", "ls", "list", "services", "pods", "top")
-    body = (F.when(F.array_contains(argv, "logs"), shapes.compact_container_log(text))
-            .when(sub == "describe", shapes.describe_fields(text))
-            .when(pods, F.coalesce(findings.compact_pods(text), table))
-            .when(tabular, table)
-            .otherwise(shapes.compact_generic(text, P.TABLE_LINES)))
-    return shapes.fail_wrap(body, text, code)
+    shape = shapes.classify_shape(text)
+    git = (F.when(sub.isin("status", "diff", "show", "pull", "commit", "push"), F.concat(F.lit("git_"), sub))
+           .when(sub.isin("add", "stage"), "git_add").when(sub == "log", "cut_long")
+           .when(sub.isin("branch", "remote", "tag"), "cut_mid").when(sub == "stash", "cut_short")
+           .otherwise("generic_raw"))
+    container = (F.when(F.array_contains(argv, "logs"), "container_log").when(sub == "describe", "describe")
+                 .when(pods, "pods").when(tabular, "table").otherwise("generic_table"))
+    plan = (F.when(F.array_contains(argv, "-json"), "plan_json").when(sub.isin("plan", "apply"), "plan_text")
+            .when(sub == "validate", "validate").when(sub.isin("output", "state", "show", "providers"), "generic_table")
+            .otherwise("generic"))
+    auto = let(shape, lambda s: F.when(s == "diff", "git_diff").when(s.isin("binary", "trace", "empty"), s)
+               .when(s == "training", "train_auto").otherwise("auto_text"))
+    signatures = (sub == "aggressive") & is_code(F.element_at(argv, -1))
+    return (F.when(rule == "git", git).when(rule == "container", container).when(rule == "plan", plan)
+            .when(rule == "auto", auto)
+            .when(rule == "cloud", F.when(findings.looks_tabular(text), "table").otherwise("generic"))
+            .when(rule == "units", F.when(sub == "status", "status_fields").otherwise("table"))
+            .when(rule == "package", F.when(sub.isin("install", "i", "add", "ci"), "install").otherwise("generic"))
+            .when(rule == "file", F.when(signatures, "signatures").otherwise("same"))
+            .when(rule.isin("", "measure", "json"), "same")
+            .otherwise(rule))
+
+
+WRAPPED = ("container", "plan", "cloud", "journal", "units", "train")
 
 
 def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> Column:
-    """Compact text of one capture for every rule that needs no other row."""
-    sub = F.coalesce(F.get(argv, F.lit(1)), F.lit(""))
+    """Compact text of one capture for every rule that needs no other row.
 
-    def wrap(c: Column) -> Column:
-        return shapes.fail_wrap(c, text, code)
-
-    plan_json = F.when(F.array_contains(argv, "-json"), compact_plan_json(text))
-    plan = (F.when(sub.isin("plan", "apply"), shapes.plan_text_lines(text))
-            .when(sub == "validate", runs.validate_outcome(text, code))
-            .when(sub.isin("output", "state", "show", "providers"), shapes.compact_generic(text, P.TABLE_LINES))
-            .otherwise(shapes.compact_generic(text)))
-    cloud = F.when(findings.looks_tabular(text), findings.compact_table(text)).otherwise(shapes.compact_generic(text))
-    units = F.when(sub == "status", shapes.status_fields(text)).otherwise(findings.compact_table(text))
-    file = F.when((sub == "aggressive") & is_code(F.element_at(argv, -1)), T.join_lines(
-        F.filter(T.split_lines(text), T.is_signature))).otherwise(text)
-    package = F.when(sub.isin("install", "i", "add", "ci"), runs.install_outcome(text, code)) \
-        .otherwise(shapes.compact_generic(text))
-    by_rule = {
-        "listing": compact_listing(text), "search": compact_search(text), "paths": compact_paths(text),
-        "file": file, "git": compact_git(text, sub, code), "plan": F.coalesce(plan_json, wrap(plan)),
-        "container": compact_container(text, argv, sub, code), "cloud": wrap(cloud), "package": package,
-        "lint": compact_lint(text, code), "journal": wrap(shapes.compact_journal(text)), "units": wrap(units),
-        "response": shapes.compact_response(text), "build": runs.build_outcome(text, code),
-        "test": runs.test_outcome(text, code), "test_report": runs.compact_test(text, code),
-        "train": wrap(shapes.train_run(text)), "errors": shapes.errors_only(text),
-        "generic": shapes.compact_generic(text), "log": shapes.compact_log(text),
-        "auto": shapes.compact_shape(shapes.classify_shape(text), text)}
-    out = text
-    for name, c in by_rule.items():
-        out = F.when(rule == name, c).otherwise(out)
-    return out
+    Every treatment occurs once; the action picks one of them per row.
+    """
+    lines = T.split_lines(text)
+    none = F.array().cast("array<string>")
+
+    def body(act: Column, errors: Column) -> Column:
+        label = F.array_join(F.slice(argv, 1, 2), " ")
+        drop = (F.when(label == "docker ps", F.array(*[F.lit(c) for c in ("CONTAINER ID", "COMMAND", "PORTS")]))
+                .when(label == "docker images", F.array(F.lit("IMAGE ID")))
+                .when(F.array_contains(argv, "wide"), F.array(*[
+                    F.lit(c) for c in ("IP", "NODE", "NOMINATED NODE", "READINESS GATES")])).otherwise(none))
+        kind = F.when(act == "git_pull", "pull").otherwise(act)
+        cleaned = T.join_lines(A.drop_progress(lines))
+        sha = F.regexp_extract(text, r"\[[^\]]*?([0-9a-f]{7,40})\]", 1)
+        branch = F.regexp_extract(text, r"-> (\S+)", 1)
+        good = (F.when(act == "git_commit", F.rtrim(F.concat(F.lit("ok "), sha)))
+                .when(act == "git_push", F.rtrim(F.concat(F.lit("ok "), branch))).otherwise(F.lit("ok")))
+        bad = F.when(act == "git_commit", F.coalesce(
+            F.nullif(T.join_lines(A.error_lines(lines)), F.lit("")), text)).otherwise(text)
+        curve = profiles.compact_training(text)
+        table = findings.compact_table(text, drop)
+        cases = [
+            (("same",), text), (("empty",), F.lit("")),
+            (("git_diff",), findings.compact_diff(text)), (("git_status",), findings.compact_status(text)),
+            (("git_show",), findings.compact_show(text)),
+            (("git_commit", "git_push", "git_add"), F.when(code == 0, good).otherwise(bad)),
+            (("test", "build", "install", "git_pull", "validate"),
+             let(cleaned, lambda t: runs.outcome(kind, t, code, errors))),
+            (("test_report",), let(cleaned, lambda t: runs.compact_test(t, code, errors))),
+            (("errors",), F.coalesce(errors, F.lit("(no error lines detected)"))),
+            (("describe",), shapes.describe_fields(text)), (("status_fields",), shapes.status_fields(text)),
+            (("plan_text",), shapes.plan_text_lines(text)), (("trace",), shapes.compact_trace(text)),
+            (("binary",), shapes.binary_note(text)), (("response",), shapes.compact_response(text)),
+            (("lint",), compact_lint(text, code)), (("search",), compact_search(text)),
+            (("paths",), compact_paths(text)), (("listing",), compact_listing(text)),
+            (("signatures",), T.join_lines(F.filter(lines, T.is_signature))),
+        ]
+        special = (F.when(act.isin("train", "train_auto"), curve).when(act == "plan_json", compact_plan_json(text))
+                   .when(act == "pods", findings.compact_pods(text)))
+        fallback = F.when(act.isin("pods", "table"), table).otherwise(compact_plain(
+            F.when(act == "train", "generic_train").when(act == "train_auto", "auto_text")
+            .when(act == "plan_json", "generic_table").otherwise(act), text))
+        out = F.coalesce(special, fallback)
+        for names, c in reversed(cases):
+            out = F.when(act.isin(*names), c).otherwise(out)
+        wrapped = rule.isin(*WRAPPED) & ~((act == "plan_json") & special.isNotNull()) & (act != "validate")
+        return F.when(wrapped & (code != 0), F.coalesce(errors, out)).otherwise(out)
+
+    errors = F.when((code != 0) | (rule == "errors"), runs.error_text(text))
+    return F.when(rule.isin("", "measure"), text).otherwise(
+        let(errors, lambda e: let(action_of(rule, argv, code, text), lambda a: body(a, e))))
 
 
 TWO_WORD_LABELS = ("git", "container", "package", "plan", "units")
@@ -260,7 +301,7 @@ def compact_captures(captures: DataFrame, rule_rows: DataFrame | None = None, bu
     out = plain.unionByName(json_out).drop("_json")
 
     if session_cache:
-        out = apply_session_cache(out, ttl)
+        out = apply_session_cache(out, captures, ttl)
     out = out.withColumn("compact", A.size_floor(raw, F.col("compact"), F.col("redacted")))
     out = out.withColumn("tee", tee_policy(tee_mode))
     note = F.concat(F.lit("\n[full output: "), tee_slug(argv), F.lit(".log]"))
@@ -269,40 +310,37 @@ def compact_captures(captures: DataFrame, rule_rows: DataFrame | None = None, bu
     return out.withColumn("compact", A.budget(F.col("compact"), budget))
 
 
-def apply_session_cache(results: DataFrame, ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
+def apply_session_cache(results: DataFrame, captures: DataFrame, ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
     """Shorten repeated good runs of the same command.
 
     ``unchanged`` becomes one line; ``changed`` shows the changed lines when that
-    is shorter.  Streams are cut into days, so a command run all the time is
-    spread over many tasks.
+    is shorter.  The state comes from hashes alone; streams are cut into days,
+    so a command that runs all the time is spread over many tasks.  Texts are
+    fetched only for changed runs.
     """
-    ok = results.where(F.col("code") == 0)
-    rows = ok.select(
-        "capture_id", F.sha1(F.array_join("argv", " ")).alias("cmd_key"),
+    rows = captures.where(F.col("code") == 0).select(
+        "capture_id", F.sha1(F.encode(F.array_join("argv", " "), "utf-8")).alias("cmd_key"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
-        F.sha1(F.encode("raw", "utf-8")).alias("hash"), "raw", "redacted") \
-        .withColumn("day", F.floor(F.col("t") / 86400))
-    order = ["t", "capture_id"]
-    state = session_fold(rows.drop("raw", "redacted"), ["cmd_key"], "day", order, ttl=ttl) \
-        .select("capture_id", "status", "age")
-    prev = with_previous(rows, ["cmd_key"], "day", order, ["raw"]).join(state, "capture_id")
-    storable = F.length("prev_raw") <= P.CACHE_MAX_CHARS
-    changes = F.when((F.col("status") == "changed") & ~F.col("redacted") & storable,
-                     snapshot_changes(F.col("prev_raw"), F.col("raw")))
-    noted = prev.withColumn("_c", changes)
+        F.sha1(F.encode("raw", "utf-8")).alias("hash")).withColumn("day", F.floor(F.col("t") / 86400))
+    state = session_fold(rows, ["cmd_key"], "day", ["t", "capture_id"], ttl=ttl, previous=["capture_id"]) \
+        .select("capture_id", "status", "age", "prev_capture_id")
+    texts = captures.select("capture_id", "raw")
+    old = texts.select(F.col("capture_id").alias("prev_capture_id"), F.col("raw").alias("_old"))
+    changed = state.where(F.col("status") == "changed").select("capture_id", "prev_capture_id") \
+        .join(texts, "capture_id").join(old.where(F.length("_old") <= P.CACHE_MAX_CHARS), "prev_capture_id")
+    diffs = changed.withColumn("_c", snapshot_changes(F.col("_old"), F.col("raw"))) \
+        .where(F.size("_c").between(1, P.CACHE_DIFF_LINES))
     lines = T.join_lines(F.transform("_c", lambda x: F.concat(x["sign"], T.clip_line(x["line"]))))
-    n = F.size("_c")
-    note = (F.when(F.col("status") == "unchanged",
-                   F.concat(F.lit("(unchanged since "), F.col("age").cast("string"), F.lit("s ago)")))
-            .when((n > 0) & (n <= P.CACHE_DIFF_LINES),
-                  F.concat(F.lit("(changed since "), F.col("age").cast("string"), F.lit("s ago)\n"), T.redact(lines))))
-    notes = noted.select("capture_id", "status", note.alias("_note"))
-    j = results.join(notes, "capture_id", "left")
-    use = F.col("_note").isNotNull() & ((F.col("status") == "unchanged")
-                                        | (F.length("_note") < F.length("compact")))
-    return j.withColumns({
-        "compact": F.when(use, F.col("_note")).otherwise(F.col("compact")),
-        "redacted": F.col("redacted") | F.coalesce(use, F.lit(False))}).drop("_note", "status")
+    diffs = diffs.select("capture_id", T.redact(lines).alias("_diff"))
+    j = results.join(state.drop("prev_capture_id"), "capture_id", "left").join(diffs, "capture_id", "left")
+    age = F.col("age").cast("string")
+    same = F.concat(F.lit("(unchanged since "), age, F.lit("s ago)"))
+    diff = F.when(~F.col("redacted"), F.concat(F.lit("(changed since "), age, F.lit("s ago)\n"), F.col("_diff")))
+    note = F.when(F.col("status") == "unchanged", same) \
+        .when(F.length(diff) < F.length("compact"), diff)
+    return j.withColumn("_note", note).withColumns({
+        "compact": F.coalesce("_note", "compact"),
+        "redacted": F.col("redacted") | F.col("_note").isNotNull()}).drop("_note", "_diff", "status", "age")
 
 
 def savings_report(ledger: DataFrame, price_per_1k: float = 0.0) -> DataFrame:

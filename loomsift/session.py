@@ -17,6 +17,8 @@ def session(master: str | None = None, name: str = "loomsift", **conf: str) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Large column expressions are built call by call; skip call-site capture.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

@@ -21,12 +21,14 @@ def stream_compact(captures: DataFrame, job: Callable[[Column], Column] = compac
     return captures.withColumn("compact", job(F.col("raw")))
 
 
-def stream_session_cache(runs: DataFrame, ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
+def stream_session_cache(runs: DataFrame, ttl: int = P.CACHE_TTL_SECONDS,
+                         delay: str = "1 hour") -> DataFrame:
     """Session cache as keyed state: new, unchanged or changed per run.
 
     Input columns ``cmd_key``, ``capture_id``, ``t`` (event time in seconds) and
-    ``hash``.  The state is one small entry per command, dropped after ``ttl``
-    without a run.  Time is event time, so a replay gives the same answer.
+    ``hash``.  The state is one small entry per command, dropped once the
+    watermark is ``ttl`` past it.  Time is event time, so a replay gives the same
+    answer; runs later than ``delay`` are not seen.
     """
     def step(key: tuple, batches: Iterator, state) -> Iterator:
         import pandas as pd
@@ -47,13 +49,14 @@ def stream_session_cache(runs: DataFrame, ttl: int = P.CACHE_TTL_SECONDS) -> Dat
             ages.append(t - at if fresh else None)
             at, content = t, h
         state.update((at, content))
-        state.setTimeoutDuration(max(1000, ttl * 2000))
+        state.setTimeoutTimestamp(max((at + ttl) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"cmd_key": key[0], "capture_id": pdf["capture_id"].to_numpy(),
                             "t": pdf["t"].to_numpy(), "status": status,
                             "age": pd.array(ages, dtype="Int64")})
 
-    return runs.groupBy("cmd_key").applyInPandasWithState(
-        step, CACHE_SCHEMA, CACHE_STATE, "append", "ProcessingTimeTimeout")
+    timed = runs.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", delay)
+    return timed.groupBy("cmd_key").applyInPandasWithState(
+        step, CACHE_SCHEMA, CACHE_STATE, "append", "EventTimeTimeout")
 
 
 def stream_ledger(ledger: DataFrame) -> DataFrame:

@@ -357,7 +357,7 @@ def compact_git(spark, d):
     b = DIFFS.df(spark, d).where("capture_id % 2 = 1").withColumn("sub", F.lit("diff"))
     rows = a.unionByName(b)
     return rows.select("capture_id", F.concat(F.lit("git "), "sub").alias("label"),
-                       captures.compact_git(F.col("raw"), F.col("sub"), F.lit(0)).alias("compact"))
+                       captures.compact_by_rule(F.lit("git"), F.array(F.lit("git"), F.col("sub")), F.lit(0), F.col("raw")).alias("compact"))
 
 
 # --- line filters ------------------------------------------------------------
