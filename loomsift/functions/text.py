@@ -67,9 +67,18 @@ def clean_control(text: Column) -> Column:
     return last_redraw(strip_ansi(strip_bom(text)))
 
 
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-case form of the text holds any of the words.
+
+    The words are one constant of the plan, not one node each: large
+    expressions use this test many times.
+    """
+    constant = F.split(F.lit("\n".join(words)), "\n")
+    return F.exists(F.array(F.lower(text)), lambda low: F.exists(constant, lambda w: F.contains(low, w)))
+
+
 def has_secret_hint(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in P.SECRET_HINTS])
+    return contains_any(text, P.SECRET_HINTS)
 
 
 # A match can only begin at a word start (the leading class is greedy), and
@@ -136,9 +145,7 @@ def clip_line(line: Column, limit: int = P.MAX_LINE_CHARS) -> Column:
 
 def is_error(line: Column) -> Column:
     # Byte searches settle most lines; the pattern confirms the word edges.
-    hint = F.exists(F.array(F.lower(line)), lambda low: reduce(
-        lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in P.ERROR_HINTS]))
-    return (hint | line.rlike(P.ERROR_CODE_HINT)) & line.rlike(P.ERROR_LINE)
+    return (contains_any(line, P.ERROR_HINTS) | line.rlike(P.ERROR_CODE_HINT)) & line.rlike(P.ERROR_LINE)
 
 
 def is_progress(line: Column) -> Column:

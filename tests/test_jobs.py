@@ -245,7 +245,7 @@ def test_rules(spark):
 
 
 def test_sources_and_sinks(spark, captured):
-    done = captures.compact_captures(captured)
+    done = captures.compact_captures(captured).cache()
     ledger, tee, out, raw = (shared_dir(spark, n) for n in ("l", "t", "o", "r"))
     writers.append_ledger(done, ledger)
     rows = {r.cmd: r for r in captures.savings_report(readers.read_ledger(spark, ledger), 1.0).collect()}
