@@ -32,20 +32,28 @@ def line_chunk(n: Column, size: int = CHUNK_LINES) -> Column:
     return F.floor(n / size)
 
 
+def require_keys(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fail on a null key: an equality join would silently lose its rows."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"null in key column {c}")))
+                             for c in columns})
+
+
 def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],
             line: str = "line", key: Column | None = None,
-            merge_blank: bool = True) -> DataFrame:
+            merge_blank: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Runs of consecutive equal lines (or equal ``key``) of every stream.
 
     Result: stream columns, the order columns of the first line, ``line`` (the
-    first line), ``key`` and ``n`` (lines in the run).
+    first line), ``key``, ``n`` (lines in the run) and the ``keep`` columns of the
+    first line.
 
     Runs are found inside each chunk first.  Only the first and the last run of
     a chunk can continue in a neighbour, so only those share a second window
     partition per stream; all others stay with their chunk.
     """
     stream, order = list(stream), list(order)
-    rows = lines.select(*stream, F.col(chunk).alias("_chunk"), *order, F.col(line).alias("line"),
+    rows = lines.select(*stream, F.col(chunk).alias("_chunk"), *order,
+                        *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(line).alias("line"),
                         (key if key is not None else F.col(line)).alias("key"))
     inside = Window.partitionBy(*stream, "_chunk").orderBy(*order)
     new = ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | F.lag("key").over(inside).isNull()
@@ -56,7 +64,7 @@ def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence
     local = (rows.withColumn("_run", F.sum(F.when(new, 1).otherwise(0)).over(
                 inside.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy(*stream, "_chunk", "_run")
-             .agg(F.min(F.struct(*order, "line", "key")).alias("_first"), F.count("*").alias("_n")))
+             .agg(F.min(F.struct(*order, *[f"_keep_{c}" for c in keep], "line", "key")).alias("_first"), F.count("*").alias("_n")))
     all_of_chunk = Window.partitionBy(*stream, "_chunk")
     local = local.withColumn("_last", F.max("_run").over(all_of_chunk))
     border = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
@@ -71,6 +79,7 @@ def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence
               .groupBy(*stream, "_seam", "_id")
               .agg(F.min("_first").alias("_first"), F.sum("_n").alias("n")))
     return merged.select(*stream, *[F.col("_first")[c].alias(c) for c in order],
+                         *[F.col("_first")[f"_keep_{c}"].alias(c) for c in keep],
                          F.col("_first")["line"].alias("line"), F.col("_first")["key"].alias("key"), "n")
 
 
@@ -100,7 +109,8 @@ def smart_dedup(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequ
     third of the table costs a few rows per task.
     """
     stream, order = list(stream), list(order)
-    runs = islands(lines, stream, chunk, order, line, key, merge_blank=False)
+    runs = islands(require_keys(lines, stream), stream, chunk, order, line,
+                   F.coalesce(key, F.lit("")), merge_blank=False)
     blank = strip(F.col("key")) == ""
     words = runs.where(~blank)
     totals = words.groupBy(*stream, "key").agg(F.sum("n").alias("_total"), F.count("*").alias("_runs"))
@@ -127,6 +137,7 @@ def chunk_prefix(lines: DataFrame, stream: Sequence[str], chunk: str,
     window function.  The join key (stream, chunk) is unique on one side.
     """
     stream = list(stream)
+    lines = require_keys(lines, [*stream, chunk])
     per_chunk = lines.groupBy(*stream, chunk).agg(*[e.alias(c) for c, e in summary.items()])
     before = Window.partitionBy(*stream).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(*stream, chunk, *[e.over(before).alias(c) for c, e in prefix.items()])
@@ -217,7 +228,7 @@ def head_tail(lines: DataFrame, stream: Sequence[str], order: Sequence[str],
 
     stream, order = list(stream), list(order)
     head = limit * 2 // 3
-    rows = lines.select(*stream, *order, F.col(line).alias("line"))
+    rows = require_keys(lines, stream).select(*stream, *order, F.col(line).alias("line"))
     top = top_k_per_group(rows, stream, order, head, "_rank").withColumn("_part", F.lit(1))
     end = top_k_per_group(rows, stream, [F.col(c).desc() for c in order], limit - head, "_rank") \
         .withColumn("_part", F.lit(2))

@@ -18,10 +18,9 @@ def content_version(runs: DataFrame, key: Sequence[str], chunk: str, order: Sequ
                     text: str = "raw") -> DataFrame:
     """Versions of every key's output: number, first seen, runs, hash."""
     hashed = runs.select(*key, chunk, *order, F.sha1(F.encode(F.col(text), "utf-8")).alias("hash"))
-    runs_of = islands(hashed, key, chunk, order, "hash").drop("key").withColumnRenamed("line", "hash")
-    # Versions are numbered along the same chunks.
-    with_chunk = runs_of.join(hashed.select(*key, chunk, *order), [*key, *order])
-    return number_lines(with_chunk, key, chunk, order, "version").drop(chunk)
+    found = islands(hashed, key, chunk, order, "hash", keep=[chunk]).drop("key") \
+        .withColumnRenamed("line", "hash")
+    return number_lines(found, key, chunk, order, "version").drop(chunk)
 
 
 def with_previous(rows: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],

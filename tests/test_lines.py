@@ -144,3 +144,11 @@ def test_pattern_table_has_a_bound(spark):
     assert [r.name for r in rules.pattern_semi_anti(names, "name", inc, exc).collect()] == ["aws.web"]
     with pytest.raises(ValueError):
         rules.pattern_semi_anti(names, "name", names.selectExpr("name AS pattern"), max_patterns=2)
+
+
+def test_null_keys_fail_loudly(spark):
+    df = spark.createDataFrame([(None, 0, 1, "a")], "s string, chunk int, n int, line string")
+    with pytest.raises(Exception, match="null in key column s"):
+        L.number_lines(df, ["s"], "chunk", ["n"], "pos").collect()
+    with pytest.raises(Exception, match="null in key column s"):
+        L.head_tail(df, ["s"], ["n"]).collect()
