@@ -64,7 +64,7 @@ def last_redraw(text: Column) -> Column:
 
 
 def clean_control(text: Column) -> Column:
-    return last_redraw(strip_ansi(strip_bom(text)))
+    return let(strip_bom(text), lambda t: let(strip_ansi(t), last_redraw))
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:

@@ -172,8 +172,8 @@ def compact_plain(action: Column, text: Column) -> Column:
     limit = F.lit(P.MAX_LINES)
     for n in sorted({row[2] for row in PLAIN.values()}):
         limit = F.when(action.isin(*pick(2, lambda x, n=n: x == n)), n).otherwise(limit)
-    lines = T.split_lines(T.clean_control(text))
-    stripped = F.when(action.isin(*pick(0, bool)), A.drop_progress(lines)).otherwise(lines)
+    stripped = let(T.split_lines(T.clean_control(text)), lambda lines: F.when(
+        action.isin(*pick(0, bool)), A.drop_progress(lines)).otherwise(lines))
     return T.join_lines(A.head_tail(let(stripped, repeats), limit))
 
 
@@ -237,9 +237,9 @@ def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> C
             (("git_diff",), findings.compact_diff(text)), (("git_status",), findings.compact_status(text)),
             (("git_show",), findings.compact_show(text)),
             (("git_commit", "git_push", "git_add"), F.when(code == 0, good).otherwise(bad)),
-            (("test", "build", "install", "git_pull", "validate"),
-             let(cleaned, lambda t: runs.outcome(kind, t, code, errors))),
-            (("test_report",), let(cleaned, lambda t: runs.compact_test(t, code, errors))),
+            (("test", "build", "install", "git_pull", "validate", "test_report"),
+             let(cleaned, lambda t: F.when(act == "test_report", runs.compact_test(t, code, errors))
+                 .otherwise(runs.outcome(kind, t, code, errors)))),
             (("errors",), F.coalesce(errors, F.lit("(no error lines detected)"))),
             (("describe",), shapes.describe_fields(text)), (("status_fields",), shapes.status_fields(text)),
             (("plan_text",), shapes.plan_text_lines(text)), (("trace",), shapes.compact_trace(text)),
@@ -248,16 +248,16 @@ def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> C
             (("paths",), compact_paths(text)), (("listing",), compact_listing(text)),
             (("signatures",), T.join_lines(F.filter(lines, T.is_signature))),
         ]
-        special = (F.when(act.isin("train", "train_auto"), curve).when(act == "plan_json", compact_plan_json(text))
-                   .when(act == "pods", findings.compact_pods(text)))
+        special = F.when(act.isin("train", "train_auto"), curve).when(act == "pods", findings.compact_pods(text))
         fallback = F.when(act.isin("pods", "table"), table).otherwise(compact_plain(
             F.when(act == "train", "generic_train").when(act == "train_auto", "auto_text")
             .when(act == "plan_json", "generic_table").otherwise(act), text))
         out = F.coalesce(special, fallback)
         for names, c in reversed(cases):
             out = F.when(act.isin(*names), c).otherwise(out)
-        wrapped = rule.isin(*WRAPPED) & ~((act == "plan_json") & special.isNotNull()) & (act != "validate")
-        return F.when(wrapped & (code != 0), F.coalesce(errors, out)).otherwise(out)
+        # A failing run shows its errors; a plan read as JSON shows the plan.
+        wrapped = rule.isin(*WRAPPED) & (act != "validate") & (code != 0)
+        return F.coalesce(F.when(act == "plan_json", compact_plan_json(text)), F.when(wrapped, errors), out)
 
     errors = F.when((code != 0) | (rule == "errors"), runs.error_text(text))
     return F.when(rule.isin("", "measure"), text).otherwise(
