@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,11 @@ def find_lines(files: DataFrame, pattern: str, keys: Sequence[str], text: str =
     """Matching lines of every file with their line numbers (from 1)."""
     hits = F.filter(F.transform(T.split_lines(F.col(text)), lambda x, i: F.struct(
         (i + 1).alias("line_no"), x.alias("line"))), lambda h: h["line"].rlike(pattern))
-    # A text without any hit is settled before it is split.
-    return files.where(F.col(text).rlike(f"(?m){pattern}")) \
-        .select(*keys, F.inline(hits))
+    # A text without any hit is settled before it is split, unless the pattern
+    # can tell a line from the same line inside a text.
+    if not re.search(r"\(\?<?[=!]|\\[AzZGB]", pattern):
+        files = files.where(F.col(text).rlike(f"(?m){pattern}"))
+    return files.select(*keys, F.inline(hits))
 
 
 def group_matches(hits: DataFrame, file: str = "file", per_file: int = P.HITS_PER_FILE,

@@ -16,10 +16,12 @@ from loomsift.functions.text import let
 
 def _line_metrics(line: Column) -> Column:
     """(metric, value) pairs of one log line, in order."""
-    names = F.regexp_extract_all(line, F.lit(P.METRIC), 1)
-    values = F.regexp_extract_all(line, F.lit(P.METRIC), 2)
-    pairs = F.zip_with(names, values, lambda n, v: F.struct(
-        F.lower(n).alias("metric"), v.try_cast("double").alias("value")))
+    # One scan of the line; name and value are the ends of each match.
+    found = F.transform(F.regexp_extract_all(line, F.lit(P.METRIC), F.lit(0)),
+                        lambda m: F.translate(m, "=", ":"))
+    pairs = F.transform(found, lambda m: F.struct(
+        F.lower(T.strip(F.substring_index(m, ":", 1))).alias("metric"),
+        T.strip(F.substring_index(m, ":", -1)).try_cast("double").alias("value")))
     return F.filter(pairs, lambda p: ~p["metric"].isin(*P.METRIC_SKIP) & p["value"].isNotNull())
 
 
@@ -127,8 +129,8 @@ def training_curve(text: Column) -> Column:
 
 def compact_training(text: Column) -> Column:
     def num(v: Column) -> Column:
-        # Four significant digits are enough for a log line.
-        return F.format_string("%.4g", v)
+        # Four significant digits, without trailing zeros.
+        return F.regexp_replace(F.format_string("%.3e", v).cast("double").cast("string"), r"\.0$", "")
 
     def render(c: Column) -> Column:
         ranges = F.array_join(F.transform(c["metrics"], lambda m: F.concat(

@@ -198,19 +198,18 @@ def training_summary(spark, d):
                     "c.best_value", "c.since_best", "c.plateau")
 
 
+def _num(v: str) -> str:
+    return f"regexp_replace(CAST({v} AS VARCHAR), '\\.0$', '')"
+
+
 @query("train_run", f"""
-SELECT capture_id, 'Training {EPOCHS} epochs (loss ' || printf('%.4f', a.first) || '->' || printf('%.4f', a.last) || ', val_loss '
-  || printf('%.4f', b.first) || '->' || printf('%.4f', b.last) || ')' || chr(10) || 'Best: epoch ' || b.best_epoch || ' val_loss='
-  || printf('%.4f', b.best) || CASE WHEN {EPOCHS} - b.best_epoch >= 5 THEN ' | No improvement last ' || ({EPOCHS} - b.best_epoch)
+SELECT capture_id, 'Training {EPOCHS} epochs (loss ' || {_num('a.first')} || '->' || {_num('a.last')} || ', val_loss '
+  || {_num('b.first')} || '->' || {_num('b.last')} || ')' || chr(10) || 'Best: epoch ' || b.best_epoch || ' val_loss='
+  || {_num('b.best')} || CASE WHEN {EPOCHS} - b.best_epoch >= 5 THEN ' | No improvement last ' || ({EPOCHS} - b.best_epoch)
   || ' epochs (early-stop candidate)' ELSE '' END AS compact
-FROM {_SERIES} a JOIN {_SERIES} b USING (capture_id) WHERE a.metric = 'loss' AND b.metric = 'val_loss'
-  AND a.first >= 0.1 AND a.last >= 0.1 AND b.first >= 0.1 AND b.last >= 0.1 AND b.best >= 0.1""")
+FROM {_SERIES} a JOIN {_SERIES} b USING (capture_id) WHERE a.metric = 'loss' AND b.metric = 'val_loss'""")
 def train_run(spark, d):
-    # Below 0.1 the two engines print four significant digits differently.
-    c = TRAINING.df(spark, d).select("capture_id", profiles.training_curve(F.col("raw")).alias("c"),
-                                     shapes.train_run(F.col("raw")).alias("compact"))
-    small = F.exists("c.metrics", lambda m: (m["first"] < 0.1) | (m["last"] < 0.1)) | (F.col("c.best_value") < 0.1)
-    return c.where(~small).select("capture_id", "compact")
+    return TRAINING.df(spark, d).select("capture_id", shapes.train_run(F.col("raw")).alias("compact"))
 
 
 # --- findings ----------------------------------------------------------------

@@ -283,6 +283,7 @@ def test_files(spark, tmp_path):
     assert sig.compact == "# repo/src/core.py  (6 lines -> 3 signatures)\nimport os\nclass A:\n    def f(self):"
     hits = findings.find_lines(table, "class", ["path"])
     assert findings.count_matches(hits, "path").first() == (1, 1)
+    assert [r.line_no for r in findings.find_lines(table, r"(?<!\s)class", ["path"]).collect()] == [3]
     assert files.view_file(table, 2).where("path LIKE '%core.py'").first().compact.startswith("import os\n... [4 lines omitted] ...")
 
 
