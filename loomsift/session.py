@@ -26,19 +26,30 @@ def session(master: str | None = None, name: str = "loomsift", **conf: str) -> S
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared folder the cluster names.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.
 
-    Only where no ``spark.checkpoint.dir`` is set (tests, a laptop) is a local
-    temporary folder made and set for the session.
+    Only where none is set (tests, a laptop) does a local session get a temporary
+    folder, one for each application; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="loomsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = context.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="loomsift-")
+    return _LOCAL_ROOTS[app]
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
