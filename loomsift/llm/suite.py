@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from loomsift.llm.packing import op1_best_fit_packing
 from loomsift.llm.tokenfiles import op3_token_files
 
 
 def queries():
-    return {"op3_token_files": op3_token_files}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_files": op3_token_files}
 
 
 def oracles() -> dict[str, str]:
