@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from loomsift.llm.packing import op1_best_fit_packing
+from loomsift.llm.quality import op9_quality_rules
 from loomsift.llm.tokenfiles import op3_token_files
 
 
 def queries():
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_files": op3_token_files}
+    return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_token_files": op3_token_files,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracles() -> dict[str, str]:
