@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from loomsift.llm.packing import op1_best_fit_packing
 from loomsift.llm.quality import op9_quality_rules
+from loomsift.llm.secrets import op2_secret_scans
 from loomsift.llm.tokenfiles import op3_token_files
 
 
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_secret_scans": op2_secret_scans,
         "op3_token_files": op3_token_files,
         "op9_quality_rules": op9_quality_rules,
     }
