@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomsift.llm.packing import op1_best_fit_packing
 from loomsift.llm.quality import op9_quality_rules
 from loomsift.llm.secrets import op2_secret_scans
+from loomsift.llm.simhash import op8_simhash
 from loomsift.llm.tokenfiles import op3_token_files
 
 
@@ -13,6 +14,7 @@ def queries():
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_secret_scans": op2_secret_scans,
         "op3_token_files": op3_token_files,
+        "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
     }
 
