@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomsift.llm.neighbours import OP5_SQL, op5_nearest_neighbours
 from loomsift.llm.packing import op1_best_fit_packing
 from loomsift.llm.quality import op9_quality_rules
 from loomsift.llm.secrets import op2_secret_scans
@@ -14,10 +15,11 @@ def queries():
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_secret_scans": op2_secret_scans,
         "op3_token_files": op3_token_files,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_nearest_neighbours": OP5_SQL}
