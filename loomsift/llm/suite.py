@@ -7,6 +7,7 @@ from loomsift.llm.packing import op1_best_fit_packing
 from loomsift.llm.quality import op9_quality_rules
 from loomsift.llm.secrets import op2_secret_scans
 from loomsift.llm.simhash import op8_simhash
+from loomsift.llm.suffixes import op10_suffix_dedup
 from loomsift.llm.tokenfiles import op3_token_files
 
 
@@ -18,6 +19,7 @@ def queries():
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
