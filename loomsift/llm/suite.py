@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomsift.llm.neighbours import OP5_SQL, op5_nearest_neighbours
 from loomsift.llm.packing import op1_best_fit_packing
+from loomsift.llm.pii import op6_personal_data
 from loomsift.llm.quality import op9_quality_rules
 from loomsift.llm.secrets import op2_secret_scans
 from loomsift.llm.simhash import op8_simhash
@@ -17,6 +18,7 @@ def queries():
         "op2_secret_scans": op2_secret_scans,
         "op3_token_files": op3_token_files,
         "op5_nearest_neighbours": op5_nearest_neighbours,
+        "op6_personal_data": op6_personal_data,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_dedup": op10_suffix_dedup,
