@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomsift.llm.common import arrow_rows, doc_texts, written
 from loomsift.llm.eliasfano import EliasFano, pack
+from loomsift.llm.files import fetch, make_dir, store
 from loomsift.llm.tokens import WORD_BPE, bpe_words
 from loomsift.session import shared_dir
 
@@ -36,7 +37,7 @@ _HEAD = struct.Struct("<4siqqqiq")
 FILE_IDS = 1 << 22
 END_ID = 2
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
-READ = "part int, file int, at long, doc_id long, first long, n_tokens long, ids_crc32 long"
+READ = "part int, file int, at long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -70,27 +71,6 @@ class TokenFile:
         return self.ids[self.bounds.select(i):self.bounds.select(i + 1)].astype(np.uint32)
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
-def _store(path: str, data: bytes) -> None:
-    """Whole or not at all: written aside, then renamed."""
-    system, name = _filesystem(path)
-    part = f"{name}.part"
-    with system.open_output_stream(part) as out:
-        out.write(data)
-    system.move(part, name)
-
-
-def _fetch(path: str) -> pa.Buffer:
-    system, name = _filesystem(path)
-    with system.open_input_file(name) as f:
-        return f.read_buffer()
-
-
 def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every document, append ``end_id`` and write the files; returns the manifest.
 
@@ -98,9 +78,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int = EN
     ``end_id``), a null doc_id comes first.  A document longer than ``file_ids`` has a
     file for itself.  The folder must be one that every executor and the driver reach.
     """
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    system, name = _filesystem(uri)
-    system.create_dir(name, recursive=True)
+    uri = make_dir(folder)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         words = bpe_words(vocab)
@@ -111,7 +89,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int = EN
 
         def flush() -> tuple:
             path = f"{uri}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.lst"
-            _store(path, file_bytes([d for d, _ in held], [x for _, x in held]))
+            store(path, file_bytes([d for d, _ in held], [x for _, x in held]))
             return part, number, path, len(held), size
 
         for batch in batches:
@@ -135,32 +113,32 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int = EN
     return written(ordered.mapInArrow(task, MANIFEST), "token-files")
 
 
+def file_starts(manifest: DataFrame) -> DataFrame:
+    """The manifest with the ids before each file: sums within a part, then over the parts (one row for each part)."""
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return (manifest.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+            .join(base, "part").select("part", "file", "path", (F.col("base") + F.col("inside")).alias("file_start")))
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document read back: ``part``, ``file``, position ``at``, ``doc_id``,
-    ``first`` (offset in its file), ``n_tokens`` and ``ids_crc32``."""
+    ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``."""
     def rows(batch):
-        for part, number, path in zip(*(batch.column(c).to_pylist() for c in ("part", "file", "path")), strict=True):
-            file = TokenFile(_fetch(path))
+        for part, number, path, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            file = TokenFile(fetch(path))
             names = file.names.values()
             bounds = file.bounds.values()
             for i in range(file.n_docs):
                 a, b = int(bounds[i]), int(bounds[i + 1])
-                yield (part, number, i, None if i < file.n_null else int(names[i - file.n_null]), a, b - a,
+                yield (part, number, i, None if i < file.n_null else int(names[i - file.n_null]), before + a, b - a,
                        zlib.crc32(file.ids[a:b].astype("<u4").tobytes()))
 
     schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()),
-                        ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    return manifest.select("part", "file", "path").mapInArrow(arrow_rows(rows, schema), READ)
-
-
-def file_starts(manifest: DataFrame) -> DataFrame:
-    """Ids before each file: sums within a part, then over the parts (one row for each part)."""
-    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return (manifest.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-            .join(base, "part").select("part", "file", (F.col("base") + F.col("inside")).alias("file_start")))
+                        ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    return file_starts(manifest).mapInArrow(arrow_rows(rows, schema), READ)
 
 
 def token_output(docs: DataFrame, vocab: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
@@ -170,9 +148,7 @@ def token_output(docs: DataFrame, vocab: str, end_id: int = END_ID, folder: str
     An empty table gives no files and no rows; further columns of ``docs`` are not used.
     """
     folder = folder or shared_dir(docs.sparkSession, "token-ids")
-    manifest = write_token_files(docs, folder, vocab, end_id)
-    return (read_token_files(manifest).join(file_starts(manifest), ["part", "file"])
-            .select("doc_id", (F.col("file_start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"))
+    return read_token_files(write_token_files(docs, folder, vocab, end_id)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
