@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomsift.llm.lm import op7_language_model
 from loomsift.llm.neighbours import OP5_SQL, op5_nearest_neighbours
 from loomsift.llm.packing import op1_best_fit_packing
 from loomsift.llm.pii import op6_personal_data
@@ -19,6 +20,7 @@ def queries():
         "op3_token_files": op3_token_files,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_personal_data": op6_personal_data,
+        "op7_language_model": op7_language_model,
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_dedup": op10_suffix_dedup,
