@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomsift.llm.lattice import op4_sentencepiece_sampling
 from loomsift.llm.lm import op7_language_model
 from loomsift.llm.neighbours import OP5_SQL, op5_nearest_neighbours
 from loomsift.llm.packing import op1_best_fit_packing
@@ -18,6 +19,7 @@ def queries():
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_secret_scans": op2_secret_scans,
         "op3_token_files": op3_token_files,
+        "op4_sentencepiece_sampling": op4_sentencepiece_sampling,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_personal_data": op6_personal_data,
         "op7_language_model": op7_language_model,
