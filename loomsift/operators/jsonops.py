@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift import patterns as P
-from loomsift.functions.text import est_tokens, is_secret_key, strip, strip_bom
+from loomsift.functions.text import is_secret_key, let, strip, strip_bom
 
 
 def parse_json(text: Column) -> Column:
@@ -21,73 +21,86 @@ def read_json_docs(docs: DataFrame, text: str = "text", name: str = "json") -> D
     return docs.withColumn(name, parse_json(F.col(text)))
 
 
-def _kind(v: str) -> Column:
-    return F.schema_of_variant(F.col(v))
+ROWS = "array<struct<path:string,type:string,sample:string,n_items:bigint,redacted:boolean>>"
+OPEN = "array<struct<path:string,v:variant>>"
 
 
-def _is_object(v: str) -> Column:
-    return F.startswith(_kind(v), F.lit("OBJECT"))
+def json_rows(text: Column, mask: bool = True) -> Column:
+    """Structure of a JSON text as an array of rows; null when the text is not JSON.
 
+    A row has ``path``, ``type``, ``sample`` (strings over 60 characters are clipped,
+    values of secret-looking keys masked, ``{}`` for an empty object), ``n_items``
+    (lists) and ``redacted``.  Lists show their first element.  Nothing is cut by
+    depth: levels are opened until none is left, which is at most as often as the text
+    has opening brackets.
+    """
+    def kind(v: Column) -> Column:
+        return F.schema_of_variant(v)
 
-def _is_array(v: str) -> Column:
-    return F.startswith(_kind(v), F.lit("ARRAY"))
+    def entries(v: Column) -> Column:
+        return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
 
+    def items(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "array<variant>")
 
-def json_profile(docs: DataFrame, keys: Sequence[str], text: str = "text",
-                 mask: bool = True, max_depth: int = 12) -> DataFrame:
-    """Structure of every JSON document, one row per path.
+    def node(path: Column, v: Column, hidden: Column) -> Column:
+        return F.struct(path.alias("path"), v.alias("v"), hidden.alias("hidden"))
 
-    Result: keys, ``path``, ``type``, ``sample`` (strings over 60 characters are
-    clipped, values of secret-looking keys masked), ``n_items`` (lists) and
-    ``redacted``.  Lists show their first element.
+    def children(o: Column) -> Column:
+        inside = F.transform(entries(o["v"]), lambda e: node(
+            F.concat(o["path"], F.lit("."), e["key"]), e["value"], is_secret_key(e["key"]) if mask else F.lit(False)))
+        first = F.transform(F.slice(items(o["v"]), 1, 1), lambda x: node(F.concat(o["path"], F.lit("[]")), x, F.lit(False)))
+        return F.when(F.startswith(kind(o["v"]), F.lit("OBJECT")), inside).otherwise(first)
 
-    Documents are opened level by level in one narrow pass without an exchange.
-    A document nested deeper than ``max_depth`` fails the job; nothing is cut.
-    """
-    names, keys = list(keys), [f"_key{i}" for i in range(len(keys))]
-    cur = (docs.select(*[F.col(c).alias(k) for c, k in zip(names, keys)], parse_json(F.col(text)).alias("v"))
-           .where(F.col("v").isNotNull())
-           .select(*keys, F.lit("$").alias("path"), "v", F.lit(False).alias("redacted"),
-                   F.lit(True).alias("open")))
-    spark = docs.sparkSession
-    for _ in range(max_depth):
-        # An open value stays as a row of its own and is opened next to it; a
-        # scalar has nothing inside and its second copy falls away.
-        more = F.col("open") & ~F.col("redacted")
-        cur = cur.withColumn("copy", F.explode(F.when(more, F.array(F.lit(0), F.lit(1)))
-                                               .otherwise(F.array(F.lit(0)))))
-        cur = cur.withColumn("inner", F.when(F.col("copy") == 1, F.col("v")))
-        cur = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("inner").outer()))
-        first = (F.col("copy") == 0) | F.col("key").isNotNull() | (F.col("pos") == 0)
-        child_path = F.when(F.col("key").isNotNull(), F.concat("path", F.lit("."), "key")) \
-            .otherwise(F.concat("path", F.lit("[]")))
-        secret = is_secret_key(F.col("key")) if mask else F.lit(False)
-        cur = cur.where(first).select(
-            *keys,
-            F.when(F.col("copy") == 0, F.col("path")).otherwise(child_path).alias("path"),
-            F.when(F.col("copy") == 0, F.col("v")).otherwise(F.col("value")).alias("v"),
-            F.when(F.col("copy") == 0, F.col("redacted"))
-            .otherwise(F.coalesce(secret, F.lit(False))).alias("redacted"),
-            (F.col("copy") == 1).alias("open"))
-    deep = F.col("open") & ~F.col("redacted") & (_is_object("v") | _is_array("v"))
-    kind = _kind("v")
-    type_name = (F.when(_is_object("v"), "object").when(_is_array("v"), "array")
-                 .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
-                 .when(kind == "VOID", "null").otherwise("number"))
-    plain = F.col("v").cast("string")
-    clipped = F.when(F.length(plain) > P.JSON_STRING_CHARS,
-                     F.concat(F.substring(plain, 1, P.JSON_STRING_CHARS - 3), F.lit("..."))) \
-        .otherwise(plain)
-    n_items = F.when(_is_array("v"), F.size(F.variant_get("v", "$", "array<variant>")))
-    return cur.select(
-        *[F.col(k).alias(c) for c, k in zip(names, keys)],
-        F.when(deep, F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")))
-        .otherwise(F.col("path")).alias("path"),
-        F.when(F.col("redacted"), "redacted").otherwise(type_name).alias("type"),
-        F.when(F.col("redacted"), F.lit(P.MASK))
-        .when(_is_object("v") | _is_array("v"), F.lit(None))
-        .when(kind == "STRING", clipped).otherwise(plain).alias("sample"),
-        F.when(~F.col("redacted"), n_items).cast("bigint").alias("n_items"), "redacted")
+    def row(n: Column) -> Column:
+        def typed(k: Column) -> Column:
+            is_object, is_array = F.startswith(k, F.lit("OBJECT")), F.startswith(k, F.lit("ARRAY"))
+            plain = n["v"].cast("string")
+            clipped = F.when(F.length(plain) > P.JSON_STRING_CHARS,
+                             F.concat(F.substring(plain, 1, P.JSON_STRING_CHARS - 3), F.lit("..."))).otherwise(plain)
+            return F.struct(
+                n["path"].alias("path"),
+                F.when(n["hidden"], "redacted").when(is_object, "object").when(is_array, "array").when(k == "STRING", "string")
+                .when(k == "BOOLEAN", "boolean").when(k == "VOID", "null").otherwise("number").alias("type"),
+                F.when(n["hidden"], P.MASK).when(is_object, F.when(F.size(entries(n["v"])) == 0, "{}")).when(is_array, F.lit(None))
+                .when(k == "STRING", clipped).otherwise(plain).alias("sample"),
+                F.when(~n["hidden"] & is_array, F.size(items(n["v"]))).cast("bigint").alias("n_items"),
+                n["hidden"].alias("redacted"))
+        return let(kind(n["v"]), typed)
+
+    def state(done: Column, fresh: Column) -> Column:
+        more = F.filter(fresh, lambda n: ~n["hidden"] & kind(n["v"]).rlike("^(OBJECT|ARRAY)"))
+        return F.struct(F.concat(done, F.transform(fresh, row)).cast(ROWS).alias("done"),
+                        F.transform(more, lambda n: F.struct(n["path"].alias("path"), n["v"].alias("v"))).cast(OPEN).alias("open"))
+
+    def level(acc: Column) -> Column:
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(
+            let(F.flatten(F.transform(acc["open"], children)), lambda fresh: state(acc["done"], fresh)))
+
+    def opened(v: Column) -> Column:
+        root = F.array(node(F.lit("$"), v, F.lit(False)))
+        openers = F.length(text) - F.length(F.translate(text, "{[", ""))
+        return F.aggregate(F.sequence(F.lit(0), openers), state(F.array().cast(ROWS), root), lambda acc, _: level(acc))["done"]
+
+    return let(parse_json(text), lambda v: F.when(v.isNotNull(), opened(v)))
+
+
+def json_lines(rows: Column) -> Column:
+    """Ordered ``path=sample`` lines of the rows of a document; objects show through their members."""
+    shown = F.filter(rows, lambda r: r["sample"].isNotNull() | r["n_items"].isNotNull() | (r["type"] == "null"))
+    return F.array_join(F.array_sort(F.transform(shown, lambda r: F.concat(r["path"], F.lit("="), F.coalesce(
+        r["sample"], F.concat(F.lit("("), r["n_items"].cast("string"), F.lit(" items)")), F.lit("null"))))), "\n")
+
+
+def compact_json(text: Column, mask: bool = True) -> Column:
+    """``compact`` and ``redacted`` of a JSON text in one struct; null when it is not JSON."""
+    return let(json_rows(text, mask), lambda rows: F.when(rows.isNotNull(), F.struct(
+        json_lines(rows).alias("compact"), F.exists(rows, lambda r: r["redacted"]).alias("redacted"))))
+
+
+def json_profile(docs: DataFrame, keys: Sequence[str], text: str = "text", mask: bool = True) -> DataFrame:
+    """Structure of every JSON document, one row per path (see ``json_rows``), next to ``keys``."""
+    return docs.select(*keys, F.inline(json_rows(F.col(text), mask)))
 
 
 def corpus_profile(profile: DataFrame, key: str) -> DataFrame:
@@ -100,22 +113,17 @@ def corpus_profile(profile: DataFrame, key: str) -> DataFrame:
 
 
 def json_compact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Ordered ``path=sample`` lines per JSON document (``key`` is unique)."""
-    rows = json_profile(docs, [key], text)
-    shown = rows.where(F.col("sample").isNotNull() | F.col("n_items").isNotNull())
-    line = F.concat("path", F.lit("="), F.coalesce(
-        "sample", F.concat(F.lit("("), F.col("n_items").cast("string"), F.lit(" items)"))))
-    # The lines of one document are no longer than the document itself.
-    return shown.groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("compact"))
+    """``key`` and the ``path=sample`` lines of every row that holds a JSON document."""
+    return docs.select(key, compact_json(F.col(text))["compact"].alias("compact")).where(F.col("compact").isNotNull())
 
 
 def secret_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Inventory of secret-looking top-level keys with their counts."""
-    v = docs.select(parse_json(F.col(text)).alias("v")).where(F.col("v").isNotNull())
-    pairs = v.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    return (pairs.where(F.col("key").isNotNull() & is_secret_key(F.col("key")))
-            .groupBy("key").agg(F.count("*").alias("n")))
+    """Inventory of secret-looking keys at every level with their counts.
+
+    What stands below a secret key is not looked into; of a list the first element is.
+    """
+    rows = docs.select(F.explode(F.filter(json_rows(F.col(text)), lambda r: r["redacted"])).alias("r"))
+    return rows.select(F.element_at(F.split("r.path", r"\."), -1).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 # --- typed payloads ----------------------------------------------------------
@@ -246,6 +254,128 @@ def cost_topn(rows: DataFrame, group: str = "group", cost: str = "cost", k: int
     return top.withColumn("_t", totals).select(group, "cost", "_t.total", "_t.groups")
 
 
+# --- cloud payloads as text --------------------------------------------------
+
+def _lines(*parts: Column) -> Column:
+    """The parts that are not null, one below the other."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n")
+
+
+def _pairs(entries: Column, shown: int) -> Column:
+    return F.array_join(F.transform(F.slice(entries, 1, shown), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("?")))), " ")
+
+
+def _numbers(entries: Column) -> Column:
+    """Numbers with four significant digits at most; other values as they are."""
+    def short(x: Column) -> Column:
+        exact = x.rlike(r"^-?[0-9]+$") | x.try_cast("double").isNull()
+        return F.when(exact, x).otherwise(F.regexp_replace(F.regexp_replace(
+            F.format_string("%.4g", x.try_cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), short(e["value"]).alias("value")))
+
+
+def _object(v: Column, path: str) -> Column:
+    return F.map_entries(F.coalesce(F.try_variant_get(v, path, "map<string,string>"), F.create_map().cast("map<string,string>")))
+
+
+def _named(v: Column, *paths: str) -> Column:
+    return F.coalesce(*(F.try_variant_get(v, p, "string") for p in paths), F.lit("?"))
+
+
+def _titled(title: str, body: Column) -> Column:
+    return F.when(body != "", F.concat(F.lit(title), body))
+
+
+def duration(seconds: Column) -> Column:
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
+    return F.when(seconds.isNull(), "?").when(h > 0, F.concat(h.cast("string"), F.lit("h"), m.cast("string"), F.lit("m"))) \
+        .when(m > 0, F.concat(m.cast("string"), F.lit("m"), F.lpad(s.cast("string"), 2, "0"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+
+
+def cluster_text(v: Column) -> Column:
+    pools = F.transform(F.coalesce(F.try_variant_get(v, "$.agentPoolProfiles", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.concat(
+        _named(p, "$.name"), F.lit("("), _named(p, "$.count"), F.lit("x"), F.replace(_named(p, "$.vmSize"), F.lit("Standard_"), F.lit("")), F.lit(","),
+        _named(p, "$.osType"), F.lit(","), _named(p, "$.mode"), F.lit(")")))
+    managed = F.when(F.coalesce(F.try_variant_get(v, "$.aadProfile.managed", "boolean"), F.lit(False)), "AAD managed").otherwise("no AAD")
+    tags = F.array_join(F.transform(F.slice(_object(v, "$.tags"), 1, 8), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")))), ", ")
+    return _lines(
+        F.concat(F.lit("AKS "), _named(v, "$.name"), F.lit(" | "), _named(v, "$.location"), F.lit(" | k8s "), _named(v, "$.kubernetesVersion"),
+                 F.lit(" | "), _named(v, "$.provisioningState"), F.lit("/"), _named(v, "$.powerState.code")),
+        _titled("Pools: ", F.array_join(pools, ", ")),
+        F.concat(F.lit("Identity: "), _named(v, "$.identity.type"), F.lit(" | "), managed, F.lit(" | networkPlugin: "), _named(v, "$.networkProfile.networkPlugin")),
+        _titled("tags: ", tags))
+
+
+def job_text(v: Column) -> Column:
+    """A training job of three services; null when no service's fields are there."""
+    listed = F.transform(F.coalesce(F.try_variant_get(v, "$.FinalMetricDataList", "array<variant>"), F.array().cast("array<variant>")), lambda m: F.struct(
+        _named(m, "$.MetricName").alias("key"), F.try_variant_get(m, "$.Value", "string").alias("value")))
+    name = F.try_variant_get(v, "$.TrainingJobName", "string")
+    first = _lines(
+        F.concat(name, F.lit(" | "), _named(v, "$.TrainingJobStatus"), F.lit(" | "), duration(F.try_variant_get(v, "$.BillableTimeInSeconds", "bigint")),
+                 F.lit(" billable | "), _named(v, "$.ResourceConfig.InstanceType")),
+        _titled("HP: ", _pairs(_object(v, "$.HyperParameters"), 6)), _titled("Metrics: ", _pairs(_numbers(listed), 8)))
+    second = _lines(
+        F.concat(F.lit("AzureML job "), _named(v, "$.display_name", "$.name"), F.lit(" | "), _named(v, "$.status"), F.lit(" | compute: "),
+                 _named(v, "$.compute", "$.resources.instance_type")),
+        _titled("Metrics: ", _pairs(_numbers(_object(v, "$.metrics")), 8)))
+    third = F.concat(F.lit("Vertex job "), _named(v, "$.displayName", "$.name"), F.lit(" | "), _named(v, "$.state"), F.lit(" | "),
+                     _named(v, "$.jobSpec.workerPoolSpecs[0].machineSpec.machineType"))
+    vertex = F.try_variant_get(v, "$.jobSpec", "variant").isNotNull() | F.try_variant_get(v, "$.state", "string").isNotNull()
+    return F.when(name.isNotNull(), first).when(vertex, third).otherwise(second)
+
+
+def cost_text(v: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """Total and the ten most expensive groups; null without priced rows."""
+    def part(name: str, kind: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, f"$.properties.{name}", kind), F.try_variant_get(v, f"$.{name}", kind))
+
+    def render(x: Column) -> Column:
+        def position(match) -> Column:
+            return F.nullif(F.array_position(F.transform(x["cols"], match), F.lit(True)), F.lit(0)).cast("int") - 1
+
+        c = F.coalesce(position(lambda n: F.contains(n, F.lit("cost"))), F.lit(0))
+        g = F.coalesce(position(lambda n: n.isin(*P.COST_GROUP_COLUMNS)), F.when(F.size(x["cols"]) > 1, 1).otherwise(0))
+        rows = F.filter(F.transform(x["rows"], lambda r: F.struct(F.coalesce(F.get(r, g), F.lit("?")).alias("g"), F.get(r, c).try_cast("double").alias("c"))),
+                        lambda r: r["c"].isNotNull() & allowed(r["g"], include, exclude))
+
+        def summed(r: Column) -> Column:
+            names = F.array_distinct(F.transform(r, lambda y: y["g"]))
+            sums = F.array_sort(F.transform(names, lambda n: F.struct(
+                (-F.aggregate(F.filter(r, lambda y: y["g"] == n), F.lit(0.0), lambda a, y: a + y["c"])).alias("c"), n.alias("g"))))
+            total = F.aggregate(r, F.lit(0.0), lambda a, y: a + y["c"])
+            return F.when(F.size(r) > 0, F.array_join(F.concat(
+                F.array(F.format_string("Cost total: %.2f (%d groups)", total, F.size(names))),
+                F.transform(F.slice(sums, 1, 10), lambda y: F.concat(F.lit("  "), y["g"], F.lit(": "), F.format_string("%.2f", -y["c"])))), "\n"))
+        return let(rows, summed)
+
+    cols = F.transform(part("columns", "array<variant>"), lambda c: F.lower(F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit(""))))
+    return let(F.struct(cols.alias("cols"), part("rows", "array<array<string>>").alias("rows")),
+               lambda x: F.when((F.size(x["cols"]) > 0) & (F.size(x["rows"]) > 0), render(x)))
+
+
+def api_text(v: Column, shown: int = 40) -> Column:
+    def one(i: Column) -> Column:
+        live = F.coalesce(F.try_variant_get(i, "$.isCurrent", "boolean"), F.lit(False)) | F.coalesce(F.try_variant_get(i, "$.state", "string") == "published", F.lit(False))
+        state = F.when(live, "published").otherwise(F.coalesce(F.try_variant_get(i, "$.state", "string"), F.lit("")))
+        return F.rtrim(F.concat(F.lit("  "), _named(i, "$.name", "$.displayName"), F.lit(" "), F.coalesce(F.try_variant_get(i, "$.path", "string"), F.lit("")), F.lit(" "), state))
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    more = F.size(items) - shown
+    return _lines(F.concat(F.size(items).cast("string"), F.lit(" API item(s)")), F.nullif(F.array_join(F.transform(F.slice(items, 1, shown), one), "\n"), F.lit("")),
+                  F.when(more > 0, F.concat(F.lit("  ...(+"), more.cast("string"), F.lit(" more)"))))
+
+
+def compact_cloud(kind: Column, text: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """Text of a known cloud payload (cluster, job, cost, api); null for any other kind or shape."""
+    def render(v: Column) -> Column:
+        def named(*paths: str) -> Column:
+            return F.coalesce(*(F.try_variant_get(v, p, "string") for p in paths)).isNotNull()
+        return (F.when((kind == "cluster") & named("$.name"), cluster_text(v))
+                .when((kind == "job") & F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), job_text(v))
+                .when(kind == "cost", cost_text(v, include, exclude)).when(kind == "api", api_text(v)))
+    return let(parse_json(F.when(kind.isNotNull(), text)), lambda v: F.when(v.isNotNull(), render(v)))
+
+
 # --- change sets -------------------------------------------------------------
 
 PLAN_SCHEMA = ("struct<resource_changes: array<struct<address: string, change: struct<"
@@ -279,7 +409,14 @@ def plan_summary(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def short_value(v: Column) -> Column:
-    return F.when(F.length(v) <= 40, v).otherwise(F.concat(F.substring(v, 1, 37), F.lit("...")))
+    """A scalar clipped to 40 characters; of a nested value only ``{...}`` or the number of items.
+
+    Attribute values are JSON text (strings without quotes); a nested one may hold secrets at any depth.
+    """
+    items = F.size(F.from_json(v, "array<string>"))
+    return (F.when(v.rlike(r"^\s*\{"), "{...}")
+            .when(v.rlike(r"^\s*\["), F.concat(F.lit("["), F.coalesce(items, F.lit(1)).cast("string"), F.lit("]")))
+            .when(F.length(v) <= 40, v).otherwise(F.concat(F.substring(v, 1, 37), F.lit("..."))))
 
 
 def attr_diff(changes: DataFrame, keys: Sequence[str], limit: int = P.ATTRS_SHOWN,
@@ -308,7 +445,3 @@ def attr_diff(changes: DataFrame, keys: Sequence[str], limit: int = P.ATTRS_SHOW
                        F.when(secret, P.MASK).otherwise(short_value(F.col("d.old"))).alias("old"),
                        F.when(secret, P.MASK).otherwise(short_value(F.col("d.new"))).alias("new"),
                        "hidden")
-
-
-def token_saving(raw: Column, compact: Column) -> Column:
-    return est_tokens(raw) - est_tokens(compact)

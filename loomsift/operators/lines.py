@@ -23,9 +23,9 @@ CHUNK_LINES = 65536
 
 
 def explode_lines(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Documents to numbered lines, counted from 1."""
-    return docs.select(*keep, F.posexplode(split_lines(F.col(text))).alias("n", "line")) \
-        .withColumn("n", F.col("n") + 1)
+    """Documents to lines numbered by ``at``, counted from 1."""
+    return docs.select(*keep, F.posexplode(split_lines(F.col(text))).alias("at", "line")) \
+        .withColumn("at", F.col("at") + 1)
 
 
 def line_chunk(n: Column, size: int = CHUNK_LINES) -> Column:
@@ -45,7 +45,7 @@ def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence
 
     Result: stream columns, the order columns of the first line, ``line`` (the
     first line), ``key``, ``n`` (lines in the run) and the ``keep`` columns of the
-    first line.
+    first line.  Null lines equal each other, wherever the chunks are cut.
 
     Runs are found inside each chunk first.  Only the first and the last run of
     a chunk can continue in a neighbour, so only those share a second window
@@ -56,7 +56,7 @@ def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence
                         *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(line).alias("line"),
                         (key if key is not None else F.col(line)).alias("key"))
     inside = Window.partitionBy(*stream, "_chunk").orderBy(*order)
-    new = ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | F.lag("key").over(inside).isNull()
+    new = ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | F.lag(F.lit(1)).over(inside).isNull()
     if not merge_blank:
         new = new | (strip(F.col("key")) == "")
     # Every line of a run carries the same run number, so a run aggregates in

@@ -52,8 +52,9 @@ def training_facts(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> D
     e = runs.select(*keys, F.posexplode(training_epochs(F.col(text))).alias("epoch", "pairs"))
 
     def last_values(pairs: Column) -> Column:
-        return F.filter(pairs, lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["metric"] == p["metric"]))
+        # One pass for each of the few metric names.
+        return F.transform(F.array_distinct(F.transform(pairs, lambda p: p["metric"])), lambda m: F.element_at(
+            F.filter(pairs, lambda p: p["metric"] == m), -1))
 
     return e.select(*keys, (F.col("epoch") + 1).cast("bigint").alias("epoch"), F.inline(last_values(F.col("pairs"))))
 

@@ -144,6 +144,12 @@ def _short_name(line: Column) -> Column:
     return _base_name(F.substring_index(test, "::", -1))
 
 
+def _full_name(line: Column) -> Column:
+    """Test name of a summary line with its parameters."""
+    name = F.substring_index(F.regexp_replace(line, r"^(FAILED|ERROR) ", ""), " - ", 1)
+    return F.concat(_short_name(line), F.regexp_extract(name, r"(\[.*\])$", 1))
+
+
 def test_failures(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> DataFrame:
     """One row per failing test of every run: summary line and details.
 
@@ -180,28 +186,47 @@ def compact_test(text: Column, code: Column, errors: Column | None = None) -> Co
 
     Null when the text of a failing run has no test report in it.
     """
+    none = F.array().cast("array<string>")
+
+    def indented(details: Column) -> Column:
+        return F.coalesce(F.transform(details, lambda d: F.concat(F.lit("  "), d)), none)
+
     def render(r: Column) -> Column:
-        def with_names(names: Column) -> Column:
-            def lines_of(short: Column) -> Column:
-                at = F.array_position(names, _short_name(short)).cast("int") - 1
-                det = F.when(at >= 0, F.get(r["blocks"], at)["details"])
-                return F.concat(F.array(short), F.coalesce(
-                    F.transform(det, lambda d: F.concat(F.lit("  "), d)), F.array().cast("array<string>")))
-            shown = F.slice(r["shorts"], 1, 15)
-            short_names = F.transform(shown, _short_name)
-            rest = F.filter(F.slice(r["blocks"], 1, 15),
-                            lambda b: ~F.array_contains(short_names, _base_name(b["name"])))
-            tail = F.flatten(F.transform(rest, lambda b: F.concat(
-                F.array(F.concat(F.lit("FAILED "), b["name"])),
-                F.transform(b["details"], lambda d: F.concat(F.lit("  "), d)))))
-            more = F.size(r["shorts"]) - 15
-            parts = F.concat(
-                F.filter(F.array(r["summary"]), lambda s: s != ""),
-                F.flatten(F.transform(shown, lines_of)), tail,
-                F.when(more > 0, F.array(F.concat(F.lit("...(+"), more.cast("string"), F.lit(" more failures)"))))
-                .otherwise(F.array().cast("array<string>")))
-            return F.when(F.size(parts) > 0, T.join_lines(parts))
-        return let(F.transform(r["blocks"], lambda b: _base_name(b["name"])), with_names)
+        # A summary line takes the block of its full name with parameters, else that of
+        # its base name; the k-th line of a name takes the k-th block.
+        names = F.struct(
+            F.transform(r["shorts"], lambda x: F.struct(_full_name(x).alias("full"), _short_name(x).alias("base"))).alias("s"),
+            F.transform(r["blocks"], lambda b: F.struct(F.substring_index(F.substring_index(b["name"], "[", 1), ".", -1).alias("base"), F.concat(
+                _base_name(b["name"]), F.substring(b["name"], F.length(F.substring_index(b["name"], "[", 1)) + 1, F.length(b["name"]))).alias("full"))).alias("b"))
+
+        def with_names(n: Column) -> Column:
+            def nth(rows: Column, i: Column, field: str, want: Column) -> Column:
+                """How many of the first ``i`` rows have this name."""
+                return F.size(F.filter(F.slice(rows, F.lit(1), i), lambda x: x[field] == want))
+
+            def block_of(i: Column) -> Column:
+                s = F.get(n["s"], i)
+
+                def by(field: str) -> Column:
+                    hits = F.filter(F.transform(n["b"], lambda x, j: F.struct(x[field].alias("name"), j.alias("j"))), lambda x: x["name"] == s[field])
+                    return F.get(hits, nth(n["s"], i, field, s[field]))["j"]
+                return F.coalesce(by("full"), F.when(~F.exists(n["b"], lambda x: x["full"] == s["full"]), by("base")))
+
+            def with_blocks(at: Column) -> Column:
+                shown = F.slice(r["shorts"], 1, 15)
+                lines = F.flatten(F.transform(shown, lambda x, i: F.concat(F.array(x), indented(F.get(r["blocks"], F.get(at, i))["details"]))))
+                lone = F.filter(F.transform(r["blocks"], lambda b, j: F.struct(b.alias("b"), j.alias("j"))), lambda x: ~F.exists(at, lambda a: a.eqNullSafe(x["j"])))
+
+                def with_lone(rest: Column) -> Column:
+                    tail = F.flatten(F.transform(F.slice(rest, 1, 15), lambda x: F.concat(
+                        F.array(F.concat(F.lit("FAILED "), x["b"]["name"])), indented(x["b"]["details"]))))
+                    more = F.greatest(F.size(r["shorts"]) - 15, F.lit(0)) + F.greatest(F.size(rest) - 15, F.lit(0))
+                    parts = F.concat(F.filter(F.array(r["summary"]), lambda s: s != ""), lines, tail, F.when(
+                        more > 0, F.array(F.concat(F.lit("...(+"), more.cast("string"), F.lit(" more failures)")))).otherwise(none))
+                    return F.when(F.size(parts) > 0, T.join_lines(parts))
+                return let(lone, with_lone)
+            return let(F.transform(n["s"], lambda _, i: block_of(i)), with_blocks)
+        return let(names, with_names)
 
     passed = T.strip(_found(text, P.TEST_PASSED))
     good = F.coalesce(F.concat(F.lit("PASSED  ("), passed, F.lit(")")), F.lit("PASSED"))

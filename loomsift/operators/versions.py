@@ -35,22 +35,23 @@ def with_previous(rows: DataFrame, stream: Sequence[str], chunk: str, order: Seq
         {f"prev_{c}": F.col("_prev")[c] for c in columns}).drop("_prev", "_before")
 
 
-def _bag_minus(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_except(a, b))
-
-
 def snapshot_changes(old: Column, new: Column) -> Column:
     """Removed and added lines between two texts, as a multiset difference.
 
-    Array of (sign, line, occurrence); a moved line is no change.
+    Array of (sign, line, occurrence); a moved line is no change.  Lines with their
+    occurrence are compared as strings, which takes one hash lookup each.
     """
-    def diff(a: Column, b: Column) -> Column:
-        def signed(sign: str, rows: Column) -> Column:
-            return F.transform(rows, lambda r: F.struct(
+    def keyed(text: Column) -> Column:
+        return F.transform(A.with_occurrence(T.split_lines(text)), lambda r: F.concat(r["line"], F.lit("\0"), r["occurrence"].cast("string")))
+
+    def signed(sign: str, keys: Column) -> Column:
+        return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(
+            F.substring(k, F.lit(1), F.length(k) - F.length(F.substring_index(k, "\0", -1)) - 1).alias("line"),
+            F.substring_index(k, "\0", -1).cast("int").alias("occurrence")))), lambda r: F.struct(
                 F.lit(sign).alias("sign"), r["line"].alias("line"), r["occurrence"].alias("occurrence")))
-        return F.concat(signed("-", _bag_minus(a, b)), signed("+", _bag_minus(b, a)))
-    return let(A.with_occurrence(T.split_lines(old)), lambda a: let(
-        A.with_occurrence(T.split_lines(new)), lambda b: diff(a, b)))
+
+    return let(F.struct(keyed(old).alias("a"), keyed(new).alias("b")), lambda x: F.concat(
+        signed("-", F.array_except(x["a"], x["b"])), signed("+", F.array_except(x["b"], x["a"]))))
 
 
 def snapshot_diff(pairs: DataFrame, old: str = "old", new: str = "new",

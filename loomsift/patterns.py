@@ -160,3 +160,6 @@ ERROR_HINTS = ("error", "fail", "fatal", "panic", "exception", "traceback",
                "assert", "denied", "refused", "cannot", "unable", "invalid",
                "not found", "unresolved", "conflict", "✗", "✖", "×")
 ERROR_CODE_HINT = r"[Ee]\d\d"
+
+#: A row of a printed classification report: a label, three scores and a count.
+REPORT_ROW = r"(?m)^\s*\S.*?\s+[01]\.\d+\s+[01]\.\d+\s+[01]\.\d+\s+\d+\s*$"

@@ -99,12 +99,16 @@ def compact_listing(text: Column) -> Column:
     return let(T.split_lines(text), render)
 
 
-def compact_plan_json(text: Column) -> Column:
-    """Planned changes of a JSON plan; null when the text is not one."""
+def compact_plan_json(text: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """Planned changes of a JSON plan; null when the text is not one.
+
+    Only resources whose address matches any ``include`` and no ``exclude`` pattern count.
+    """
     def render(changes: Column) -> Column:
         def actions(c: Column) -> Column:
             return F.array_join(F.coalesce(c["change"]["actions"], F.array().cast("array<string>")), ",")
-        real = F.filter(changes, lambda c: ~actions(c).isin("", "no-op", "read"))
+        real = F.filter(changes, lambda c: ~actions(c).isin("", "no-op", "read")
+                        & jsonops.allowed(F.coalesce(c["address"], F.lit("?")), include, exclude))
 
         def attrs(c: Column) -> Column:
             none = F.create_map().cast("map<string,string>")
@@ -208,8 +212,12 @@ def action_of(rule: Column, argv: Column, code: Column, text: Column) -> Column:
 WRAPPED = ("container", "plan", "cloud", "journal", "units", "train")
 
 
-def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> Column:
-    """Compact text of one capture for every rule that needs no other row.
+CLEANED = ("test", "test_report", "build", "package", "plan")
+
+
+def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column,
+                    include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """Compact text of one capture for every rule.
 
     Every treatment occurs once; the action picks one of them per row.
     """
@@ -231,7 +239,8 @@ def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> C
         bad = F.when(act == "git_commit", F.coalesce(
             F.nullif(T.join_lines(A.error_lines(lines)), F.lit("")), text)).otherwise(text)
         curve = profiles.compact_training(text)
-        table = findings.compact_table(text, drop)
+        shown = T.clean_control(text)
+        table = findings.compact_table(shown, drop)
         cases = [
             (("same",), text), (("empty",), F.lit("")),
             (("git_diff",), findings.compact_diff(text)), (("git_status",), findings.compact_status(text)),
@@ -241,14 +250,14 @@ def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> C
              let(cleaned, lambda t: F.when(act == "test_report", runs.compact_test(t, code, errors))
                  .otherwise(runs.outcome(kind, t, code, errors)))),
             (("errors",), F.coalesce(errors, F.lit("(no error lines detected)"))),
-            (("describe",), shapes.describe_fields(text)), (("status_fields",), shapes.status_fields(text)),
+            (("describe",), shapes.describe_fields(shown)), (("status_fields",), shapes.status_fields(shown)),
             (("plan_text",), shapes.plan_text_lines(text)), (("trace",), shapes.compact_trace(text)),
             (("binary",), shapes.binary_note(text)), (("response",), shapes.compact_response(text)),
             (("lint",), compact_lint(text, code)), (("search",), compact_search(text)),
             (("paths",), compact_paths(text)), (("listing",), compact_listing(text)),
             (("signatures",), T.join_lines(F.filter(lines, T.is_signature))),
         ]
-        special = F.when(act.isin("train", "train_auto"), curve).when(act == "pods", findings.compact_pods(text))
+        special = F.when(act.isin("train", "train_auto"), curve).when(act == "pods", findings.compact_pods(shown))
         fallback = F.when(act.isin("pods", "table"), table).otherwise(compact_plain(
             F.when(act == "train", "generic_train").when(act == "train_auto", "auto_text")
             .when(act == "plan_json", "generic_table").otherwise(act), text))
@@ -257,57 +266,67 @@ def compact_by_rule(rule: Column, argv: Column, code: Column, text: Column) -> C
             out = F.when(act.isin(*names), c).otherwise(out)
         # A failing run shows its errors; a plan read as JSON shows the plan.
         wrapped = rule.isin(*WRAPPED) & (act != "validate") & (code != 0)
-        return F.coalesce(F.when(act == "plan_json", compact_plan_json(text)), F.when(wrapped, errors), out)
+        return F.coalesce(F.when(act == "plan_json", compact_plan_json(text, include, exclude)), F.when(wrapped, errors), out)
 
-    errors = F.when((code != 0) | (rule == "errors"), runs.error_text(text))
+    # Test and build runs are cleaned of progress lines before their errors are read.
+    source = F.when(rule.isin(*CLEANED), T.join_lines(A.drop_progress(lines))).otherwise(text)
+    errors = F.when((code != 0) | (rule == "errors"), runs.error_text(source))
     return F.when(rule.isin("", "measure"), text).otherwise(
         let(errors, lambda e: let(action_of(rule, argv, code, text), lambda a: body(a, e))))
 
 
-TWO_WORD_LABELS = ("git", "container", "package", "plan", "units")
+TWO_WORD_LABELS = ("git", "container", "package", "plan", "units", "errors", "measure")
+
+
+def label_of(rule: Column, argv: Column, preset: Column) -> Column:
+    """Ledger label: three words of a cloud preset, two of runners and multi-word tools, else one."""
+    pair = F.array_join(F.slice(argv, 1, 2), " ")
+    runner = pair.isin(*(f"{a} {b}" for a, b in rules.TWO_WORD_RULES))
+    return F.when(preset, F.array_join(F.slice(argv, 1, 3), " ")) \
+        .when(rule.isin(*TWO_WORD_LABELS) | ((rule == "test") & runner), pair) \
+        .otherwise(F.coalesce(F.get(argv, F.lit(0)), F.lit("")))
 
 
 def compact_captures(captures: DataFrame, rule_rows: DataFrame | None = None, budget: int = 0,
                      tee_mode: str = "failures", redact_all: bool = False,
                      exclude: Sequence[str] = (), session_cache: bool = False,
-                     ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
+                     ttl: int = P.CACHE_TTL_SECONDS, resource_include: Sequence[str] = (),
+                     resource_exclude: Sequence[str] = ()) -> DataFrame:
     """Rule, compaction, cache, size floor, tee and budget for every capture.
 
     Result: captures + ``rule``, ``label``, ``compact``, ``redacted``, ``tee``.
-    Texts never leave their rows, except JSON payloads, which are profiled and
-    come back by ``capture_id``, and repeated runs when ``session_cache`` is on.
+    A capture without a rule, or of an excluded command, passes as it is: no step
+    touches its text, and nothing of it is kept.  Every text is compacted in its row;
+    only repeated runs, with ``session_cache`` on, meet other rows.
     """
     c = rules.rule_lookup(captures, rule_rows, exclude=exclude)
     raw, argv, code, rule = F.col("raw"), F.col("argv"), F.col("code"), F.col("rule")
-    label = F.when(rule.isin(*TWO_WORD_LABELS), F.array_join(F.slice(argv, 1, 2), " ")) \
-        .otherwise(F.coalesce(F.get(argv, F.lit(0)), F.lit("")))
-    json_like = rule.isin("json", "cloud", "auto") & F.substring(T.strip(T.strip_bom(raw)), 1, 1).isin("{", "[")
-    c = c.withColumn("label", label).withColumn(
-        "_json", F.coalesce(json_like, F.lit(False)) & jsonops.parse_json(F.when(json_like, raw)).isNotNull())
-
-    plain = c.where(~F.col("_json"))
-    body = compact_by_rule(F.coalesce(rule, F.lit("")), argv, code, raw)
-    plain = plain.withColumn("_body", body)
-    mask = (rule == "auto") | F.lit(redact_all)
-    plain = plain.withColumn("compact", F.when(mask, T.redact(F.col("_body"))).otherwise(F.col("_body")))
+    mine = rule.isNotNull()
+    json_like = F.coalesce(rule.isin("json", "cloud", "auto") & F.substring(T.strip(T.strip_bom(raw)), 1, 1).isin("{", "["), F.lit(False))
+    json_text = F.when(json_like, raw)
+    special = F.when((rule == "cloud") & json_like, jsonops.compact_cloud(rules.cloud_rule(argv), json_text, resource_include, resource_exclude))
+    c = c.withColumn("_special", special).withColumn("_json", F.when(F.col("_special").isNull(), jsonops.compact_json(json_text)))
+    c = c.withColumn("label", label_of(rule, argv, F.col("_special").isNotNull()))
+
+    texts = F.col("_special").isNull() & F.col("_json").isNull()
+    body = compact_by_rule(F.coalesce(rule, F.lit("")), argv, code, raw, resource_include, resource_exclude)
+    c = c.withColumn("_body", F.when(texts, body))
+    mask = (rule == "auto") | (F.lit(redact_all) & mine)
+    masked = F.when(F.coalesce(mask, F.lit(False)), T.redact(F.col("_body"))).otherwise(F.col("_body"))
     by_key = F.coalesce((rule == "plan") & F.array_contains(argv, "-json") & (F.col("_body") != raw), F.lit(False))
-    plain = plain.withColumn("redacted", by_key | (F.col("compact") != F.col("_body"))).drop("_body")
-
-    json_rows = c.where("_json")
-    profile = jsonops.json_compact(json_rows, "capture_id", "raw")
-    json_out = json_rows.join(profile, "capture_id", "left").withColumn(
-        "compact", T.join_lines(A.head_tail(T.split_lines(F.coalesce("compact", F.lit(""))), P.JSON_LINES))) \
-        .withColumn("redacted", F.lit(True))
-    out = plain.unionByName(json_out).drop("_json")
+    lines = T.join_lines(A.head_tail(T.split_lines(F.col("_json.compact")), P.JSON_LINES))
+    out = c.withColumn("compact", F.coalesce("_special", lines, masked)) \
+        .withColumn("redacted", F.coalesce(F.when(F.col("_special").isNotNull(), F.lit(True)), F.col("_json.redacted"),
+                                           by_key | (F.col("compact") != F.col("_body")))).drop("_special", "_json", "_body")
 
     if session_cache:
         out = apply_session_cache(out, captures, ttl)
-    out = out.withColumn("compact", A.size_floor(raw, F.col("compact"), F.col("redacted")))
-    out = out.withColumn("tee", tee_policy(tee_mode))
+    out = out.withColumn("compact", F.when(mine, A.size_floor(raw, F.col("compact"), F.col("redacted"))).otherwise(raw))
+    out = out.withColumn("tee", mine & tee_policy(tee_mode))
     note = F.concat(F.lit("\n[full output: "), tee_slug(argv), F.lit(".log]"))
     out = out.withColumn("compact", F.when(F.col("tee") & (code != 0), F.concat("compact", note))
                          .otherwise(F.col("compact")))
-    return out.withColumn("compact", A.budget(F.col("compact"), budget))
+    return out.withColumn("compact", F.when(mine, A.budget(F.col("compact"), budget)).otherwise(F.col("compact")))
 
 
 def apply_session_cache(results: DataFrame, captures: DataFrame, ttl: int = P.CACHE_TTL_SECONDS) -> DataFrame:
@@ -318,7 +337,7 @@ def apply_session_cache(results: DataFrame, captures: DataFrame, ttl: int = P.CA
     so a command that runs all the time is spread over many tasks.  Texts are
     fetched only for changed runs.
     """
-    rows = captures.where(F.col("code") == 0).select(
+    rows = results.where((F.col("code") == 0) & F.col("rule").isNotNull()).select(
         "capture_id", F.sha1(F.encode(F.array_join("argv", " "), "utf-8")).alias("cmd_key"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
         F.sha1(F.encode("raw", "utf-8")).alias("hash")).withColumn("day", F.floor(F.col("t") / 86400))
@@ -327,7 +346,7 @@ def apply_session_cache(results: DataFrame, captures: DataFrame, ttl: int = P.CA
     texts = captures.select("capture_id", "raw")
     old = texts.select(F.col("capture_id").alias("prev_capture_id"), F.col("raw").alias("_old"))
     changed = state.where(F.col("status") == "changed").select("capture_id", "prev_capture_id") \
-        .join(texts, "capture_id").join(old.where(F.length("_old") <= P.CACHE_MAX_CHARS), "prev_capture_id")
+        .join(texts, "capture_id").join(old, "prev_capture_id")
     diffs = changed.withColumn("_c", snapshot_changes(F.col("_old"), F.col("raw"))) \
         .where(F.size("_c").between(1, P.CACHE_DIFF_LINES))
     lines = T.join_lines(F.transform("_c", lambda x: F.concat(x["sign"], T.clip_line(x["line"]))))
@@ -344,10 +363,10 @@ def apply_session_cache(results: DataFrame, captures: DataFrame, ttl: int = P.CA
 
 
 def savings_report(ledger: DataFrame, price_per_1k: float = 0.0) -> DataFrame:
-    """Runs and tokens by command plus the total row (``cmd`` null)."""
+    """Runs and tokens by command, most saved first, then the total row (``cmd`` null)."""
     g = ledger.rollup("cmd").agg(F.count("*").alias("runs"), F.sum("raw").alias("raw"), F.sum("out").alias("out"))
     saved, pct = T.saved_columns(F.col("raw"), F.col("out"))
-    out = g.withColumns({"saved": saved, "pct": pct})
+    out = g.withColumns({"saved": saved, "pct": pct}).orderBy(F.col("cmd").isNull(), F.desc("saved"), "cmd")
     if price_per_1k:
         out = out.withColumn("money", F.col("saved") * price_per_1k / 1000.0)
     return out

@@ -1,14 +1,10 @@
-"""Which compaction rule a captured command gets.
-
-The built-in table has a fixed size, so joining it never grows with the data.
-A user's own rule table is joined without a broadcast hint; Spark sizes it.
-"""
+"""Which compaction rule a captured command gets."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- Fixed values: first word of a command -> rule ---------------------------
@@ -44,25 +40,49 @@ TWO_WORD_RULES = {
 }
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(w, None, r) for w, r in COMMAND_RULES.items()]
-    rows += [(a, b, r) for (a, b), r in TWO_WORD_RULES.items()]
-    return spark.createDataFrame(rows, "word1 string, word2 string, rule string")
+#: A user's rules are sent to every task up to so many distinct first words and pairs.
+BROADCAST_RULES = 100_000
+
+
+def builtin_rule(argv: Column) -> Column:
+    """Built-in rule of a command as a constant lookup: two words beat one."""
+    def table(rows: dict[str, str]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in rows.items() for x in pair))
+
+    first, second = F.get(argv, F.lit(0)), F.get(argv, F.lit(1))
+    pairs = table({f"{a} {b}": r for (a, b), r in TWO_WORD_RULES.items()})
+    return F.coalesce(F.try_element_at(pairs, F.concat(first, F.lit(" "), second)), F.try_element_at(table(COMMAND_RULES), first))
 
 
 def rule_lookup(captures: DataFrame, rules: DataFrame | None = None, argv: str = "argv",
                 exclude: Sequence[str] = ()) -> DataFrame:
-    """Add ``rule``: two words beat one; null means the text passes unchanged."""
-    rules = rules if rules is not None else rule_table(captures.sparkSession)
-    two = rules.where(F.col("word2").isNotNull()).select(
-        F.col("word1").alias("_a"), F.col("word2").alias("_b"), F.col("rule").alias("_two"))
-    one = rules.where(F.col("word2").isNull()).select(F.col("word1").alias("_a"), F.col("rule").alias("_one"))
-    w = captures.withColumn("_a", F.get(F.col(argv), F.lit(0))).withColumn("_b", F.get(F.col(argv), F.lit(1)))
-    out = w.join(two, ["_a", "_b"], "left").join(one, "_a", "left")
-    rule = F.coalesce("_two", "_one")
+    """Add ``rule``; null means the text passes unchanged.
+
+    The built-in rules need no join.  A user's table (word1, word2, rule) extends them
+    and wins where both have the key; of rows with one key the smallest rule counts, so
+    no capture is doubled.  Only the distinct words meet it; what they resolve to is
+    broadcast if it is small, counted first, and joined otherwise.
+    """
+    a, b = F.get(F.col(argv), F.lit(0)), F.get(F.col(argv), F.lit(1))
+    rule = builtin_rule(F.col(argv))
+    out = captures
+    if rules is not None:
+        own = rules.where(F.col("word1").isNotNull()).groupBy("word1", "word2").agg(F.min("rule").alias("_own"))
+        words = captures.select(a.alias("_a"), F.coalesce(b, F.lit("")).alias("_b")).where("_a IS NOT NULL").distinct()
+        two = own.where("word2 IS NOT NULL").select(F.col("word1").alias("_a"), F.col("word2").alias("_b"), F.col("_own").alias("_two"))
+        one = own.where("word2 IS NULL").select(F.col("word1").alias("_a"), F.col("_own").alias("_one"))
+        resolved = (words.join(two, ["_a", "_b"], "left").join(one, "_a", "left")
+                    .withColumn("_own2", F.col("_two")).withColumn("_own1", F.col("_one"))
+                    .where(F.coalesce("_two", "_one").isNotNull()).select("_a", "_b", "_own2", "_own1"))
+        small = resolved.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+        out = (captures.withColumn("_a", a).withColumn("_b", F.coalesce(b, F.lit("")))
+               .join(F.broadcast(resolved) if small else resolved, ["_a", "_b"], "left").drop("_a", "_b"))
+        pair = F.try_element_at(F.create_map(*(F.lit(x) for (p, q), r in TWO_WORD_RULES.items() for x in (f"{p} {q}", r))),
+                                F.concat(a, F.lit(" "), b))
+        rule = F.coalesce("_own2", pair, F.col("_own1"), rule)
     if exclude:
-        rule = F.when(~F.col("_a").isin(*exclude), rule)
-    return out.withColumn("rule", rule).drop("_a", "_b", "_two", "_one")
+        rule = F.when(~a.isin(*exclude), rule)
+    return out.withColumn("rule", rule).select(*captures.columns, "rule") if "rule" not in captures.columns else out.withColumn("rule", rule).drop("_own2", "_own1")
 
 
 def cloud_rule(argv: Column) -> Column:
@@ -82,20 +102,28 @@ def cloud_rule(argv: Column) -> Column:
 
 def pattern_semi_anti(names: DataFrame, column: str, include: DataFrame | None = None,
                       exclude: DataFrame | None = None, pattern: str = "pattern",
-                      max_patterns: int = 1000) -> DataFrame:
+                      constants: int = 1000) -> DataFrame:
     """Rows that match any include pattern and no exclude pattern of a table.
 
-    A pattern table is a short list; it becomes constants of the filter, so the
-    names never meet a join.  Longer tables than ``max_patterns`` are refused.
+    A table of at most ``constants`` patterns becomes constants of the filter.  A longer
+    one is matched against the distinct names by a semi or anti join; either way the
+    rows are the same, and an empty include table keeps none.
     """
-    def fetch(df: DataFrame | None) -> list[str]:
-        if df is None:
-            return []
-        rows = df.select(pattern).distinct().limit(max_patterns + 1).collect()
-        if len(rows) > max_patterns:
-            raise ValueError(f"more than {max_patterns} patterns")
-        return sorted(r[0] for r in rows)
-
     from loomsift.operators.jsonops import allowed
 
-    return names.where(allowed(F.col(column), fetch(include), fetch(exclude)))
+    out = names
+    for table, keep in ((include, True), (exclude, False)):
+        if table is None:
+            continue
+        some = table.select(F.col(pattern).alias("_p")).where("_p IS NOT NULL").distinct()
+        rows = some.limit(constants + 1).collect()
+        if len(rows) <= constants:
+            found = sorted(r[0] for r in rows)
+            if keep:
+                out = out.where(allowed(F.col(column), found)) if found else out.where(F.lit(False))
+            else:
+                out = out.where(allowed(F.col(column), (), found))
+        else:
+            hits = out.select(F.col(column).alias("_n")).distinct().join(some, F.expr("_n RLIKE _p"), "left_semi")
+            out = out.join(hits, F.col(column) == F.col("_n"), "left_semi" if keep else "left_anti")
+    return out

@@ -35,7 +35,7 @@ def classify_shape(text: Column) -> Column:
                 .when(first.isin("{", "[") & F.try_parse_json(t).isNotNull(), "json")
                 .when(has(t, "diff --git") | (has(t, "@@ ") & t.rlike(P.HUNK_LINE)), "diff")
                 .when(frame, "frame_info")
-                .when(has(t, "precision", "recall", "f1-score"), "class_report")
+                .when(has(t, "precision", "recall", "f1-score") & t.rlike(P.REPORT_ROW), "class_report")
                 .when(has(F.lower(t), "epoch") & looks_training(t), "training")
                 .when(trace, "trace")
                 .otherwise("text"))
@@ -126,7 +126,7 @@ def train_run(text: Column) -> Column:
 
 
 def compact_shape(shape: Column, text: Column) -> Column:
-    """Compact text of every shape but JSON (which needs the profile job)."""
+    """Compact text of every shape but JSON."""
     t = T.strip(T.strip_bom(text))
     return (F.when(shape == "empty", F.lit(""))
             .when(shape == "binary", binary_note(t))
@@ -138,19 +138,13 @@ def compact_shape(shape: Column, text: Column) -> Column:
 
 def auto_compact(docs: DataFrame, key: str, text: str = "text", mask: bool = True,
                  strict: bool = True) -> DataFrame:
-    """Detect the shape of every text and compact it.
+    """Detect the shape of every text and compact it in its row.
 
-    Result: input columns, ``shape``, ``compact``, ``redacted``.  All shapes but
-    JSON are one narrow projection.  JSON documents alone go through the profile
-    and come back by their (unique) key.
+    Result: input columns, ``shape``, ``compact``, ``redacted``.
     """
     shaped = docs.withColumn("shape", classify_shape(F.col(text)))
-    plain = shaped.where(F.col("shape") != "json").withColumn(
-        "_c", compact_shape(F.col("shape"), F.col(text)))
+    as_json = jsonops.compact_json(F.when(F.col("shape") == "json", F.col(text)), mask)
+    both = shaped.withColumn("_j", as_json).withColumn("_c", F.when(F.col("_j").isNull(), compact_shape(F.col("shape"), F.col(text))))
     masked = T.redact(F.col("_c"), strict) if mask else F.col("_c")
-    plain = plain.withColumn("compact", masked).withColumn("redacted", F.col("compact") != F.col("_c")).drop("_c")
-    json_docs = shaped.where(F.col("shape") == "json")
-    lines = jsonops.json_compact(json_docs, key, text)
-    json_out = json_docs.join(lines, key, "left").withColumn("compact", F.coalesce("compact", F.lit(""))) \
-        .withColumn("redacted", F.lit(True))
-    return plain.unionByName(json_out)
+    return both.withColumn("compact", F.coalesce("_j.compact", masked)) \
+        .withColumn("redacted", F.coalesce("_j.redacted", F.col("compact") != F.col("_c"))).drop("_j", "_c")

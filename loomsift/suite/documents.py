@@ -21,7 +21,7 @@ def docs(spark, d):
 
 @query("explode_lines", f"SELECT doc_id, CAST(n AS BIGINT) AS n, line FROM {DOC_LINES}")
 def explode_lines(spark, d):
-    return lines.explode_lines(docs(spark, d), keep=["doc_id"]).withColumn("n", F.col("n").cast("bigint"))
+    return lines.explode_lines(docs(spark, d), keep=["doc_id"]).select("doc_id", F.col("at").cast("bigint").alias("n"), "line")
 
 
 @query("token_meter", f"""
@@ -75,7 +75,7 @@ def smart_dedup(spark, d):
 @query("first_occurrence", f"""
 SELECT doc_id, line, CAST(min(n) AS BIGINT) AS first_n, count(*) AS n FROM {DOC_LINES} GROUP BY doc_id, line""")
 def first_occurrence(spark, d):
-    rows = lines.explode_lines(docs(spark, d), keep=["doc_id"]).withColumnRenamed("n", "first_n")
+    rows = lines.explode_lines(docs(spark, d), keep=["doc_id"]).withColumnRenamed("at", "first_n")
     out = lines.first_occurrence(rows, ["doc_id"], ["first_n"])
     return out.withColumn("first_n", F.col("first_n").cast("bigint"))
 
@@ -132,7 +132,9 @@ _SHAPED = """
     WHEN doc_id % 13 = 3 THEN 'Epoch 1/3' || chr(10) || 'loss: 0.5' || chr(10) || 'Epoch 2/3' || chr(10) || 'loss: 0.4'
       || chr(10) || 'Epoch 3/3' || chr(10) || 'loss: 0.45' || chr(10) || text
     WHEN doc_id % 13 = 4 THEN 'Data columns (total 3 columns)' || chr(10) || text
-    WHEN doc_id % 13 = 5 THEN 'precision recall f1-score' || chr(10) || text
+    WHEN doc_id % 13 = 5 THEN 'precision recall f1-score' || chr(10) || 'cats       0.91      0.88      0.89       120' || chr(10) || text
+    WHEN doc_id % 13 = 7 THEN 'Epoch 1/3' || chr(10) || 'loss: 0.5 precision: 0.7 recall: 0.6 f1-score: 0.65' || chr(10) || 'Epoch 2/3' || chr(10) || 'loss: 0.4'
+      || chr(10) || 'Epoch 3/3' || chr(10) || 'loss: 0.3'
     WHEN doc_id % 13 = 6 THEN repeat('QUJD', 120) || text
     ELSE text END AS text FROM documents
   UNION ALL SELECT 'page' AS kind, page_id AS id, html AS text FROM pages
@@ -155,7 +157,8 @@ _SHAPE_CASE = f"""CASE WHEN t = '' THEN 'empty'
   WHEN substr(t, 1, 1) IN ('{{', '[') AND json_valid(t) THEN 'json'
   WHEN contains(t, 'diff --git') OR regexp_matches(t, '(?m)^@@ .*@@') THEN 'diff'
   WHEN contains(t, 'pandas.core.frame.DataFrame') OR contains(t, 'Data columns (total') THEN 'frame_info'
-  WHEN contains(t, 'precision') AND contains(t, 'recall') AND contains(t, 'f1-score') THEN 'class_report'
+  WHEN contains(t, 'precision') AND contains(t, 'recall') AND contains(t, 'f1-score')
+    AND regexp_matches(t, {B.lit(P.REPORT_ROW)}) THEN 'class_report'
   WHEN len(regexp_extract_all(t, {B.lit(P.EPOCH_MARK)})) >= 3
     OR len(regexp_extract_all(t, {B.lit(P.EPOCH_LINE)})) >= 3 THEN 'training'
   WHEN contains(t, 'Traceback (most recent call last)') OR regexp_matches(t, {B.lit(P.FRAME_AT)})

@@ -58,17 +58,41 @@ def json_profile(spark, d):
 SELECT '$' AS path, count(*) AS docs, 'object' AS types, CAST(NULL AS BIGINT) AS max_items, CAST(0 AS BIGINT) AS redacted FROM events
 UNION ALL SELECT '$.k', count(*), 'number', NULL, 0 FROM events""")
 def json_corpus_profile(spark, d):
-    return jsonops.corpus_profile(jsonops.json_profile(read(spark, d, "events"), ["event_id"], "props", max_depth=4), "event_id")
+    return jsonops.corpus_profile(jsonops.json_profile(read(spark, d, "events"), ["event_id"], "props"), "event_id")
 
 
 @query("json_compact", f"""
-SELECT c_custkey, string_agg(path || '=' || coalesce(sample, '(' || n_items || ' items)'), chr(10)
-  ORDER BY path || '=' || coalesce(sample, '(' || n_items || ' items)')) AS compact
-FROM {_PATHS} WHERE sample IS NOT NULL OR n_items IS NOT NULL GROUP BY c_custkey""")
+SELECT c_custkey, string_agg(path || '=' || coalesce(sample, '(' || n_items || ' items)', 'null'), chr(10)
+  ORDER BY path || '=' || coalesce(sample, '(' || n_items || ' items)', 'null')) AS compact
+FROM {_PATHS} WHERE type <> 'object' GROUP BY c_custkey""")
 def json_compact(spark, d):
     return jsonops.json_compact(NESTED.df(spark, d), "c_custkey")
 
 
+def _deep(levels: int) -> str:
+    """An object nested so many times around the customer's segment."""
+    return f"repeat('{{\"a\":', {levels}) || '\"' || c_mktsegment || '\"' || repeat('}}', {levels})"
+
+
+DEEP = Derived("customer", ("c_custkey", f"CASE WHEN c_custkey % 2 = 0 THEN {_deep(20)} ELSE {_deep(40)} END AS text"))
+
+
+@query("json_deep", """
+SELECT c_custkey, '$' || repeat('.a', CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 40 END) || '=' || c_mktsegment AS compact FROM customer""")
+def json_deep(spark, d):
+    return jsonops.json_compact(DEEP.df(spark, d), "c_custkey")
+
+
+EMPTY = Derived("customer", ("c_custkey", "'{\"a\":{},\"b\":null,\"c\":[],\"d\":[{}],\"e\":[null,1],\"n\":' || c_nationkey || '}' AS text"))
+
+
+@query("json_empty", """
+SELECT c_custkey, '$.a={}' || chr(10) || '$.b=null' || chr(10) || '$.c=(0 items)' || chr(10) || '$.d=(1 items)' || chr(10) || '$.d[]={}' || chr(10)
+  || '$.e=(2 items)' || chr(10) || '$.e[]=null' || chr(10) || '$.n=' || c_nationkey AS compact FROM customer""")
+def json_empty(spark, d):
+    return jsonops.json_compact(EMPTY.df(spark, d), "c_custkey")
+
+
 @query("secret_keys", """
 SELECT key, count(*) AS n FROM (SELECT unnest(CASE WHEN event_type = 'error' THEN ['user_token', 'Api-Key']
   WHEN event_type = 'view' THEN ['private_note'] WHEN event_type = 'click' THEN ['sessionToken', 'authorization'] ELSE [] END) AS key
@@ -77,7 +101,7 @@ def secret_keys(spark, d):
     docs = read(spark, d, "events").selectExpr(
         "CASE event_type WHEN 'error' THEN '{\"user_token\":1,\"Api-Key\":\"x\",\"k\":' || user_id || '}' "
         "WHEN 'view' THEN '{\"private_note\":{\"password\":1},\"name\":2}' "
-        "WHEN 'click' THEN '{\"sessionToken\":[1],\"authorization\":null,\"id\":3}' ELSE props END AS text")
+        "WHEN 'click' THEN '{\"env\":{\"sessionToken\":[1],\"list\":[{\"authorization\":null}]},\"id\":3}' ELSE props END AS text")
     return jsonops.secret_keys(docs)
 
 
@@ -145,6 +169,30 @@ def api_listing(spark, d):
     return jsonops.api_listing(APIS.df(spark, d), ["o_orderkey"])
 
 
+_CLOUD = (
+    "s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN 'cluster' WHEN 1 THEN 'job' WHEN 2 THEN 'cost' ELSE 'api' END AS kind",
+    "CASE s_suppkey % 4 WHEN 0 THEN '{\"name\":\"c' || s_suppkey || '\",\"location\":\"eu\",\"agentPoolProfiles\":[{\"name\":\"p\",\"count\":' || (s_suppkey % 5) "
+    "|| ',\"vmSize\":\"Standard_D2\"}],\"tags\":{\"env\":\"e' || (s_suppkey % 3) || '\"},\"apiToken\":\"hide\"}' "
+    "WHEN 1 THEN '{\"TrainingJobName\":\"j' || s_suppkey || '\",\"TrainingJobStatus\":\"Completed\",\"BillableTimeInSeconds\":' || s_suppkey * 61 "
+    "|| ',\"HyperParameters\":{\"lr\":\"0.1\"},\"FinalMetricDataList\":[{\"MetricName\":\"acc\",\"Value\":0.5}]}' "
+    "WHEN 2 THEN '{\"properties\":{\"columns\":[{\"name\":\"PreTaxCost\"},{\"name\":\"ResourceGroup\"}],\"rows\":[[1.5,\"a\"],[2,\"b' || s_suppkey || '\"],[0.25,\"a\"]]}}' "
+    "ELSE '[{\"name\":\"n' || s_suppkey || '\",\"path\":\"/v\",\"isCurrent\":true},{\"displayName\":\"d\",\"state\":\"draft\"}]' END AS text")
+CLOUD = Derived("supplier", _CLOUD)
+
+
+@query("compact_cloud_json", """
+SELECT s_suppkey, CASE s_suppkey % 4
+  WHEN 0 THEN 'AKS c' || s_suppkey || ' | eu | k8s ? | ?/?' || chr(10) || 'Pools: p(' || (s_suppkey % 5) || 'xD2,?,?)' || chr(10)
+    || 'Identity: ? | no AAD | networkPlugin: ?' || chr(10) || 'tags: env=e' || (s_suppkey % 3)
+  WHEN 1 THEN 'j' || s_suppkey || ' | Completed | ' || CASE WHEN s_suppkey * 61 >= 3600 THEN (s_suppkey * 61 // 3600) || 'h' || (s_suppkey * 61 % 3600 // 60) || 'm'
+    WHEN s_suppkey * 61 >= 60 THEN (s_suppkey * 61 // 60) || 'm' || lpad(CAST(s_suppkey * 61 % 60 AS VARCHAR), 2, '0') || 's' ELSE (s_suppkey * 61) || 's' END
+    || ' billable | ?' || chr(10) || 'HP: lr=0.1' || chr(10) || 'Metrics: acc=0.5'
+  WHEN 2 THEN 'Cost total: 3.75 (2 groups)' || chr(10) || '  b' || s_suppkey || ': 2.00' || chr(10) || '  a: 1.75'
+  ELSE '2 API item(s)' || chr(10) || '  n' || s_suppkey || ' /v published' || chr(10) || '  d  draft' END AS compact FROM supplier""")
+def compact_cloud_json(spark, d):
+    return CLOUD.df(spark, d).select("s_suppkey", jsonops.compact_cloud(F.col("kind"), F.col("text")).alias("compact"))
+
+
 # --- costs -------------------------------------------------------------------
 
 _COST = """(SELECT n_name AS g, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem
@@ -324,6 +372,23 @@ def rule_lookup(spark, d):
     return out.groupBy("cmd", "rule", "payload").agg(F.count("*").alias("n"))
 
 
+@query("rule_lookup_user", f"""
+WITH own(a, b, rule) AS (SELECT DISTINCT a, b, min(rule) OVER (PARTITION BY a, b) FROM (
+    SELECT 'vim' AS a, NULL AS b, 'log' || (n_nationkey % 2) AS rule FROM nation UNION ALL SELECT 'npm', 'install', 'mine' FROM nation UNION ALL SELECT 'git', NULL, 'auto' FROM nation)),
+  r(a, b, rule) AS (SELECT * FROM own UNION ALL SELECT * FROM (VALUES {_RULE_VALUES}) v(a, b, rule)
+    WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.a = v.a AND own.b IS NOT DISTINCT FROM v.b)),
+  c AS (SELECT o_orderkey, cmd, string_split(cmd, ' ') AS w FROM {COMMANDS.sql})
+SELECT cmd, coalesce(two.rule, one.rule) AS rule, count(*) AS n FROM c
+LEFT JOIN r two ON two.a = w[1] AND two.b = w[2] LEFT JOIN r one ON one.a = w[1] AND one.b IS NULL GROUP BY ALL""")
+def rule_lookup_user(spark, d):
+    c = COMMANDS.df(spark, d).withColumn("argv", F.split("cmd", " "))
+    nation = read(spark, d, "nation")
+    own = nation.selectExpr("'vim' AS word1", "CAST(NULL AS STRING) AS word2", "'log' || (n_nationkey % 2) AS rule") \
+        .unionByName(nation.selectExpr("'npm' AS word1", "'install' AS word2", "'mine' AS rule")) \
+        .unionByName(nation.selectExpr("'git' AS word1", "CAST(NULL AS STRING) AS word2", "'auto' AS rule"))
+    return rules.rule_lookup(c, own).groupBy("cmd", "rule").agg(F.count("*").alias("n"))
+
+
 @query("gain_columns", """
 SELECT l_returnflag AS cmd, count(*) AS runs, CAST(sum(CAST(l_extendedprice AS BIGINT)) AS BIGINT) AS raw,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS out,

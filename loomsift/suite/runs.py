@@ -142,6 +142,26 @@ def flaky_tests(spark, d):
     return runs.flaky_tests(runs.test_failures(TESTS.df(spark, d), ["capture_id"]), ["capture_id"])
 
 
+# Parametrised tests, one name in two classes, and more failures than are shown.
+MANY = Derived("customer", (
+    "c_custkey", text_of(
+        "'===== FAILURES ====='", "'_____ TestA.test_one[b' || c_custkey || '] _____'", "'E       second ' || c_custkey", "'_____ TestA.test_one[a] _____'", "'E       first'",
+        "'_____ TestB.test_two _____'", "'E       in B'", "'_____ TestC.test_two _____'", "'E       in C'", "'===== short test summary info ====='",
+        "'FAILED t.py::TestA::test_one[a] - x'", "'FAILED t.py::TestA::test_one[b' || c_custkey || '] - x'", "'FAILED t.py::TestB::test_two - x'",
+        "'FAILED t.py::TestC::test_two - x'",
+        "repeat('FAILED t.py::test_many - x' || chr(10), CAST(10 + c_custkey % 5 AS INT)) || '===== 9 failed in 1.0s ====='") + " AS raw"))
+
+
+@query("compact_test_many", """
+SELECT c_custkey, 'FAILED (exit 1)' || chr(10) || '9 failed in 1.0s' || chr(10) || 'FAILED t.py::TestA::test_one[a] - x' || chr(10) || '  E       first' || chr(10)
+  || 'FAILED t.py::TestA::test_one[b' || c_custkey || '] - x' || chr(10) || '  E       second ' || c_custkey || chr(10)
+  || 'FAILED t.py::TestB::test_two - x' || chr(10) || '  E       in B' || chr(10) || 'FAILED t.py::TestC::test_two - x' || chr(10) || '  E       in C'
+  || repeat(chr(10) || 'FAILED t.py::test_many - x', CAST(least(11, 10 + c_custkey % 5) AS INT))
+  || CASE WHEN c_custkey % 5 > 1 THEN chr(10) || '...(+' || (c_custkey % 5 - 1) || ' more failures)' ELSE '' END AS compact FROM customer""")
+def compact_test_many(spark, d):
+    return MANY.df(spark, d).select("c_custkey", runs.compact_test(F.col("raw"), F.lit(1)).alias("compact"))
+
+
 @query("compact_test", f"""
 SELECT o_orderkey AS capture_id, 'FAILED (exit 1)' || chr(10) || (1 + o_custkey % 2) || ' failed, 2 passed in 0.12s' || chr(10)
   || 'FAILED tests/test_a.py::TestA::' || {_T} || '[p' || o_orderkey || '] - assert 1 == ' || o_orderkey || chr(10)

@@ -147,17 +147,32 @@ def test_json_profile(spark):
     assert got["$.items[].v"] == ("number", "1", None) and got["$.nested.count"][1] == "2"
 
 
-def test_json_too_deep_fails(spark):
-    deep = "[" * 9 + "1" + "]" * 9
-    docs = spark.createDataFrame([(1, deep)], "id int, text string")
-    assert jsonops.json_profile(docs, ["id"]).count() == 10
-    with pytest.raises(Exception, match="deeper"):
-        jsonops.json_profile(docs, ["id"], max_depth=5).collect()
+def test_json_of_any_depth_keeps_everything(spark):
+    deep = "[" * 40 + "1" + "]" * 40
+    odd = '{"a":{},"b":null,"c":[],"x":{"y":{"password":{"z":1}}}}'
+    docs = spark.createDataFrame([(1, deep), (1, odd), (2, "no json"), (3, None)], "id int, text string")
+    rows = jsonops.json_profile(docs, ["id"])
+    assert rows.count() == 41 + 7
+    out = [r.compact for r in jsonops.json_compact(docs, "id").collect()]
+    assert out[0].endswith("$" + "[]" * 40 + "=1") and out[1] == "$.a={}\n$.b=null\n$.c=(0 items)\n$.x.y.password=<redacted>"
+    assert [(r.key, r.n) for r in jsonops.secret_keys(docs).collect()] == [("password", 1)]
+
+
+def test_plans_hide_nested_values(spark, apply):
+    change = {"actions": ["update"], "before": {"env": {"k": {"password": "old1"}}, "list": [1, 2], "n": 1}, "after": {
+        "env": {"k": {"password": "hunter2"}}, "list": [1, 2, {"token": "t0p"}], "n": 2}}
+    text = json.dumps({"resource_changes": [{"address": "aws.a", "change": change}, {"address": "gcp.b", "change": change}]})
+    out = apply(captures.compact_plan_json, text)
+    assert "hunter2" not in out and "old1" not in out and "t0p" not in out and "env: {...}->{...}" in out and "list: [2]->[3]" in out and "n: 1->2" in out
+    some = apply(lambda c: captures.compact_plan_json(c, include=["^aws"]), text)
+    assert some.startswith("Plan: 0 add, 1 change, 0 destroy") and "gcp" not in some
+    rows = jsonops.attr_diff(jsonops.plan_changes(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]), ["id", "address"]).collect()
+    assert rows and not any(x in str(r) for r in rows for x in ("hunter2", "old1", "t0p"))
 
 
 def test_shapes(apply):
-    texts = ["", "  ", "a\x00b", '{"a":1}', "{not json", DIFF, "Data columns (total 3 columns):", "precision recall f1-score",
-             best_log(), "Traceback (most recent call last):\n  x", "plain"]
+    texts = ["", "  ", "a\x00b", '{"a":1}', "{not json", DIFF, "Data columns (total 3 columns):",
+             "precision recall f1-score support\n  cats  0.9  0.8  0.85  12", best_log() + "\nprecision recall f1-score", "Traceback (most recent call last):\n  x", "plain"]
     assert apply(shapes.classify_shape, *texts) == [
         "empty", "empty", "binary", "json", "text", "diff", "frame_info", "class_report", "training", "trace", "text"]
 
@@ -205,7 +220,7 @@ def test_compact_captures(captured):
     assert out[4].compact.endswith("tick  (x200)")
     assert out[5].compact == "line 99\nERROR: boom\n[full output: kubectl_logs_x.log]" and out[5].tee
     assert out[6].compact == "as is" and out[6].rule is None
-    assert out[7].label == "npm" and out[7].rule == "test" and "ERROR: boom" in out[7].compact
+    assert out[7].label == "npm test" and out[16].label == "err make" and out[10].label == "proxy ls" and out[7].rule == "test" and "ERROR: boom" in out[7].compact
     assert "abcdef" not in out[8].compact and out[8].redacted
     assert '"v"' not in out[9].compact and "<redacted>" in out[9].compact
     assert out[10].compact == "a\na"
@@ -220,9 +235,39 @@ def test_compact_captures(captured):
 def test_tee_modes_and_budget(captured):
     never = captures.compact_captures(captured, tee_mode="never", budget=50).collect()
     assert not any(r.tee for r in never)
-    assert all((len(r.compact) + 3) // 4 <= 50 for r in never)
+    assert all((len(r.compact) + 3) // 4 <= 50 for r in never if r.rule)
     always = captures.compact_captures(captured, tee_mode="always", exclude=["git"]).collect()
-    assert all(r.tee for r in always) and [r.rule for r in always if r.argv[0] == "git"] == [None, None]
+    assert all(r.tee == (r.rule is not None) for r in always)
+    assert [r.rule for r in always if r.argv[0] == "git"] == [None, None]
+
+
+def test_captures_without_a_rule_pass_untouched(spark):
+    long = "\n".join(f"line {i}" for i in range(300))
+    rows = [(i, argv, code, long) for i, argv in enumerate((["vim", "x"], ["git", "log"], ["nope"])) for code in (0, 1)]
+    rows = [(10 * i + c, a, c, t) for i, a, c, t in rows] + [(100, ["vim", "x"], 0, long)]
+    df = spark.createDataFrame(rows, "capture_id bigint, argv array<string>, code int, raw string").withColumn(
+        "ts", F.timestamp_seconds(F.col("capture_id")))
+    out = captures.compact_captures(df, budget=20, tee_mode="always", exclude=["git"], session_cache=True, redact_all=True).collect()
+    assert len(out) == len(rows) and all(r.compact == r.raw and not r.tee and not r.redacted for r in out)
+
+
+def test_errors_are_read_after_cleaning(spark):
+    raw = "Downloading 10%\nnoise\nDownloading 55%\nerror: boom\nDownloading 99%\nend"
+    df = spark.createDataFrame([(1, ["npm", "test"], 1, raw)], "capture_id bigint, argv array<string>, code int, raw string").withColumn(
+        "ts", F.timestamp_seconds(F.lit(0)))
+    assert "Downloading" not in captures.compact_captures(df).first().compact
+
+
+def test_cloud_presets_in_the_row(spark):
+    cluster = json.dumps({"name": "c1", "location": "eu", "tags": {"env": "x"}, "adminPassword": "hide me", "agentPoolProfiles": [
+        {"name": "sys", "count": 3, "vmSize": "Standard_D4s", "osType": "Linux", "mode": "System"}], "pad": "p" * 400})
+    cost = json.dumps({"properties": {"columns": [{"name": "Cost"}, {"name": "ResourceGroup"}], "rows": [[1.5, "a"], [2, "b"], ["x", "c"]], "pad": "p" * 300}})
+    rows = [(1, ["az", "aks", "show"], 0, cluster), (2, ["az", "costmanagement", "query"], 0, cost), (3, ["aws", "ec2", "describe"], 0, cluster)]
+    df = spark.createDataFrame(rows, "capture_id bigint, argv array<string>, code int, raw string").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    out = {r.capture_id: r for r in captures.compact_captures(df, resource_exclude=["^b$"]).collect()}
+    assert out[1].compact == "AKS c1 | eu | k8s ? | ?/?\nPools: sys(3xD4s,Linux,System)\nIdentity: ? | no AAD | networkPlugin: ?\ntags: env=x"
+    assert out[1].label == "az aks show" and out[2].compact == "Cost total: 1.50 (1 groups)\n  a: 1.50" and out[2].redacted
+    assert out[3].label == "aws" and "hide me" not in out[3].compact and "$.adminPassword=<redacted>" in out[3].compact
 
 
 def test_session_cache(spark):
@@ -242,6 +287,8 @@ def test_rules(spark):
     assert [r.rule for r in rules.rule_lookup(df).collect()] == ["test", "package", None, None]
     own = spark.createDataFrame([("nope", None, "log")], "word1 string, word2 string, rule string")
     assert rules.rule_lookup(df, own).where("rule = 'log'").count() == 1
+    twice = spark.createDataFrame([("npm", None, "b"), ("npm", None, "a"), ("nope", None, "log"), (None, "x", "y")], "word1 string, word2 string, rule string")
+    assert sorted(str(r.rule) for r in rules.rule_lookup(df, twice).collect()) == ["None", "a", "log", "test"]
 
 
 def test_sources_and_sinks(spark, captured):

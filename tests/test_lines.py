@@ -1,6 +1,7 @@
 """Line-table operators against sequential brute force, on a hot stream."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def test_session_fold(spark, log):
 def test_explode_and_first(spark):
     docs = spark.createDataFrame([(1, "a\nb\na\n")], "id int, text string")
     assert [tuple(r) for r in L.explode_lines(docs, keep=["id"]).collect()] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (1, 4, "")]
-    first = L.first_occurrence(L.explode_lines(docs, keep=["id"]).withColumnRenamed("n", "at"), ["id"], ["at"]).collect()
+    first = L.first_occurrence(L.explode_lines(docs, keep=["id"]), ["id"], ["at"]).collect()
     assert {(r.line, r.at, r.n) for r in first} == {("a", 1, 2), ("b", 2, 1), ("", 4, 1)}
 
 
@@ -137,13 +138,36 @@ def test_snapshot_changes(spark):
     assert got == {1: (2, "-b\n+B"), 2: (0, None), 3: (1, "-a"), 4: (21, None)}
 
 
-def test_pattern_table_has_a_bound(spark):
-    names = spark.createDataFrame([("aws.web",), ("gcp.db",), ("aws.tmp",)], "name string")
-    inc = spark.createDataFrame([("^aws",)], "pattern string")
+def test_pattern_tables_of_any_length(spark):
+    names = spark.createDataFrame([("aws.web",), ("gcp.db",), ("aws.tmp",), (None,)], "name string")
+    inc = spark.createDataFrame([("^aws",), (None,)], "pattern string")
     exc = spark.createDataFrame([("tmp$",)], "pattern string")
-    assert [r.name for r in rules.pattern_semi_anti(names, "name", inc, exc).collect()] == ["aws.web"]
-    with pytest.raises(ValueError):
-        rules.pattern_semi_anti(names, "name", names.selectExpr("name AS pattern"), max_patterns=2)
+    for constants in (1000, 0):
+        assert [r.name for r in rules.pattern_semi_anti(names, "name", inc, exc, constants=constants).collect()] == ["aws.web"]
+        assert rules.pattern_semi_anti(names, "name", inc.limit(0), constants=constants).count() == 0
+
+
+def test_snapshot_changes_of_long_texts_take_seconds(spark):
+    a = "\n".join(f"line {i}" for i in range(100_000))
+    b = "\n".join(f"line {i}" for i in range(1, 100_001))
+    start = time.time()
+    rows = spark.createDataFrame([(a, b)], "old string, new string").select(F.inline(V.snapshot_changes(F.col("old"), F.col("new")))).collect()
+    assert {(r.sign, r.line) for r in rows} == {("-", "line 0"), ("+", "line 100000")} and time.time() - start < 60
+
+
+def test_line_tables_compose(spark):
+    docs = spark.createDataFrame([(1, "a\na\nb"), (2, "c")], "id int, text string")
+    lines = L.explode_lines(docs, keep=["id"]).withColumn("chunk", L.line_chunk(F.col("at"), 2))
+    rows = L.dedup_consecutive(lines, ["id"], "chunk", ["at"]).orderBy("id", "at").collect()
+    assert [(r.id, r.at, r.line, r.n) for r in rows] == [(1, 1, "a  (x2)", 2), (1, 3, "b", 1), (2, 1, "c", 1)]
+
+
+def test_null_lines_do_not_depend_on_the_chunks(spark):
+    rows = [(1, i, x) for i, x in enumerate([None, None, None, "a", None])]
+    df = spark.createDataFrame(rows, "s int, at int, line string")
+    for size in (1, 2, 3, 10):
+        out = L.islands(df.withColumn("chunk", F.floor(F.col("at") / size)), ["s"], "chunk", ["at"]).orderBy("at").collect()
+        assert [(r.line, r.n) for r in out] == [(None, 3), ("a", 1), (None, 1)]
 
 
 def test_null_keys_fail_loudly(spark):
