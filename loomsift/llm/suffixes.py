@@ -13,9 +13,10 @@ passage: one in a document of smaller doc_id, or further ahead in the same docum
 3. Extensions on one diagonal (same distance between repeat and first place) join into
    maximal passages.
 
-First words that more than ``HOT`` suffixes share are no group at all: their extensions
-are dealt one by one, by their own content, and the first place of each is an aggregate.
-Windows are compared by 64-bit hashes.
+Of first words that more than ``HOT`` suffixes share, the suffixes are first dealt into
+shares by document; each share folds equal windows, and only the windows it saw first go
+on, dealt by their content.  So neither copies nor many different surroundings of one
+phrase gather in a task.  Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -105,7 +106,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("-")), text).alias("rid"), text.alias("text"))
 
 
+_PLACE = [("doc_id", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("first_doc", pa.int64()), ("first_rid", pa.int64()),
+          ("first_at", pa.int32()), ("n", pa.int32())]
+_FIRST = [("key", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("windows", pa.binary())]
+_FOLDED = pa.schema(_PLACE + _FIRST)
 PLACE = "doc_id long, rid long, at int, first_doc long, first_rid long, first_at int, n int"
+FOLDED = f"{PLACE}, key long, bucket int, places binary, windows binary"
+_LAST = np.iinfo(np.int64).max
 
 
 def _suffixes(keyed: DataFrame, min_words: int, run: int, payload: bool) -> DataFrame:
@@ -128,11 +135,8 @@ def _suffixes(keyed: DataFrame, min_words: int, run: int, payload: bool) -> Data
     return keyed.mapInArrow(task, kinds)
 
 
-def _compared(doc: np.ndarray, rid: np.ndarray, at: np.ndarray, data: list[bytes]) -> pa.RecordBatch | None:
-    """Repeated windows of these suffixes, with the first place of each, in runs along a diagonal."""
-    size = np.fromiter(map(len, data), np.int64, len(data)) // 8
-    window = np.frombuffer(b"".join(data), np.uint64)
-    row = np.repeat(np.arange(len(data)), size)
+def _again(window: np.ndarray, place: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that equal an earlier one, and the first of each, by position in the arrays."""
     order = np.argsort(window, kind="stable")
     same = window[order][1:] == window[order][:-1]
     inside = np.zeros(len(order), bool)
@@ -140,85 +144,120 @@ def _compared(doc: np.ndarray, rid: np.ndarray, at: np.ndarray, data: list[bytes
     inside[:-1] |= same
     some = order[inside]
     if not len(some):
-        return None
-    place = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    some = some[np.lexsort((place[some], rid[row[some]], doc[row[some]], window[some]))]
+        return some, some
+    some = some[np.lexsort((place[some], rid[some], doc[some], window[some]))]
     w = window[some]
     fresh = np.concatenate([[True], w[1:] != w[:-1]])
     first = some[np.maximum.accumulate(np.where(fresh, np.arange(len(some)), 0))]
-    again = (rid[row[first]] != rid[row[some]]) | (place[first] != place[some])
+    again = (rid[first] != rid[some]) | (place[first] != place[some])  # a repeated row is no other place
     some, first = some[again], first[again]
-    if not len(some):
-        return None
-    order = np.argsort(some)  # by suffix, then along it
-    some, first = some[order], first[order]
-    r, f = row[some], row[first]
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (some[1:] != some[:-1] + 1) | (rid[f[1:]] != rid[f[:-1]])
-                          | (place[first[1:]] != place[first[:-1]] + 1)])
+    order = np.argsort(some)
+    return some[order], first[order]
+
+
+def _runs(some: np.ndarray, first: np.ndarray, place: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
+    """Repeated windows in runs along a diagonal."""
+    new = np.concatenate([[True], (rid[some[1:]] != rid[some[:-1]]) | (place[some[1:]] != place[some[:-1]] + 1)
+                          | (rid[first[1:]] != rid[first[:-1]]) | (place[first[1:]] != place[first[:-1]] + 1)])
     begin = np.flatnonzero(new)
     n = np.diff(np.concatenate([begin, [len(some)]]))
     some, first = some[begin], first[begin]
-    top = np.iinfo(np.int64).max
 
     def ids(v):
-        return pa.array(v, pa.int64(), mask=v == top)
+        return pa.array(v, pa.int64(), mask=v == _LAST)
 
-    columns = [ids(doc[row[some]]), pa.array(rid[row[some]]), pa.array(place[some].astype(np.int32)),
-               ids(doc[row[first]]), pa.array(rid[row[first]]), pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PLACE.split(", ")])
+    columns = [ids(doc[some]), pa.array(rid[some]), pa.array(place[some].astype(np.int32)), ids(doc[first]), pa.array(rid[first]),
+               pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(n), t) for _, t in _FIRST], schema=_FOLDED)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes, whole groups at a time."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+def _firsts(key: np.ndarray, bucket: np.ndarray, row: np.ndarray, window: np.ndarray, place: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
+    """Windows of hot suffixes that their share saw first, by suffix and bucket."""
+    order = np.lexsort((bucket, row))
+    row, bucket, window, place = row[order], bucket[order], window[order], place[order]
+    begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+    ends = np.concatenate([begin, [len(row)]])
+    n, r = len(begin), row[begin]
+
+    def binary(values: np.ndarray) -> pa.Array:
+        return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    places = [pa.array(doc[r], pa.int64(), mask=doc[r] == _LAST), pa.array(rid[r])] + [pa.nulls(n, t) for _, t in _PLACE[2:]]
+    return pa.RecordBatch.from_arrays([*places, pa.array(key[r]), pa.array(bucket[begin].astype(np.int32)), binary(place.astype(np.int32)), binary(window)],
+                                      schema=_FOLDED)
 
-    def flush(parts: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(parts)
-        doc = table["doc_id"].combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
-        found = _compared(doc, table["rid"].to_numpy(), table["at"].to_numpy().astype(np.int64), table["windows"].to_pylist())
-        return [found] if found is not None else []
 
+def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, str]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole groups."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
         rows += batch.num_rows
         if rows >= CHUNK:
-            key = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            a, b = (batch.column(batch.schema.names.index(c)).to_numpy() for c in columns)
+            other = np.flatnonzero((a != a[-1]) | (b != b[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
             if cut:
-                yield from flush([*held[:-1], batch.slice(0, cut)])
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
                 held = [batch.slice(cut)]
                 rows = held[0].num_rows
     if held:
-        yield from flush(held)
-
-
-def _compare_hot(hot: DataFrame) -> DataFrame:
-    """The same for suffixes of hot first words: by window, with an aggregate for the first place."""
-    def explode(batches):
-        for batch in batches:
-            for doc_id, rid, at, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "at", "windows")), strict=True):
-                w = np.frombuffer(data, np.int64)
-                yield pa.record_batch([pa.array(w), pa.array([doc_id] * len(w), pa.int64()), pa.array(np.full(len(w), rid, np.int64)),
-                                       pa.array(np.arange(at, at + len(w), dtype=np.int32))], names=["window", "doc_id", "rid", "at"])
-
-    one = hot.mapInArrow(explode, "window long, doc_id long, rid long, at int")
-    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid", "at", "doc_id")
-    first = one.groupBy("window").agg(F.min(rank).alias("f"), F.count("*").alias("c")).where("c > 1").select(
-        "window", F.col("f.doc_id").alias("first_doc"), F.col("f.rid").alias("first_rid"), F.col("f.at").alias("first_at"))
-    return (one.join(first, "window").where("rid <> first_rid OR at <> first_at")
-            .select("doc_id", "rid", "at", "first_doc", "first_rid", "first_at", F.lit(1).alias("n")))
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().fill_null(_LAST if name == "doc_id" else 0).to_numpy()
+
+
+def _flat(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column side by side, and the number in each row."""
+    data = table[name].to_pylist()
+    return np.frombuffer(b"".join(data), kind), np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(kind).itemsize
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes: repeated windows of each share of a group, and what a hot share saw first."""
+    for table in _by_group(batches, ("key", "share")):
+        window, size = _flat(table, "windows", np.uint64)
+        row = np.repeat(np.arange(len(size)), size)
+        place = _numbers(table, "at").astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        doc, rid = _numbers(table, "doc_id")[row], _numbers(table, "rid")[row]
+        shares, share = _numbers(table, "shares"), _numbers(table, "share")
+        some, first = _again(window ^ (share.astype(np.uint64) * _MIX)[row], place, doc, rid)
+        if len(some):
+            yield _runs(some, first, place, doc, rid)
+        fresh = (shares > 1)[row]
+        fresh[some] = False
+        at = np.flatnonzero(fresh)
+        if len(at):
+            bucket = (window[at] >> np.uint64(16)) % shares[row[at]].astype(np.uint64)
+            yield _firsts(_numbers(table, "key"), bucket, row[at], window[at], place[at], _numbers(table, "doc_id"), _numbers(table, "rid"))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the shares of a hot group saw first, by content: repeated windows."""
+    for table in _by_group(batches, ("key", "bucket")):
+        window, size = _flat(table, "windows", np.uint64)
+        place = _flat(table, "places", np.int32)[0].astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        doc, rid = _numbers(table, "doc_id")[row], _numbers(table, "rid")[row]
+        some, first = _again(window, place, doc, rid)
+        if len(some):
+            yield _runs(some, first, place, doc, rid).select([n for n, _ in _PLACE])
 
 
 def _repeats(keyed: DataFrame, min_words: int, run: int, hot: int) -> DataFrame:
     counts = _suffixes(keyed, min_words, run, False).groupBy("key").agg(F.count("*").alias("c"))
-    crowded = written(counts.where(F.col("c") > hot).select("key"), "hot-suffixes")
-    suffixes = _suffixes(keyed, min_words, run, True)
-    some = crowded.limit(1).count() > 0
-    calm = suffixes.join(crowded, "key", "left_anti") if some else suffixes
-    found = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, PLACE)
-    if some:
-        found = found.union(_compare_hot(suffixes.join(crowded, "key", "left_semi")))
+    crowded = written(counts.where(F.col("c") > hot).select("key", F.ceil(F.col("c") / max(hot, 1)).cast("int").alias("shares")), "hot-suffixes")
+    dealt = _suffixes(keyed, min_words, run, True).join(crowded, "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = dealt.withColumn("share", F.pmod("rid", "shares").cast("int")).select("key", "share", "shares", "doc_id", "rid", "at", "windows")
+    folded = written(dealt.repartition("key", "share").sortWithinPartitions("key", "share").mapInArrow(_fold, FOLDED), "folded")
+    firsts = folded.where("key IS NOT NULL").select("key", "bucket", "doc_id", "rid", "places", "windows")
+    met = firsts.repartition("key", "bucket").sortWithinPartitions("key", "bucket").mapInArrow(_meet, PLACE)
+    found = folded.where("key IS NULL").select(*(n for n, _ in _PLACE)).union(met)
     lane = Window.partitionBy("rid", "first_rid", "step").orderBy("at")
     island = lane.rowsBetween(Window.unboundedPreceding, 0)
     return (found.withColumn("step", F.col("at") - F.col("first_at")).withColumn("end", F.col("at") + F.col("n"))
@@ -231,8 +270,9 @@ def _repeats(keyed: DataFrame, min_words: int, run: int, hot: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, run: int = RUN, hot: int = HOT) -> DataFrame:
-    """One row per repeated passage: doc_id, start_word, n_words, and its first place (first_doc_id, first_word).
+    """One row per repeated passage: doc_id, start_word, n_words, and an earlier place of it (first_doc_id, first_word).
 
+    That is the first place, but for words of hot groups an earlier one in the same share.
     Documents without repeats have no row.  A null text is empty; null doc_ids come
     after all others; documents of equal doc_id are ordered by a hash; rows repeated as a
     whole are one document.  Words are what stands
