@@ -111,19 +111,25 @@ def html_to_text(html: Column) -> Column:
     return join_lines(F.filter(lines, lambda x: x != ""))
 
 
-def binary_reason(text: Column, sample: int | None = P.BINARY_SAMPLE_CHARS) -> Column:
+def without_blobs(text: Column) -> Column:
+    """The text with long base64-like runs (inline images, archives) replaced by a note."""
+    return F.regexp_replace(text, P.BASE64_RUN, P.BLOB_NOTE)
+
+
+def binary_reason(text: Column, sample: int | None = None) -> Column:
     """``nul``, ``control``, ``base64`` or null for readable text.
 
-    The rule sniffs the first 4,000 characters; ``sample=None`` applies it to
-    the whole text.
+    The whole text decides.  ``sample`` sniffs its first characters only, and then any
+    long base64 run counts, not just one that makes up most of the text.
     """
     head = F.substring(text, 1, sample) if sample else text
 
     def reason(s: Column) -> Column:
         control = F.length(s) - F.length(F.regexp_replace(s, P.CONTROL_CHARS, ""))
+        blob = s.rlike(P.BASE64_RUN) if sample else F.length(F.regexp_replace(s, P.BASE64_RUN, "")) * 2 < F.length(s)
         return (F.when(F.contains(s, F.lit("\x00")), F.lit("nul"))
                 .when(control > F.length(s) * P.BINARY_CONTROL_SHARE, F.lit("control"))
-                .when(s.rlike(P.BASE64_RUN), F.lit("base64")))
+                .when(blob, F.lit("base64")))
 
     return let(head, reason)
 

@@ -77,8 +77,8 @@ def binary_screen(docs: DataFrame, text: str = "text") -> DataFrame:
     """Flag unreadable texts; by the sniffing rule and by the whole text."""
     c = F.col(text)
     return docs.withColumns({
-        "reason": T.binary_reason(c),
-        "whole_reason": T.binary_reason(c, sample=None),
+        "reason": T.binary_reason(c, P.BINARY_SAMPLE_CHARS),
+        "whole_reason": T.binary_reason(c),
         "kb": T.kilobytes(c)})
 
 

@@ -37,9 +37,9 @@ def code_map(files: DataFrame, path: str = "path", text: str = "text",
              per_file: int = P.SIGNATURES_PER_FILE, plain: int = 12) -> DataFrame:
     """Map of a repository: directories, plain files, code files, signatures.
 
-    One row per map line: ``dir``, ``kind`` (``dir`` / ``plain`` / ``code`` /
-    ``signature``), ``name``, ``pos`` and ``n`` (files of a directory, lines of a
-    code file).  Imports and decorators are left out.
+    One row per map line: ``dir``, ``kind`` (``dir`` / ``plain`` / ``more`` / ``code`` /
+    ``signature``), ``name``, ``pos`` and ``n`` (files of a directory, plain files not
+    shown, lines of a code file).  Imports and decorators are left out.
     """
     kept = skip_dirs(files, path)
     p = F.col(path)
@@ -51,6 +51,9 @@ def code_map(files: DataFrame, path: str = "path", text: str = "text",
     others = top_k_per_group(rows.where(~F.col("code")).select("dir", "name"), ["dir"], ["name"], plain).select(
         "dir", F.lit("plain").alias("kind"), "name", F.lit("").alias("line"),
         F.col("rank").cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("n"))
+    # What the cut leaves out is counted.
+    more = rows.where(~F.col("code")).groupBy("dir").agg((F.count("*") - plain).alias("n")).where("n > 0").select(
+        "dir", F.lit("more").alias("kind"), F.lit("").alias("name"), F.lit("").alias("line"), F.lit(plain + 1).cast("bigint").alias("pos"), "n")
     code = rows.where("code")
     heads = code.select("dir", F.lit("code").alias("kind"), "name", F.lit("").alias("line"),
                         F.lit(0).cast("bigint").alias("pos"), line_count(F.col("text")).cast("bigint").alias("n"))
@@ -60,7 +63,7 @@ def code_map(files: DataFrame, path: str = "path", text: str = "text",
     lines = code.select("dir", "name", F.posexplode(F.slice(own, 1, per_file)).alias("i", "s")).select(
         "dir", F.lit("signature").alias("kind"), "name", F.substring("s", 1, 120).alias("line"),
         (F.col("i") + 1).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("n"))
-    return dirs.unionByName(others).unionByName(heads).unionByName(lines)
+    return dirs.unionByName(others).unionByName(more).unionByName(heads).unionByName(lines)
 
 
 def view_file(files: DataFrame, lines: int, text: str = "text") -> DataFrame:

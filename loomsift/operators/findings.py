@@ -77,15 +77,17 @@ def lint_findings(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> Da
 
 
 def group_lint(findings: DataFrame, order: Sequence[str], per_file: int = P.LINT_HITS_PER_FILE,
-               files: int = P.LINT_FILES) -> DataFrame:
-    """Issues of the first ``files`` files (in order of appearance), first
-    ``per_file`` each, with the full count per file."""
-    per = findings.groupBy("file").agg(F.count("*").alias("issues"),
-                                       F.min(F.struct(*order)).alias("_first"))
-    shown = per.orderBy("_first").limit(files).select("file", "issues")
-    first = top_k_per_group(findings, ["file"], list(order), per_file)
-    return first.join(shown, "file").select(
-        "file", "issues", F.col("rank").cast("bigint").alias("rank"), "line_no", "col_no", "msg")
+               by: Sequence[str] = ()) -> DataFrame:
+    """First ``per_file`` issues of every file, with the full count per file.
+
+    ``by`` groups by run as well.  No file is left out; a rendered run
+    (``compact_lint``) shows the first ones under a header with its totals.
+    """
+    keys = [*by, "file"]
+    per = findings.groupBy(*keys).agg(F.count("*").alias("issues"))
+    first = top_k_per_group(findings, keys, list(order), per_file)
+    return first.join(per, keys).select(
+        *keys, "issues", F.col("rank").cast("bigint").alias("rank"), "line_no", "col_no", "msg")
 
 
 def ext_histogram(paths: DataFrame, path: str = "path", k: int = 8) -> DataFrame:

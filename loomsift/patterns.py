@@ -16,11 +16,9 @@ SHORT_LINES = 30
 FALLBACK_LINES = 25
 BUILD_ERROR_LINES = 20
 JSON_LINES = 80
-MAP_LINES = 300
 BUDGET_LADDER = (40, 25, 15, 8, 4)
 CACHE_TTL_SECONDS = 1800
 CACHE_DIFF_LINES = 12
-CACHE_MAX_CHARS = 200000
 BINARY_SAMPLE_CHARS = 4000
 BINARY_CONTROL_SHARE = 0.05
 JSON_STRING_CHARS = 60
@@ -79,6 +77,7 @@ ERROR_LINE = (
 
 CONTROL_CHARS = r"[\x00-\x08\x0e-\x1f]"
 BASE64_RUN = r"[A-Za-z0-9+/=]{400,}"
+BLOB_NOTE = "[base64-like content suppressed]"
 
 HTML_DROP_ELEMENT = r"(?is)<(script|style|svg|head|noscript)[^>]*>.*?</\1>"
 HTML_COMMENT = r"(?s)<!--.*?-->"
@@ -121,8 +120,6 @@ SEPARATOR_ROW = r"^[\s\-|+=]+$"
 CELL_GAP = r"\s{2,}"
 HEALTHY_STATUS = ("Running", "Completed", "Succeeded")
 
-DIFF_META = ("+++", "---", "index ", "new file", "deleted file",
-             "similarity", "rename ")
 HUNK_RANGE = r"^(@@ [^@]*@@)"
 HUNK_LINE = r"(?m)^@@ .*@@"
 

@@ -76,11 +76,13 @@ def binary_note(text: Column) -> Column:
 
 
 def compact_response(text: Column) -> Column:
-    """HTTP response: binary suppressed, HTML to visible text, 40 lines."""
-    def render(t: Column) -> Column:
+    """HTTP response: binary suppressed, inline blobs noted, HTML to visible text, 40 lines."""
+    def render(raw: Column) -> Column:
+        return let(T.without_blobs(raw), lambda t: F.when(T.binary_reason(raw).isNotNull(), binary_note(raw)).otherwise(readable(t)))
+
+    def readable(t: Column) -> Column:
         visible = F.when(t.rlike(P.HTML_PAGE), T.html_to_text(t)).otherwise(t)
-        body = T.join_lines(A.head_tail(T.split_lines(visible), P.RESPONSE_LINES))
-        return F.when(T.binary_reason(t).isNotNull(), binary_note(t)).otherwise(body)
+        return T.join_lines(A.head_tail(T.split_lines(visible), P.RESPONSE_LINES))
     return let(T.join_lines(A.drop_progress(T.split_lines(text))), render)
 
 

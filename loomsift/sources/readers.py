@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsift import patterns as P
@@ -33,7 +33,7 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
                       F.when(F.col("content").isNull(), "unreadable").alias("error"))
 
 
-def scan_files(spark: SparkSession, path: str, glob: str = "*", limit: int | None = 500,
+def scan_files(spark: SparkSession, path: str, glob: str = "*", limit: int | None = None,
                skip: tuple[str, ...] = P.SKIP_DIRS) -> DataFrame:
     """Inventory below a folder in path order; noise directories are pruned.
 
@@ -41,8 +41,8 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*", limit: int | Non
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime"))
-    kept = files.where(~T.any_segment(F.col("path"), skip))
-    return kept.orderBy("path").limit(limit) if limit else kept
+    kept = files.where(~T.any_segment(F.col("path"), skip)).orderBy("path")
+    return kept.limit(limit) if limit else kept
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -54,3 +54,17 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
             .option("mode", "DROPMALFORMED").json(path))
     return rows.select(F.timestamp_seconds("t").alias("t"), F.coalesce("cmd", F.lit("?")).alias("cmd"),
                        F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("out", F.lit(0)).alias("out"))
+
+
+def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files of any size as a line table: ``stream`` (the file), ``chunk``, ``at`` and ``line``.
+
+    A file is read in splits; ``chunk`` is the byte offset of a line's split and ``at``
+    its number within it, so both order the lines of a stream and no file has to fit in
+    a row.  Files must be splittable text; a line belongs to the split it starts in.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+             .select(F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("chunk"),
+                     F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")))
+    # Ids rise along a split, and a split lies in one task.
+    return lines.withColumn("at", F.row_number().over(Window.partitionBy("stream", "chunk").orderBy("_id")).cast("long")).drop("_id")

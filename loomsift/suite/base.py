@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,16 +168,18 @@ def html_text(html: str) -> str:
             f"lambda x: trim(x, {WS})), lambda x: x <> ''), chr(10))")
 
 
+def without_blobs(text: str) -> str:
+    return f"regexp_replace({text}, '[A-Za-z0-9+/=]{{400,}}', '{P.BLOB_NOTE}', 'g')"
+
+
 def binary_reason(text: str, sample: int | None) -> str:
     s = f"substr({text}, 1, {sample})" if sample else text
     control = f"(length({s}) - length(regexp_replace({s}, '[\\x00-\\x08\\x0e-\\x1f]', '', 'g')))"
+    run = (f"regexp_matches({s}, '[A-Za-z0-9+/=]{{400,}}')" if sample
+           else f"length(regexp_replace({s}, '[A-Za-z0-9+/=]{{400,}}', '', 'g')) * 2 < length({s})")
     return (f"CASE WHEN contains({s}, chr(0)) THEN 'nul' WHEN {control} > length({s}) * 0.05 THEN 'control' "
-            f"WHEN regexp_matches({s}, '[A-Za-z0-9+/=]{{400,}}') THEN 'base64' END")
+            f"WHEN {run} THEN 'base64' END")
 
 
 def host(url: str) -> str:
     return f"regexp_extract({url}, '^[a-z]+://([^/]+)', 1)"
-
-
-def keyed(names: Sequence[str]) -> str:
-    return ", ".join(names)

@@ -153,7 +153,7 @@ def shaped(spark, d):
 
 _STRIP = f"trim(text, {B.WS})"
 _SHAPE_CASE = f"""CASE WHEN t = '' THEN 'empty'
-  WHEN {B.binary_reason('t', 4000)} IS NOT NULL THEN 'binary'
+  WHEN {B.binary_reason('t', None)} IS NOT NULL THEN 'binary'
   WHEN substr(t, 1, 1) IN ('{{', '[') AND json_valid(t) THEN 'json'
   WHEN contains(t, 'diff --git') OR regexp_matches(t, '(?m)^@@ .*@@') THEN 'diff'
   WHEN contains(t, 'pandas.core.frame.DataFrame') OR contains(t, 'Data columns (total') THEN 'frame_info'
@@ -280,18 +280,22 @@ def html_savings(spark, d):
     return corpus.savings_by(p, [host], "html", "visible").withColumn("pct", F.round("pct", 4))
 
 
+# Every fifth page carries an inline image in front, every eleventh is nothing but one.
+RESPONSES = Derived("pages", ("page_id", "CASE WHEN page_id % 11 = 0 THEN repeat('QUJD', 3000) WHEN page_id % 5 = 0 THEN "
+                              "'<img src=\"' || repeat('QUJD', 110) || '\">' || html ELSE html END AS html"))
 _RESP = f"""(SELECT page_id, string_agg(line, chr(10) ORDER BY n) AS t FROM {B.drop_progress(
-    B.lines_of('pages', 'page_id', 'html'))} GROUP BY page_id)"""
+    B.lines_of(RESPONSES.sql, 'page_id', 'html'))} GROUP BY page_id)"""
 
 
 @query("compact_response", f"""
-SELECT page_id, CASE WHEN {B.binary_reason('t', 4000)} IS NOT NULL THEN '[~' || greatest(1, length(t) // 1024)
+SELECT page_id, CASE WHEN {B.binary_reason('t', None)} IS NOT NULL THEN '[~' || greatest(1, length(t) // 1024)
     || 'KB of binary or base64-like content suppressed]' ELSE compact END AS compact
 FROM {_RESP} JOIN {B.head_tail(B.lines_of(
-    f"(SELECT page_id, CASE WHEN regexp_matches(t, {B.lit(P.HTML_PAGE)}) THEN {B.html_text('t')} ELSE t END AS v FROM {_RESP})",
+    f"(SELECT page_id, CASE WHEN regexp_matches(t, {B.lit(P.HTML_PAGE)}) THEN {B.html_text('t')} ELSE t END AS v "
+    f"FROM (SELECT page_id, {B.without_blobs('t')} AS t FROM {_RESP}))",
     'page_id', 'v'), 'page_id', 40)} USING (page_id)""")
 def compact_response(spark, d):
-    return read(spark, d, "pages", wide=True).select("page_id", shapes.compact_response(F.col("html")).alias("compact"))
+    return RESPONSES.df(spark, d).select("page_id", shapes.compact_response(F.col("html")).alias("compact"))
 
 
 URLS = Derived("pages", ("page_id", "regexp_replace(url, '[?#].*$', '') AS path"))

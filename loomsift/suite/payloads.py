@@ -443,6 +443,7 @@ sig AS (SELECT dir, name, unnest(list_filter(string_split(text, chr(10)), lambda
 SELECT dir, 'dir' AS kind, '' AS name, '' AS line, CAST(0 AS BIGINT) AS pos, count(*) AS n FROM f GROUP BY dir
 UNION ALL SELECT dir, 'plain', name, '', r, NULL FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY name) AS r
   FROM f WHERE NOT code) WHERE r <= 12
+UNION ALL SELECT dir, 'more', '', '', 13, count(*) - 12 FROM f WHERE NOT code GROUP BY dir HAVING count(*) > 12
 UNION ALL SELECT dir, 'code', name, '', 0, 7 FROM f WHERE code
 UNION ALL SELECT dir, 'signature', name, trim(line), pos, NULL FROM sig""")
 def code_map(spark, d):

@@ -261,8 +261,7 @@ def lint_findings(spark, d):
 @query("group_lint", f"""
 SELECT file, issues, rank, line_no, col_no, msg FROM (
   SELECT *, count(*) OVER (PARTITION BY file) AS issues, row_number() OVER (PARTITION BY file ORDER BY capture_id, pos) AS rank
-  FROM {_LINT_FACTS})
-JOIN (SELECT file FROM {_LINT_FACTS} GROUP BY file ORDER BY min((capture_id, pos)) LIMIT 40) USING (file) WHERE rank <= 6""")
+  FROM {_LINT_FACTS}) WHERE rank <= 6""")
 def group_lint(spark, d):
     return findings.group_lint(findings.lint_findings(LINT.df(spark, d), ["capture_id"]), ["capture_id", "pos"])
 

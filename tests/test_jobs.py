@@ -318,6 +318,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "src" / "core.py").write_text("import os\n\nclass A:\n    def f(self):\n        return 1\n")
     (tmp_path / "notes.txt").write_bytes(b"bad \xff byte")
     (tmp_path / "node_modules" / "x.js").write_text("function f() {}")
+    lines = readers.read_lines(spark, str(tmp_path)).where("stream LIKE '%.py'").orderBy("chunk", "at")
+    assert [r.line for r in lines.collect()] and lines.columns == ["stream", "chunk", "line", "at"]
     inv = readers.scan_files(spark, str(tmp_path))
     assert [r.path.rsplit("/", 1)[1] for r in inv.collect()] == ["notes.txt", "core.py"]
     docs = readers.read_documents(spark, str(tmp_path))

@@ -121,7 +121,11 @@ def test_binary(apply):
     assert apply(T.binary_reason, "a\x00b", "A" * 500, "normal text", "\x01\x02abc") == ["nul", "base64", None, "control"]
     late = "words " * 1000 + "B" * 500
     assert apply(T.binary_reason, late) is None
-    assert apply(lambda c: T.binary_reason(c, sample=None), late) == "base64"
+    assert apply(lambda c: T.binary_reason(c, sample=4000), late) is None
+    assert apply(lambda c: T.binary_reason(c, sample=4000), late[5000:]) == "base64"
+    assert apply(T.without_blobs, late) == "words " * 1000 + "[base64-like content suppressed]"
+    # The end of a text counts as much as its start.
+    assert apply(T.binary_reason, "x" * 5000 + "\x00") == "nul"
 
 
 def test_library_frames(apply):
