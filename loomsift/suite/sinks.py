@@ -60,7 +60,7 @@ def compact_captures(spark, d):
 @query("captures_gain", f"""
 SELECT cmd, count(*) AS runs, CAST(sum(r) AS BIGINT) AS raw, CAST(sum(o) AS BIGINT) AS out, CAST(sum(r) - sum(o) AS BIGINT) AS saved,
   round((sum(r) - sum(o)) * 100.0 / sum(r), 4) AS pct FROM (
-  SELECT CASE WHEN cmd LIKE 'docker%' THEN 'docker logs' ELSE string_split(cmd, ' ')[1] END AS cmd,
+  SELECT CASE WHEN cmd LIKE 'docker%' THEN 'docker logs' WHEN cmd LIKE 'err %' THEN 'err make' WHEN cmd LIKE 'proxy %' THEN 'proxy ls' ELSE string_split(cmd, ' ')[1] END AS cmd,
     {B.tokens('text')} AS r, {B.tokens('compact')} AS o FROM {_CAPTURED}) GROUP BY ROLLUP (cmd)""")
 def captures_gain(spark, d):
     done = captures.compact_captures(all_captures(spark, d))
@@ -68,7 +68,7 @@ def captures_gain(spark, d):
 
 
 @query("measure_only", f"""
-SELECT 'proxy' AS label, count(*) AS runs, CAST(sum({B.tokens('text')}) AS BIGINT) AS raw,
+SELECT 'proxy ls' AS label, count(*) AS runs, CAST(sum({B.tokens('text')}) AS BIGINT) AS raw,
   CAST(sum({B.tokens('text')}) AS BIGINT) AS out FROM documents WHERE doc_id % 8 = 5""")
 def measure_only(spark, d):
     proxied = all_captures(spark, d).where("cmd = 'proxy ls'")
