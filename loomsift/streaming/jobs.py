@@ -27,8 +27,10 @@ def stream_session_cache(runs: DataFrame, ttl: int = P.CACHE_TTL_SECONDS,
 
     Input columns ``cmd_key``, ``capture_id``, ``t`` (event time in seconds) and
     ``hash``.  The state is one small entry per command, dropped once the
-    watermark is ``ttl`` past it.  Time is event time, so a replay gives the same
-    answer; runs later than ``delay`` are not seen.
+    watermark is ``ttl`` past it.  Runs of one micro-batch are taken in the order of
+    event time.  A run older than the last anchor, from an earlier time than a batch
+    already seen, is ``new`` and leaves the anchor where it is; runs later than ``delay``
+    are not seen.  Replaying the same batches gives the same answers.
     """
     def step(key: tuple, batches: Iterator, state) -> Iterator:
         import pandas as pd
@@ -40,6 +42,10 @@ def stream_session_cache(runs: DataFrame, ttl: int = P.CACHE_TTL_SECONDS,
         pdf = pd.concat(list(batches)).sort_values(["t", "capture_id"], kind="stable")
         status, ages = [], []
         for t, h in zip(pdf["t"].tolist(), pdf["hash"].tolist()):
+            if at is not None and t < at:
+                status.append("new")
+                ages.append(None)
+                continue
             fresh = at is not None and t - at < ttl
             if fresh and h == content:
                 status.append("unchanged")

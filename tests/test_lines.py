@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from loomsift.operators import lines as L
 from loomsift.operators import versions as V
 from loomsift.plans import rules
-from loomsift.streaming.jobs import stream_session_cache  # noqa: F401
+from loomsift.session import shared_dir
+from loomsift.streaming.jobs import stream_session_cache
 
 
 @pytest.fixture(scope="module")
@@ -176,3 +177,17 @@ def test_null_keys_fail_loudly(spark):
         L.number_lines(df, ["s"], "chunk", ["n"], "pos").collect()
     with pytest.raises(Exception, match="null in key column s"):
         L.head_tail(df, ["s"], ["n"]).collect()
+
+
+def test_stream_cache_over_several_batches(spark):
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("cache-in", "cache-out", "cache-checkpoint"))
+    kinds = "cmd_key string, capture_id bigint, t bigint, hash string"
+    batches = [[("a", 1, 1000, "x"), ("a", 2, 1100, "x")], [("a", 3, 1200, "y"), ("b", 4, 1200, "x")], [("a", 5, 1050, "y"), ("a", 6, 1300, "y")]]
+    for rows in batches:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source)
+    query = stream_session_cache(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 2
+    got = {r.capture_id: (r.status, r.age) for r in spark.read.parquet(out).collect()}
+    assert got == {1: ("new", None), 2: ("unchanged", 100), 3: ("changed", 200), 4: ("new", None), 5: ("new", None), 6: ("unchanged", 100)}
