@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from loomsift import patterns as P
+from loomsift.functions.text import GUARDED_ASSIGN
 
 
 def _raw(pattern: str) -> str:
@@ -30,8 +31,8 @@ def register_functions(spark: SparkSession) -> list[str]:
         "est_tokens": ("s STRING", "INT", "shiftright(length(s) + 3, 2)"),
         "strip_ansi": ("s STRING", "STRING", f"regexp_replace(s, {_raw(P.ANSI)}, '')"),
         "redact_secrets": ("s STRING", "STRING",
-                           f"regexp_replace(regexp_replace(s, {_raw(P.SECRET_ASSIGN)}, '$1$2{P.MASK}'), "
-                           f"{_raw(P.SECRET_TOKEN)}, '{P.MASK}')"),
+                           f"regexp_replace(regexp_replace(regexp_replace(s, {_raw(P.BEARER_VALUE)}, '$1{P.MASK}'), "
+                           f"{_raw(GUARDED_ASSIGN)}, '$1$2{P.MASK}'), {_raw(P.SECRET_TOKEN)}, '{P.MASK}')"),
         "line_template": ("s STRING", "STRING", f"regexp_replace(s, {_raw(P.TIMESTAMP_PREFIX)}, '')"),
         "is_error_line": ("s STRING", "BOOLEAN", f"s RLIKE {_raw(P.ERROR_LINE)}"),
         "is_secret_key": ("s STRING", "BOOLEAN", f"s RLIKE {_raw(P.SECRET_KEY)}"),

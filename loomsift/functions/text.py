@@ -83,7 +83,7 @@ def has_secret_hint(text: Column) -> Column:
 
 # A match can only begin at a word start (the leading class is greedy), and
 # saying so keeps the scan linear on very long unbroken words.
-_ASSIGN = P.SECRET_ASSIGN.replace("(?i)(", "(?i)(?<![A-Za-z0-9_.-])(", 1)
+GUARDED_ASSIGN = P.SECRET_ASSIGN.replace("(?i)(", "(?i)(?<![A-Za-z0-9_.-])(", 1)
 
 
 def redact(text: Column, strict: bool = True) -> Column:
@@ -94,7 +94,7 @@ def redact(text: Column, strict: bool = True) -> Column:
     out = text
     if strict:
         out = F.regexp_replace(out, P.BEARER_VALUE, "$1" + P.MASK)
-    out = F.regexp_replace(out, _ASSIGN, "$1$2" + P.MASK)
+    out = F.regexp_replace(out, GUARDED_ASSIGN, "$1$2" + P.MASK)
     out = F.regexp_replace(out, P.SECRET_TOKEN, P.MASK)
     return F.when(has_secret_hint(text), out).otherwise(text)
 

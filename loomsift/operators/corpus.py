@@ -51,7 +51,7 @@ def redaction_facts(docs: DataFrame, by: Sequence[str], text: str = "text") -> D
     c = F.col(text)
     hint = T.has_secret_hint(c)
     rows = docs.where(hint).select(
-        *by, F.regexp_count(c, F.lit(P.SECRET_ASSIGN)).alias("assignments"),
+        *by, F.regexp_count(c, F.lit(T.GUARDED_ASSIGN)).alias("assignments"),
         F.regexp_count(c, F.lit(P.SECRET_TOKEN)).alias("token_shapes"))
     return rows.groupBy(*by).agg(
         F.sum("assignments").alias("assignments"), F.sum("token_shapes").alias("token_shapes"),
