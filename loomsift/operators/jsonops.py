@@ -147,10 +147,11 @@ def cluster_rows(docs: DataFrame, keys: Sequence[str], text: str = "text") -> Da
         _text("v", "$.identity.type").alias("identity"),
         F.coalesce(_get("v", "$.aadProfile.managed", "boolean"), F.lit(False)).alias("managed_aad"),
         _text("v", "$.networkProfile.networkPlugin").alias("network_plugin"),
+        F.try_variant_get("v", "$.tags", "map<string,string>").alias("tags"),
         F.explode_outer(F.try_variant_get("v", "$.agentPoolProfiles", "array<variant>")).alias("p"))
     return flat.select(
         *keys, "name", "location", "version", "state", "power", "identity", "managed_aad",
-        "network_plugin", F.when(F.col("p").isNotNull(), _text("p", "$.name")).alias("pool"),
+        "network_plugin", "tags", F.when(F.col("p").isNotNull(), _text("p", "$.name")).alias("pool"),
         _get("p", "$.count", "bigint").alias("nodes"),
         F.when(F.col("p").isNotNull(), F.regexp_replace(_text("p", "$.vmSize"), "Standard_", ""))
         .alias("vm_size"),

@@ -352,3 +352,8 @@ def test_token_meter(spark):
     assert got == {"a": (2, 11, 10), "b": (1, 0, 0)}
     saved, pct = T.saved_columns(F.lit(0), F.lit(0))
     assert tuple(spark.range(1).select(saved, pct).first()) == (0, 0.0)
+
+
+def test_cluster_tags(spark):
+    docs = spark.createDataFrame([(1, json.dumps({"name": "c", "tags": {"env": "x", "team": "y"}})), (2, '{"name":"d"}')], "id int, text string")
+    assert {r.id: r.tags for r in jsonops.cluster_rows(docs, ["id"]).collect()} == {1: {"env": "x", "team": "y"}, 2: None}
