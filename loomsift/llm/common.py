@@ -29,6 +29,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_TABLE: dict = {}
+
+
+def worker_table(key, make: Callable):
+    """A table that a Python worker keeps between tasks, one at a time.
+
+    A worker that goes on to another operator gives the last one's table back first.
+    """
+    if key not in _TABLE:
+        _TABLE.clear()
+        _TABLE[key] = make()
+    return _TABLE[key]
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file."""
     import public_tokenizers

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomsift.llm.common import arrow_rows, doc_texts, documents, vocabulary
+from loomsift.llm.common import arrow_rows, doc_texts, documents, vocabulary, worker_table
 from loomsift.llm.quality import PIECE_BPE
 
 MARK = "▁"
@@ -202,15 +202,9 @@ def sampled(lattices: Lattices, texts: list[str], keys: list[int]) -> list[np.nd
     return np.split(ids, np.concatenate([[0], stop])[text_ends][:-1])
 
 
-_LATTICES: dict[tuple[str, float], Lattices] = {}
-
-
 def lattices_of(path: str, sharpness: float = SHARPNESS) -> Lattices:
-    """Those of this worker; kept between tasks."""
-    key = path, sharpness
-    if key not in _LATTICES:
-        _LATTICES[key] = Lattices(Pieces(path, sharpness))
-    return _LATTICES[key]
+    """The lattices of this worker."""
+    return worker_table(("lattices", path, sharpness), lambda: Lattices(Pieces(path, sharpness)))
 
 
 def _batches(batch: pa.RecordBatch):

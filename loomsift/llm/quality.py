@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomsift.llm.common import arrow_rows, doc_texts, documents, vocabulary
+from loomsift.llm.common import arrow_rows, doc_texts, documents, vocabulary, worker_table
 from loomsift.llm.tokens import WordIds
 
 PIECE_BPE = "piece_bpe_32k.model"
@@ -68,13 +68,9 @@ class PieceWords(WordIds):
         return self.model.encode(word.decode())
 
 
-_MODELS: dict[str, PieceWords] = {}
-
-
 def piece_words(path: str) -> PieceWords:
-    if path not in _MODELS:
-        _MODELS[path] = PieceWords(path)
-    return _MODELS[path]
+    """The pieces table of this worker."""
+    return worker_table(("pieces", path), lambda: PieceWords(path))
 
 
 def repeated_words(rows: np.ndarray, size: int = 5) -> int:

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from loomsift.llm.common import worker_table
+
 WORD_BPE = "word_bpe_49k.json"
 TABLE_WORDS = 600_000
 
@@ -111,11 +113,6 @@ class BpeWords(WordIds):
         return [i for part in self.split.findall(low) for i in self._part(part)]
 
 
-_ENCODERS: dict[str, BpeWords] = {}
-
-
 def bpe_words(path: str) -> BpeWords:
-    """The encoder of this worker; kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BpeWords(path)
-    return _ENCODERS[path]
+    """The encoder of this worker."""
+    return worker_table(("bpe", path), lambda: BpeWords(path))
