@@ -95,7 +95,8 @@ def near_pairs(fps: DataFrame, hot: int = HOT) -> DataFrame:
     t, p = table.select(*keys, F.col("fp").alias("t")), probes.select(*keys, F.col("fp").alias("p"))
     same = [t[k] == p[k] for k in keys]
     near = F.bit_count(F.col("t").bitwiseXOR(F.col("p"))).between(1, DISTANCE)
-    found = t.join(p, [*same, near])
+    # Sizes of exploded tables are not known beforehand: neither side may be broadcast.
+    found = t.hint("merge").join(p, [*same, near])
     return found.select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b")).distinct()
 
 
