@@ -60,44 +60,49 @@ def start_model(counts: np.ndarray, rare: int, seed: int = 7, kind: type = np.fl
 
 
 def run_states(m: Model, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
-    """States after each input of a window (steps, lanes); ``fresh`` marks inputs that begin a text.
+    """States (steps, HIDDEN, lanes) after each input of a window (steps, lanes).
 
-    ``keep`` also returns what backpropagation needs: states before, gates, candidates and their inner part.
+    ``fresh`` marks inputs that begin a text; ``state`` is (HIDDEN, lanes).  ``keep`` also
+    returns what backpropagation needs: states before, gates, candidates and their inner
+    part.  Lanes come last, so every gate is one block of memory.
     """
     steps, lanes = inputs.shape
     h2 = 2 * HIDDEN
-    x = m.table[inputs]
-    states = np.empty((steps, lanes, HIDDEN), m.table.dtype)
-    before, inner = (np.empty_like(states) for _ in range(2)) if keep else (None, None)
-    gates, fill = (np.empty((steps, lanes, h2), m.table.dtype), np.empty_like(states)) if keep else (None, None)
+    half = np.ones((3 * HIDDEN, 1), m.table.dtype)
+    half[:h2] = 0.5  # a sigmoid is a tanh of half its input
+    x = m.table[inputs].transpose(0, 2, 1) * half
+    weights = m.inner.T * half
+    states = np.empty((steps, HIDDEN, lanes), m.table.dtype)
+    before, inner, fill = (np.empty_like(states) for _ in range(3)) if keep else (None, None, None)
+    gates = np.empty((steps, h2, lanes), m.table.dtype) if keep else None
     begins = fresh.any(1).tolist()
     for t in range(steps):
         if begins[t]:
-            state = state * ~fresh[t][:, None]
-        u = state @ m.inner
-        zr = u[:, :h2] + x[t, :, :h2]
-        zr *= 0.5
+            state = state * ~fresh[t]
+        u = weights @ state
+        zr, un = u[:h2], u[h2:]
+        zr += x[t, :h2]
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        un = u[:, h2:]
-        n = zr[:, HIDDEN:] * un
-        n += x[t, :, h2:]
+        n = zr[HIDDEN:] * un
+        n += x[t, h2:]
         np.tanh(n, out=n)
         if keep:
             before[t], gates[t], fill[t], inner[t] = state, zr, n, un
-        new = state - n
-        new *= zr[:, :HIDDEN]
+        new = states[t]
+        np.subtract(state, n, out=new)
+        new *= zr[:HIDDEN]
         new += n
-        states[t] = state = new
-    return states, state, (before, gates, fill, inner)
+        state = new
+    return states, state.copy(), (before, gates, fill, inner)
 
 
-def _by_class(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Rows of each class that occurs, without the class of all other words."""
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the rows by class, and the slice of each class that occurs, without that of all other words."""
     order = np.argsort(classes.astype(np.uint8), kind="stable")
     ends = np.cumsum(np.bincount(classes, minlength=CLASSES + 1)).tolist()
-    return [(c, order[a:b]) for c, (a, b) in enumerate(zip([0, *ends[:CLASSES - 1]], ends[:CLASSES], strict=True)) if b > a]
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:CLASSES - 1]], ends[:CLASSES], strict=True)) if b > a]
 
 
 def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,19 +114,28 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, ones: np.ndar
     return e, e @ ones + 1e-30
 
 
+def _rows(states: np.ndarray) -> np.ndarray:
+    """(steps, HIDDEN, lanes) as one row for each step and lane."""
+    return states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+
+
 def log_probs(m: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log of P(target | state); for RARE of its class alone."""
+    """Natural log of P(target | state), one row each; for RARE of its class alone."""
     classes = targets // WORDS
     ones = np.ones(max(CLASSES + 1, WORDS), states.dtype)
-    out = np.empty(len(targets), states.dtype)
+    order, slices = _by_class(classes)
+    h, word, c = states[order], (targets - classes * WORDS)[order], classes[order]
+    p = np.empty(len(targets), states.dtype)
     for at in range(0, len(targets), 4096):
-        c = classes[at:at + 4096]
-        e, total = _softmax(m.classes, m.class_bias, states[at:at + 4096], ones[:CLASSES + 1])
-        out[at:at + 4096] = (e[np.arange(len(c)), c] + 1e-30) / total
-    for c, rows in _by_class(classes):
-        e, total = _softmax(m.words[c], m.word_bias[c], states[rows], ones[:WORDS])
-        out[rows] *= (e[np.arange(len(rows)), targets[rows] - c * WORDS] + 1e-30) / total
-    return np.log(np.maximum(out, 1e-37))
+        s = slice(at, at + 4096)
+        e, total = _softmax(m.classes, m.class_bias, h[s], ones[:CLASSES + 1])
+        p[s] = (e[np.arange(len(total)), c[s]] + 1e-30) / total
+    for c, a, b in slices:
+        e, total = _softmax(m.words[c], m.word_bias[c], h[a:b], ones[:WORDS])
+        p[a:b] *= (e[np.arange(b - a), word[a:b]] + 1e-30) / total
+    out = np.empty_like(p)
+    out[order] = np.log(np.maximum(p, 1e-37))
+    return out
 
 
 def gradients(m: Model, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, state: np.ndarray):
@@ -131,11 +145,13 @@ def gradients(m: Model, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarr
     """
     steps, lanes = inputs.shape
     states, last, (before, gates, fill, inner) = run_states(m, inputs, fresh, state, keep=True)
-    flat, goal = states.reshape(-1, HIDDEN), targets.ravel()
+    flat, goal = _rows(states), targets.ravel()
     used = np.flatnonzero(goal >= 0)
-    h, goal = flat[used], goal[used]
-    classes = goal // WORDS
-    at = np.arange(len(goal))
+    classes = goal[used] // WORDS
+    order, slices = _by_class(classes)
+    used, classes = used[order], classes[order]
+    h, word = flat[used], goal[used] - classes * WORDS
+    at = np.arange(len(used))
     ones = np.ones(max(CLASSES + 1, WORDS), h.dtype)
     p, total = _softmax(m.classes, m.class_bias, h, ones[:CLASSES + 1])
     p /= total[:, None]
@@ -144,46 +160,47 @@ def gradients(m: Model, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarr
     d_classes, d_class_bias = p.T @ h, p.sum(0)
     dh = p @ m.classes
     d_words, d_word_bias = np.zeros_like(m.words), np.zeros_like(m.word_bias)
-    for c, rows in _by_class(classes):
-        hc = h[rows]
-        q, total = _softmax(m.words[c], m.word_bias[c], hc, ones[:WORDS])
+    for c, a, b in slices:
+        q, total = _softmax(m.words[c], m.word_bias[c], h[a:b], ones[:WORDS])
         q /= total[:, None]
-        some, word = at[:len(rows)], goal[rows] - c * WORDS
-        loss -= np.log(q[some, word] + 1e-30).sum()
-        q[some, word] -= 1
-        d_words[c], d_word_bias[c] = q.T @ hc, q.sum(0)
-        dh[rows] += q @ m.words[c]
+        some = at[:b - a]
+        loss -= np.log(q[some, word[a:b]] + 1e-30).sum()
+        q[some, word[a:b]] -= 1
+        np.matmul(q.T, h[a:b], out=d_words[c])
+        np.matmul(ones[:b - a] if b - a <= len(ones) else np.ones(b - a, h.dtype), q, out=d_word_bias[c])
+        dh[a:b] += q @ m.words[c]
     d_states = np.zeros_like(flat)
     d_states[used] = dh
-    d_states = d_states.reshape(steps, lanes, HIDDEN)
+    d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
     h2 = 2 * HIDDEN
-    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     to_fill = (1 - z) * (1 - fill * fill)
     to_z = (before - fill) * z * (1 - z)
     to_r = inner * r * (1 - r)
-    d_x, d_u = np.empty((steps, lanes, 3 * HIDDEN), h.dtype), np.empty((steps, lanes, 3 * HIDDEN), h.dtype)
-    back = np.zeros((lanes, HIDDEN), h.dtype)
+    d_u = np.empty((steps, 3 * HIDDEN, lanes), h.dtype)
+    d_fill = np.empty_like(d_states)
+    back = np.zeros((HIDDEN, lanes), h.dtype)
     begins = fresh.any(1).tolist()
-    across = m.inner.T.copy()
     for t in range(steps - 1, -1, -1):
-        d = d_states[t] + back
-        dn = d * to_fill[t]
-        d_x[t, :, h2:] = dn
-        u = d_u[t]
-        u[:, :HIDDEN] = d * to_z[t]
-        u[:, HIDDEN:h2] = dn * to_r[t]
-        u[:, h2:] = dn * r[t]
-        back = u @ across
+        d = d_states[t]
+        d += back
+        dn, u = d_fill[t], d_u[t]
+        np.multiply(d, to_fill[t], out=dn)
+        np.multiply(d, to_z[t], out=u[:HIDDEN])
+        np.multiply(dn, to_r[t], out=u[HIDDEN:h2])
+        np.multiply(dn, r[t], out=u[h2:])
+        back = m.inner @ u
         back += d * z[t]
         if begins[t]:
-            back[fresh[t]] = 0
-    d_x[:, :, :h2] = d_u[:, :, :h2]
-    d_inner = before.reshape(-1, HIDDEN).T @ d_u.reshape(-1, 3 * HIDDEN)
+            back *= ~fresh[t]
+    d_inner = before.transpose(1, 0, 2).reshape(HIDDEN, -1) @ d_u.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+    d_u[:, h2:] = d_fill
     tokens = inputs.ravel()
-    order = np.argsort(tokens, kind="stable")
-    rows, first = np.unique(tokens[order], return_index=True)
-    d_table = np.add.reduceat(d_x.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-    return float(loss), len(goal), (rows, d_table), [d_inner, d_classes, d_class_bias, d_words, d_word_bias], last
+    order = np.argsort(tokens.astype(np.uint16), kind="stable")
+    ranked = tokens[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    d_table = np.add.reduceat(d_u.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    return float(loss), len(used), (ranked[first], d_table), [d_inner, d_classes, d_class_bias, d_words, d_word_bias], last
 
 
 class Trainer:
@@ -218,6 +235,12 @@ def lanes_of(texts: list[np.ndarray], lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda x: -sum(len(texts[i]) for i in x))
 
 
+def balanced(texts: list[np.ndarray], most: int) -> int:
+    """Lanes that end together: one lane holds the longest text, the others as much."""
+    longest = max(map(len, texts), default=0)
+    return max(8, min(most, sum(map(len, texts)) // max(1, longest)))
+
+
 def windows(texts: list[np.ndarray], lanes: int, steps: int):
     """Windows over the lanes of targets: inputs, fresh, targets (-1: none) and the text of each place.
 
@@ -244,26 +267,45 @@ def windows(texts: list[np.ndarray], lanes: int, steps: int):
         yield np.where(here, given[at], BEGIN), begin[at] | ~here, np.where(here, target[at], -1), owner[at]
 
 
-def train(model: Model, texts: list[np.ndarray], trainer: Trainer, lanes: int = 256, steps: int = 16) -> tuple[float, int]:
-    """One pass over the texts (arrays of targets); returns loss and tokens."""
+def segments(texts: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Long texts in parts that are learnt side by side, each from a fresh state."""
+    return [t[i:i + size] for t in texts for i in range(0, len(t), size)]
+
+
+def train(model: Model, texts: list[np.ndarray], trainer: Trainer, lanes: int = 256, steps: int = 16, segment: int = 1024) -> tuple[float, int]:
+    """One pass over the texts (arrays of targets), at most ``lanes`` at a time; returns loss and tokens."""
     loss = tokens = 0
     state = None
-    for inputs, fresh, targets, _ in windows(texts, lanes, steps):
-        state = np.zeros((inputs.shape[1], HIDDEN), model.table.dtype) if state is None else state[:inputs.shape[1]]
+    texts = segments(texts, segment)
+    for inputs, fresh, targets, _ in windows(texts, balanced(texts, lanes), steps):
+        state = np.zeros((HIDDEN, inputs.shape[1]), model.table.dtype) if state is None else np.ascontiguousarray(state[:, :inputs.shape[1]])
         part, n, table, rest, state = gradients(model, inputs, fresh, targets, state)
         trainer.update(n, table, rest)
         loss, tokens = loss + part, tokens + n
     return loss, tokens
 
 
-def score(model: Model, texts: list[np.ndarray], lanes: int = 256, steps: int = 16) -> np.ndarray:
-    """Natural log of each text's probability, RARE targets by their class."""
+def score(model: Model, texts: list[np.ndarray], lanes: int = 512, steps: int = 16, together: int = 1 << 16) -> np.ndarray:
+    """Natural log of each text's probability, RARE targets by their class.
+
+    The output layer takes about ``together`` tokens at a time.
+    """
     out = np.zeros(len(texts))
     state = None
-    for inputs, fresh, targets, text in windows(texts, lanes, steps):
-        state = np.zeros((inputs.shape[1], HIDDEN), model.table.dtype) if state is None else state[:inputs.shape[1]]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> None:
+        states, targets, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        out[:] += np.bincount(text, log_probs(model, states, targets).astype(np.float64), len(texts))
+        held.clear()
+
+    for inputs, fresh, targets, text in windows(texts, balanced(texts, lanes), steps):
+        state = np.zeros((HIDDEN, inputs.shape[1]), model.table.dtype) if state is None else np.ascontiguousarray(state[:, :inputs.shape[1]])
         states, state, _ = run_states(model, inputs, fresh, state)
-        used = targets >= 0
-        got = log_probs(model, states[used], targets[used]).astype(np.float64)
-        out += np.bincount(text[used], got, len(texts))
+        used = np.flatnonzero(targets.ravel() >= 0)
+        held.append((_rows(states)[used], targets.ravel()[used], text.ravel()[used]))
+        if sum(len(x[1]) for x in held) >= together:
+            flush()
+    if held:
+        flush()
     return out

@@ -17,26 +17,26 @@ words of each document.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm import gru
-from loomsift.llm.common import doc_texts, documents, written
+from loomsift.llm.common import doc_texts, documents, worker_table, written
 from loomsift.llm.gru import LEXICON, RARE, Model, Trainer
 
 #: Words whose counts every task holds (bounded); the lexicon are the first of them.
 KNOWN = 1 << 16
 #: Hash that stands for the end of a text; words are never empty.
 END = 0
-#: Tokens that run side by side at a time in a task.
+#: Tokens that are hashed at a time in a task, and that the model takes at a time: enough for even lanes beside a long text.
 TOKENS = 1 << 20
+MODEL_TOKENS = 1 << 22
 CELLS = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -66,27 +66,12 @@ class WordHashes(dict):
         return out.view(np.int64)
 
 
-_HASHES = WordHashes()
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash) and c over all texts; partial counts leave a task in bounded parts."""
+    """word (hash) and c over all texts; tasks count about TOKENS words at a time."""
     def task(batches: Iterator[pa.RecordBatch]):
-        def out(counts: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.fromiter(counts.keys(), np.int64, len(counts))),
-                                    pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["word", "c"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words, n = np.unique(_HASHES.text(text), return_counts=True)
-                for w, k in zip(words.tolist(), n.tolist(), strict=True):
-                    counts[w] += k
-                if len(counts) > 500_000:
-                    yield out(counts)
-                    counts = Counter()
-        if counts:
-            yield out(counts)
+        for _, hashes in _groups(batches, 0):
+            words, n = np.unique(np.concatenate(hashes), return_counts=True)
+            yield pa.record_batch([pa.array(words), pa.array(n)], names=["word", "c"])
 
     return texts.select("text").mapInArrow(task, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -128,9 +113,10 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Rows and their word hashes, about TOKENS at a time."""
     rows, hashes, size = [], [], 0
+    table = worker_table("word hashes", WordHashes)
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h = _HASHES.text(row[column])
+            h = table.text(row[column])
             rows.append(row[:column] + row[column + 1:])
             hashes.append(h)
             size += len(h)
@@ -141,25 +127,72 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[li
         yield rows, hashes
 
 
-def _targets(words: Vocabulary, hashes: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    place = words.look_up(np.concatenate(hashes))
-    return place, np.split(words.targets(place), np.cumsum([len(h) for h in hashes])[:-1])
+READY = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare double, targets binary, lost array<long>")
+
 
+def prepared(texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """Every text as targets of the model, with its sums over frequent words and the hashes of its rare ones.
+
+    Written once; training and scoring read it instead of the texts.  ``row`` is a number of its own for each row.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def task(batches):
+        v = sent.value
+        known = np.append(v.counts, 0).astype(np.float64)
+        base = np.log10((known + 1) / (v.total + v.distinct + 1))
+        rare = np.log10((known + 1) / (v.rare_total + v.rare_distinct + 1))
+        part, number = TaskContext.get().partitionId() << 40, 0
+        for rows, hashes in _groups(batches, 2):
+            size = np.array([len(h) for h in hashes])
+            flat = np.concatenate(hashes)
+            place = v.look_up(flat)
+            targets = v.targets(place).astype("<u2")
+            owner = np.repeat(np.arange(len(rows)), size)
+            seen = place >= 0
+            sums = [np.bincount(owner, w, len(rows)) for w in (seen, np.where(seen, base[place], 0), np.where(seen & (targets == RARE), rare[place], 0))]
+            ends = np.concatenate([[0], np.cumsum(size)]) * 2
+            lost = np.concatenate([[0], np.cumsum(np.bincount(owner[~seen], minlength=len(rows)))]).astype(np.int32)
+            binary = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(targets)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part + number + np.arange(len(rows))), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
+                 pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), binary,
+                 pa.ListArray.from_arrays(pa.array(lost), pa.array(flat[~seen]))], names=[f.split()[0] for f in READY.split(", ")])
+            number += len(rows)
 
-def train_round(texts: DataFrame, words: Broadcast, model: np.ndarray) -> np.ndarray:
-    """One pass over the texts by every task from the same model; the token-weighted average of their models.
+    return written(texts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(task, READY), "prepared")
+
+
+def _target_groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows and their targets, about MODEL_TOKENS at a time."""
+    rows, targets, size = [], [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            t = np.frombuffer(row[column], "<u2").astype(np.int32)
+            rows.append(row[:column] + row[column + 1:])
+            targets.append(t)
+            size += len(t)
+            if size >= MODEL_TOKENS:
+                yield rows, targets
+                rows, targets, size = [], [], 0
+    if rows:
+        yield rows, targets
+
+
+def train_round(ready: DataFrame, model: np.ndarray) -> np.ndarray:
+    """One pass over the rows by every task from the same model; the token-weighted average of their models.
 
     The models travel in cells of a fixed number of weights and are summed in two steps,
     so no task takes in more than a share of them.
     """
-    start = texts.sparkSession.sparkContext.broadcast(model)
+    start = ready.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
         mine = Model.from_flat(start.value)
         trainer = Trainer(mine)
         tokens = 0
-        for _, hashes in _groups(batches, 0):
-            tokens += gru.train(mine, _targets(words.value, hashes)[1], trainer)[1]
+        for _, targets in _target_groups(batches, 0):
+            tokens += gru.train(mine, targets, trainer)[1]
         if tokens:
             flat = mine.flat().astype(np.float64) * tokens
             part = TaskContext.get().partitionId()
@@ -178,23 +211,21 @@ def train_round(texts: DataFrame, words: Broadcast, model: np.ndarray) -> np.nda
             yield pa.record_batch([pa.array([cell]), pa.array([lane]), pa.array([n]), pa.array([w.astype(np.float32).tobytes()])], names=["cell", "lane", "n", "w"])
 
     kinds = "cell long, lane long, n double, w binary"
-    models = texts.select("text").mapInArrow(task, kinds)
-    lanes = models.repartition("cell", "lane").mapInArrow(add, kinds).select("cell", F.lit(0).cast("long").alias("lane"), "n", "w")
-    cells = sorted(lanes.repartition("cell").mapInArrow(add, kinds).collect(), key=lambda r: r.cell)
+    lanes = ready.select("targets").mapInArrow(task, kinds).repartition("cell", "lane").mapInArrow(add, kinds)
+    cells = sorted(lanes.select("cell", F.lit(0).cast("long").alias("lane"), "n", "w").repartition("cell").mapInArrow(add, kinds).collect(), key=lambda r: r.cell)
     if not cells:
         return model
     return np.concatenate([np.frombuffer(r.w, np.float32) / r.n for r in cells]).astype(np.float32)
 
 
-def train_model(texts: DataFrame, words: Vocabulary) -> np.ndarray:
-    """The model after two rounds over all ``texts`` (doc_id, text)."""
+def train_model(ready: DataFrame, words: Vocabulary) -> np.ndarray:
+    """The model after two rounds over all rows that are not held out."""
     order = np.argsort(words.numbers, kind="stable")
     counts = words.counts[order][words.numbers[order] < RARE]
     model = gru.start_model(counts, words.rare_total).flat()
-    sent = texts.sparkSession.sparkContext.broadcast(words)
     first = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     for share in (first, ~first):
-        model = train_round(texts.where(share), sent, model)
+        model = train_round(ready.where(~F.col("held_out") & share), model)
     return model
 
 
@@ -207,49 +238,28 @@ def score_documents(docs: DataFrame) -> DataFrame:
     nothing to learn from all words are unseen; an empty table gives no rows.
     """
     texts = doc_texts(docs)
-    learnt = texts.where(~held_out(F.col("doc_id")))
-    counts = written(word_counts(learnt), "word-counts")
+    counts = written(word_counts(texts.where(~held_out(F.col("doc_id")))), "word-counts")
     words = vocabulary_of(counts)
-    context = docs.sparkSession.sparkContext
-    sent, weights = context.broadcast(words), context.broadcast(train_model(learnt, words))
+    ready = prepared(texts, words)
+    weights = docs.sparkSession.sparkContext.broadcast(train_model(ready, words))
 
     def task(batches):
         model = Model.from_flat(weights.value)
-        v = sent.value
-        known = np.append(v.counts, 0).astype(np.float64)
-        base = np.log10((known + 1) / (v.total + v.distinct + 1))
-        rare = np.log10((known + 1) / (v.rare_total + v.rare_distinct + 1))
-        part, number = TaskContext.get().partitionId() << 40, 0
-        for rows, hashes in _groups(batches, 2):
-            place, targets = _targets(v, hashes)
-            size = np.array([len(h) for h in hashes])
-            owner = np.repeat(np.arange(len(rows)), size)
-            seen = place >= 0
-            flat = np.concatenate(targets)
-            n_known = np.bincount(owner, seen, len(rows)).astype(np.int64)
-            base_sum = np.bincount(owner, np.where(seen, base[place], 0), len(rows))
-            rare_sum = np.bincount(owner, np.where(seen & (flat == RARE), rare[place], 0), len(rows))
-            score = gru.score(model, targets) / np.log(10) + rare_sum
-            lost = np.concatenate(hashes)[~seen]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~seen], minlength=len(rows)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part + number + np.arange(len(rows))), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
-                 pa.array(size), pa.array(n_known), pa.array(base_sum), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(lost))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "lost"])
-            number += len(rows)
+        for rows, targets in _target_groups(batches, 1):
+            yield pa.record_batch([pa.array([r[0] for r in rows]), pa.array(gru.score(model, targets) / np.log(10))], names=["row", "model"])
 
-    scored = written(texts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        task, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, lost array<long>"), "scored")
+    scored = ready.select("row", "targets").mapInArrow(task, "row long, model double")
     # Rare words: their counts by join, then two sums for each document.
-    lost = scored.select("row", F.explode("lost").alias("word"))
+    lost = ready.select("row", F.explode("lost").alias("word"))
     c = F.coalesce(F.col("c"), F.lit(0))
     found = lost.join(counts, "word", "left").groupBy("row").agg(
         F.sum((c > 0).cast("long")).alias("known"), F.sum(F.log10((c + 1) / F.lit(float(words.total + words.distinct + 1)))).alias("more_base"),
         F.sum(F.log10((c + 1) / F.lit(float(words.rare_total + words.rare_distinct + 1)))).alias("more"))
     zero = F.lit(0.0)
-    return scored.join(found, "row", "left").select(
+    rows = ready.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare")
+    return rows.join(scored.hint("merge"), "row").join(found.hint("merge"), "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more", zero)).alias("score"))
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("model") + F.col("rare") + F.coalesce("more", zero)).alias("score"))
 
 
 def op7_language_model(spark, sf_dir: str) -> DataFrame:

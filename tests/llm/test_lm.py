@@ -66,7 +66,7 @@ def test_gradients(tiny):
     m, rng = tiny
     inputs, targets = rng.integers(0, 14, (6, 4)), rng.integers(-1, 13, (6, 4))
     fresh = rng.random((6, 4)) < 0.2
-    state = rng.normal(size=(4, 5))
+    state = rng.normal(size=(5, 4))
     loss, n, (rows, table), rest, _ = gru.gradients(m, inputs, fresh, targets, state)
     assert n == (targets >= 0).sum()
     full = np.zeros_like(m.table)
@@ -90,12 +90,12 @@ def test_probabilities_sum_to_one_and_state_is_carried(tiny):
     texts = [rng.integers(0, 13, n) for n in (1, 70, 5, 33, 2)]
 
     def plain(text):
-        state, given, out = np.zeros((1, 5)), 13, 0.0
+        state, given, out = np.zeros((5, 1)), 13, 0.0
         for i, w in enumerate(text):
             states, state, _ = gru.run_states(m, np.array([[given]]), np.array([[i == 0]]), state)
-            out += gru.log_probs(m, states[0], np.array([w]))[0]
+            out += gru.log_probs(m, states[0].T, np.array([w]))[0]
             given = w
         return out
 
     for lanes, steps in ((1, 7), (3, 4), (64, 16)):
-        assert np.allclose(gru.score(m, texts, lanes, steps), [plain(t) for t in texts])
+        assert np.allclose(gru.score(m, texts, lanes, steps, 20), [plain(t) for t in texts])
