@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import documents, written
+from loomsift.llm.common import documents, worker_table, written
 
 MIN_WORDS = 50
 RUN = 12
 HOT = 1000
 #: Suffixes compared at a time in a task; groups are never cut.
 CHUNK = 40_000
+#: Windows that leave a task at a time.
+BATCH_WINDOWS = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -55,7 +57,6 @@ class _Hashes(dict):
         return h
 
 
-_WORDS = _Hashes()
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -92,7 +93,8 @@ def sparse_suffixes(text: str, min_words: int = MIN_WORDS, run: int = RUN) -> tu
     words = text.encode().split()
     if len(words) < min_words:
         return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    table = worker_table("suffix words", _Hashes)
+    hashes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
     windows = run_hashes(hashes, min_words)
     least = sliding_min(run_hashes(hashes, run), min_words - run + 1)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
@@ -117,19 +119,31 @@ _LAST = np.iinfo(np.int64).max
 
 def _suffixes(keyed: DataFrame, min_words: int, run: int, payload: bool) -> DataFrame:
     """key[, doc_id, rid, at, windows] of all selected suffixes."""
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        keys, sizes, windows, doc_ids, rids, ats = zip(*held, strict=True)
+        columns = [pa.array(np.concatenate(keys).view(np.int64))]
+        if payload:
+            n = [len(k) for k in keys]
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32) * 8
+            doc = np.repeat(np.array([_LAST if d is None else d for d in doc_ids], np.int64), n)
+            columns += [pa.array(doc, pa.int64(), mask=doc == _LAST), pa.array(np.repeat(np.array(rids, np.int64), n)), pa.array(np.concatenate(ats).astype(np.int32)),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(windows))])]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "rid", "at", "windows"][:len(columns)])
+
     def task(batches: Iterator[pa.RecordBatch]):
+        held, size = [], 0
         for batch in batches:
             for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, starts, windows = sparse_suffixes(text, min_words, run)
                 if not len(keys):
                     continue
-                n = len(keys)
-                columns = [pa.array(keys.view(np.int64))]
-                if payload:
-                    ends = pa.py_buffer((starts * 8).astype(np.int32))
-                    columns += [pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, rid, np.int64)), pa.array(starts[:-1].astype(np.int32)),
-                                pa.BinaryArray.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(windows)])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "rid", "at", "windows"][:len(columns)])
+                held.append((keys, np.diff(starts), windows if payload else None, doc_id, rid, starts[:-1]))
+                size += len(windows)
+                if size >= BATCH_WINDOWS:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     kinds = "key long" + ", doc_id long, rid long, at int, windows binary" * payload
     return keyed.mapInArrow(task, kinds)
