@@ -31,8 +31,12 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "key", "token")
 
 # "0" opens a DER sequence, "openssh-key-v1" an OpenSSH key; both fix the first base64 characters.
-KEY_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{36,}={0,2}")
-TOKEN_RUN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}")
+# A run may follow any sign (KEY=, a path, a diff's + or -) and an escaped line end; a key ends where its lengths say.
+KEY_START = re.compile(r"[Mb](?:(?<![A-Za-z0-9].)|(?<=\\[nrt].))(?:(?<=M)[A-P]|(?<=b)3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{18}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]*")
+HEX_KEY = re.compile(r"[36](?<![0-9A-Fa-f].)(?:(?<=3)0|(?<=6)[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)[0-9A-Fa-f]{32,}")
+TOKEN_RUN = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))[_-]*(e[wy][A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4})")
+LEAST_KEY = 38
 PEM_OPEN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 OPENSSH = b"openssh-key-v1\0"
 
@@ -73,7 +77,7 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 def private_key(data: bytes) -> str | None:
     """The encoding of a private key these bytes are, exactly: rsa, dsa, ec, pkcs8, encrypted or openssh."""
     if data.startswith(OPENSSH):
-        return "openssh" if _openssh(data) else None
+        return "openssh" if _openssh(data) == len(data) else None
     top = _der(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return None
@@ -98,7 +102,8 @@ def private_key(data: bytes) -> str | None:
     return None
 
 
-def _openssh(data: bytes) -> bool:
+def _openssh(data: bytes) -> int | None:
+    """Length of the OpenSSH key these bytes begin with."""
     at = len(OPENSSH)
 
     def field() -> bytes | None:
@@ -110,12 +115,12 @@ def _openssh(data: bytes) -> bool:
         return data[at - size:at] if at <= len(data) else None
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     count = struct.unpack_from(">I", data, at)[0]
     at += 4
     if not 1 <= count <= 64 or any(field() is None for _ in range(count)):
-        return False
-    return field() is not None and at == len(data)
+        return None
+    return at if field() is not None else None
 
 
 def decoded(run: str) -> bytes | None:
@@ -147,6 +152,56 @@ def signed_token(run: str) -> bool:
         return False
 
 
+def _key_end(text: str, start: int) -> int | None:
+    """End of the base64 private key that starts here: its own lengths tell where it ends."""
+    if text[start] == "b":
+        run = BASE64.match(text, start)[0]
+        data = decoded(run[:len(run) - (len(run) % 4 == 1)])
+        size = _openssh(data) if data.startswith(OPENSSH) else None
+    else:
+        head = decoded(text[start:start + 8])
+        n = head[1] & 0x7F if head[1] >= 0x80 else 0
+        size = 2 + n + (int.from_bytes(head[2:2 + n], "big") if n else head[1]) if n <= 4 else None
+    if size is None:
+        return None
+    end = start - (-4 * size // 3)
+    if end - start < LEAST_KEY or end > len(text) or text[end:end + 1].isascii() and text[end:end + 1].isalnum():
+        return None
+    if BASE64.match(text, start, end).end() < end:
+        return None
+    data = decoded(text[start:end])
+    if not data or not private_key(data):
+        return None
+    return end + len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+
+
+def key_spans(text: str) -> list[Span]:
+    """Private keys in base64 or in hex of either case."""
+    out, at = [], 0
+    while m := KEY_START.search(text, at):
+        end = _key_end(text, m.start())
+        if end:
+            out.append(Span("key", m.start(), end, m.start()))
+        at = end or m.start() + 1
+    runs = {m.span() for m in HEX_KEY.finditer(text)} | {m.span() for m in HEX.finditer(text) if m[0].startswith(("30", "6f70656e"))}
+    for start, end in sorted(runs):
+        if (end - start) % 2 == 0 and end - start >= 64 and private_key(bytes.fromhex(text[start:end])):
+            out.append(Span("key", start, end, start))
+    return out
+
+
+def token_spans(text: str) -> list[Span]:
+    """Signed tokens, whatever dots or dotted names follow them."""
+    out, at = [], 0
+    while m := TOKEN_RUN.search(text, at):
+        parts = m[1].split(".")
+        run = next((r for n in (5, 3) if n <= len(parts) and signed_token(r := ".".join(parts[:n]))), None)
+        at = m.start(1) + (len(run) if run else 2)
+        if run:
+            out.append(Span("token", m.start(1), at, m.start(1)))
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     out = []
     low = text.lower()
@@ -171,15 +226,9 @@ def confirmed_spans(text: str) -> list[Span]:
             data = decoded(re.sub(r"\s+|\\n", "", body))
             if data and (private_key(data) or "Proc-Type:" in text[m.end():close] and len(data) % 8 == 0):
                 out.append(Span("pem", m.start(), close + len(f"-----END {m[1]}-----"), m.start()))
-    for m in KEY_RUN.finditer(text):
-        data = decoded(m[0])
-        if data and private_key(data):
-            out.append(Span("key", *m.span(), m.start()))
-    for m in HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and len(m[0]) >= 64 and private_key(bytes.fromhex(m[0])):
-            out.append(Span("key", *m.span(), m.start()))
+    out += key_spans(text)
     if "." in text:
-        out += [Span("token", *m.span(), m.start()) for m in TOKEN_RUN.finditer(text) if signed_token(m[0])]
+        out += token_spans(text)
     return out
 
 

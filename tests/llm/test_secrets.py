@@ -105,6 +105,31 @@ def test_confirmed_spans():
     assert token not in hidden and pem not in hidden and no_alg in hidden and fake in hidden
 
 
+KEY64, KEYSSH = base64.b64encode(PKCS8).decode(), base64.b64encode(SSH).decode()
+TOKEN = ".".join([url(json.dumps({"alg": "HS256"}).encode()), url(b'{"sub":1}'), "c2ln"])
+SEALED = ".".join([url(json.dumps({"alg": "dir", "enc": "A128GCM"}).encode()), "", "aXY", "Y2lwaGVy", "dGFn"])
+
+
+@pytest.mark.parametrize("before,secret,after,kind", [
+    ("The token is ", TOKEN, ".", "token"), ("", TOKEN, "... and so on", "token"), ("x ", TOKEN, ".example.org.", "token"), ("see.", TOKEN, ".", "token"),
+    ("-", TOKEN, "\n", "token"), ("a\\n", TOKEN, "\\n", "token"), ("eyAAAAAAAAAA.", TOKEN, " ", "token"), ("It is ", SEALED, ".", "token"),
+    ("RSA_KEY=", KEY64, "", "key"), ("RSA_KEY=", base64.b64encode(RSA).decode(), "\n", "key"), ("PRIVATE_KEY=", KEYSSH, ".", "key"), ("keys/", KEY64, "/a", "key"),
+    ("+", KEY64, "-", "key"), ("a/MAAA/", KEY64, "", "key"), ("a\\n", KEY64, "\\n", "key"), ("b64_", KEYSSH, "", "key"),
+    ("KEY=", EC.hex().upper(), "", "key"), ("KEY=0x", EC.hex()[:40].upper() + EC.hex()[40:], ".", "key"), ("", SSH.hex(), "", "key"), ("", SSH.hex().upper(), " ", "key")])
+def test_candidates(before, secret, after, kind):
+    text = f"é {before}{secret}{after}"
+    at = 2 + len(before)
+    spans = secret_spans(text)
+    assert [s for s in spans if s.kind in ("pem", "key", "token")] == [(kind, at, at + len(secret), at)]
+    assert secret not in masked(text, spans)
+
+
+@pytest.mark.parametrize("text", ["KEY=" + KEY64[:-4], "KEY=" + KEY64 + "A", "KEY=" + base64.b64encode(PUBLIC).decode(), TOKEN.split(".")[0] + "." + TOKEN.split(".")[2] + ".",
+                                  EC.hex().upper()[:-2], EC.hex().upper() + "A", SSH.hex()[:-2]])
+def test_no_candidates(text):
+    assert [s for s in secret_spans(text) if s.kind in ("pem", "key", "token")] == []
+
+
 def test_mask(spark, wide):
     docs = spark.createDataFrame([(1, 'x password = "abcdefghijkl" y', 30), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in mask_secrets(wide(docs)).collect()}
