@@ -1,5 +1,6 @@
 """Quality rules against plain counts, and verdicts on prose and noise."""
 
+import base64
 import random
 import re
 from collections import Counter
@@ -82,3 +83,52 @@ def test_verdicts():
     assert not verdict_of(" ".join(f"{c}{i}" for i in range(40) for c in "\x01\x02\x03")) and not verdict_of("Ab " + noise + " word" * 0)
     assert not verdict_of(" ".join(["a" * k for k in range(100, 140)]))
     assert script_of("Комитет abc") == "cyrillic" and script_of("naïve Straße") == "latin" and script_of("") == "latin"
+
+
+def random_words(rng, letters, n):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 10))) for _ in range(n))
+
+
+def cut(text, size):
+    return " ".join(text[i:i + size] for i in range(0, len(text), size))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_noise_is_outside(seed):
+    rng = random.Random(seed)
+    ascii_letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (40, 400, 2000):
+        noise = {"base64": cut(base64.b64encode(rng.randbytes(n * 8)).decode(), 12), "hex": cut(rng.randbytes(n * 4).hex(), 8),
+                 "printable": random_words(rng, [chr(c) for c in range(33, 127)], n), "capitals": random_words(rng, ascii_letters.upper(), n),
+                 "thai": random_words(rng, [chr(c) for c in range(0xE01, 0xE3B)], n), "han": random_words(rng, [chr(c) for c in range(0x4E00, 0x9FA6)], n),
+                 "cyrillic": random_words(rng, [chr(c) for c in range(0x430, 0x450)], n), "hangul": random_words(rng, [chr(c) for c in range(0xAC00, 0xD7A4)], n)}
+        if n > 40:
+            noise["letters"] = random_words(rng, ascii_letters, n)
+        for kind, text in noise.items():
+            found = measure(text, piece_words(VOCAB))
+            assert not found[5] and not found[6], (kind, n)
+    # Fewer than 50 tokens are judged too.
+    short = cut(rng.randbytes(11).hex(), 2)
+    found = measure(short, piece_words(VOCAB))
+    assert found[8] < 50 and not found[5] and not found[6]
+
+
+@pytest.mark.parametrize("text", [
+    "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı.",
+    "Hver maður er borinn frjáls og jafn öðrum að virðingu og réttindum. Menn eru gæddir vitsmunum og samvisku.",
+    "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn.",
+    "Барлық адамдар тумысынан азат және қадір-қасиеті мен құқықтары тең болып дүниеге келеді. Адамдарға ақыл-парасат, ар-ождан берілген.",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है।",
+    "มนุษย์ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาคกัน ใน เกียรติศักดิ์ และ สิทธิ ต่าง มี เหตุผล และ มโนธรรม และ ควรปฏิบัติ ต่อกัน",
+    "すべての 人間は、 生まれながらにして 自由であり、 かつ、 尊厳と 権利とについて 平等である。 人間は、 理性と 良心とを 授けられており、",
+    "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며",
+    "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ",
+    "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი"])
+def test_prose_is_inside(text):
+    assert measure(text, piece_words(VOCAB))[5:7] == (False, True)
