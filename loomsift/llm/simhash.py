@@ -111,11 +111,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     pairs = near_pairs(distinct.select("fp"))
-    first = distinct.where("first is not null")
-    edges = (pairs.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
-             .join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y"))
-    found = components(edges, "x", "y")
-    labels = distinct.join(found, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # Over fingerprints, so one held only by rows without a doc_id still links others.
+    groups = distinct.join(components(pairs), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = groups.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

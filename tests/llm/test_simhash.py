@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from loomsift.llm import simhash
 from loomsift.llm.common import documents
 from loomsift.llm.graph import components
 from loomsift.llm.simhash import fingerprint, keep_one, near_duplicates, near_pairs
@@ -57,6 +58,15 @@ def test_op8_odd(spark, odd_docs, no_docs, wide):
     assert near_duplicates(no_docs).collect() == []
 
 
+def test_null_ids_link(spark, monkeypatch):
+    # 0 - 3 bits - 7 - 3 bits - 63: the middle one has no doc_id.
+    rows = [(5, 0), (None, 7), (3, 63), (None, 63), (9, 1 << 40 | 63), (None, 1 << 60 | 0xFFFF << 20), (8, 0xFFFF << 30)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: prints)
+    want = [(5, 3), (None, 3), (3, 3), (None, 3), (9, 3), (None, None), (8, 8)]
+    assert sorted(((r.doc_id, r.component_id) for r in near_duplicates(prints).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_spark_hash_is_the_same(spark):
     texts = ["", "a", "the cat sat", "ünder naïve 日本", "x" * 100]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()
