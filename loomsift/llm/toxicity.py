@@ -242,7 +242,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         seen = Presence()
         for batch in batches:
             margin = np.array([weight[seen.of(text.as_py(), flags)].sum() + base for text in batch.column(2)], float)
-            value = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+            with np.errstate(over="ignore"):
+                value = 1 / (1 + np.exp(-margin))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(value), pa.array((value >= threshold).astype(np.int32))],
                                   names=["doc_id", "held_out", "score", "predicted"])
 
