@@ -153,6 +153,18 @@ def _matrix(column: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
     return column.values.to_numpy()[starts[:, None] + np.arange(dim)]
 
 
+def _blocks(paths: list[str]) -> Iterator[Block]:
+    """The stored blocks, small ones put together up to the size of a block."""
+    held: list[Block] = []
+    for path in [*paths, None]:
+        block = None if path is None else Block.from_bytes(fetch(path))
+        if held and (block is None or sum(b.x.size for b in held) + block.x.size > BLOCK_NUMBERS):
+            yield held[0] if len(held) == 1 else Block(*(np.concatenate([getattr(b, n) for b in held]) for n in ("ids", "labels", "x")))
+            held = []
+        if block is not None:
+            held.append(block)
+
+
 def _stored_blocks(rows: DataFrame, count: int, folder: str) -> DataFrame:
     """Candidate blocks in files: dim and path."""
     def task(batches: Iterator[pa.RecordBatch]):
@@ -231,8 +243,7 @@ def _scanned(lanes: DataFrame, spans: DataFrame, k: int, same: bool, low: int, h
                 anchors = pa.ipc.open_stream(fetch(lane)).read_all().to_pylist()
                 vectors = [np.array(a["x"], np.int64) for a in anchors]
                 windows = [[Best(k)] if same else [Best(k, w["score"], low, high) for w in a["windows"]] for a in anchors]
-                for path in fetch(listing).to_pybytes().decode().split("\n"):
-                    block = Block.from_bytes(fetch(path))
+                for block in _blocks(fetch(listing).to_pybytes().decode().split("\n")):
                     for a, x, mine in zip(anchors, vectors, windows, strict=True):
                         allowed = (block.labels == a["label"]) & (block.ids != a["vec_id"]) if same else block.labels != a["label"]
                         threshold_scan(block, x, allowed, mine)

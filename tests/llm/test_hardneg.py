@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from loomsift.llm import hardneg
 from loomsift.llm.hardneg import OP11_SQL, Best, Block, hard_negatives, product, threshold_scan
 from loomsift.llm.suite import queries
 
@@ -97,6 +98,18 @@ def test_odd_rows(spark):
     assert hard_negatives(df.limit(0)).collect() == []
 
 
+def test_small_blocks_are_put_together(tmp_path, monkeypatch):
+    monkeypatch.setattr(hardneg, "BLOCK_NUMBERS", 100)
+    x = np.random.default_rng(1).integers(-9, 9, (57, 4))
+    paths = []
+    for a in range(0, 57, 5):
+        paths.append(str(tmp_path / f"{a}.blk"))
+        hardneg.store(paths[-1], Block(np.arange(a, min(57, a + 5)), np.zeros(min(5, 57 - a), np.int64), x[a:a + 5]).to_bytes())
+    blocks = list(hardneg._blocks(paths))
+    assert [len(b.ids) for b in blocks] == [25, 25, 7] and (np.concatenate([b.x for b in blocks]) == x).all()
+    assert all((np.diff(b.x[b.order[d], d]) >= 0).all() for b in blocks for d in range(4))
+
+
 def test_one_label_holds_most_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, 0 if i % 10 else 1, [float(c) for c in rng.normal(size=6)]) for i in range(600)]

@@ -79,12 +79,12 @@ def test_odd_rows(spark, odd_docs, no_docs, wide):
 
 def test_copies_are_weights(spark):
     """A third of the labelled rows one text: the fit sees it once, with its count."""
-    docs, labels = written_docs(150)
-    docs += [(i, "stone window river", "en", "a", 0) for i in range(1000, 1100)]
-    labels += [(i, 1, 0) for i in range(1000, 1100)]
+    docs, labels = written_docs(400)
+    docs += [(i, "stone window river", "en", "a", 0) for i in range(1000, 1300)]
+    labels += [(i, 1, 0) for i in range(1000, 1300)]
     rows = {r.doc_id: r for r in T.toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
-    assert len({rows[i].score for i in range(1000, 1100)}) == 1 and rows[1000].predicted == 0
-    assert all(rows[i].predicted == int(i % 5 == 0) for i in range(150))
+    assert len({rows[i].score for i in range(1000, 1300)}) == 1 and rows[1000].predicted == 0
+    assert all(rows[i].predicted == int(i % 5 == 0) for i in range(400))
 
 
 def plain_buckets(text):
