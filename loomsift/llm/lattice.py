@@ -61,6 +61,7 @@ class Pieces:
         total = sum(1 / (r + OFFSET) for r in range(rank))
         # Weights are shares to the power of the sharpness: below 1, rarer segmentations come up more often.
         self.id = {p: (i, (1 / (r + OFFSET) / total) ** sharpness) for r, (p, i) in enumerate(self.id.items())}
+        self._grow_trie()
         #: Ids of each symbol: a piece, or the bytes of a character.
         self.symbols: list[tuple[int, ...]] = [(i,) for i in range(size)]
         self.spelt: dict[bytes, int] = {}
@@ -68,6 +69,54 @@ class Pieces:
         ends = "".join(c for c in "\n\r\t" if not any(c in p for p in self.id))
         self.parts = re.compile(f"{SPACE}*[^{SPACE}{ends}]+|{SPACE}+" + (f"|[{ends}]+" if ends else "")).findall
 
+    def _grow_trie(self) -> None:
+        """Prefixes of pieces as nodes; a step is a node and the number of a character that some piece has."""
+        self.number_of = np.zeros(0x110000, np.int64)
+        for n, char in enumerate(sorted({c for p in self.id for c in p}), 1):
+            self.number_of[ord(char)] = n
+        self.width = int(self.number_of.max()) + 1
+        node, steps = {"": 0}, []
+        for piece in self.id:
+            for k, char in enumerate(piece, 1):
+                if piece[:k] not in node:
+                    node[piece[:k]] = len(node)
+                    steps.append((node[piece[:k - 1]] * self.width + int(self.number_of[ord(char)]), node[piece[:k]]))
+        steps.append((len(node) * self.width, 0))  # beyond every step
+        self.step, self.step_to = np.array(sorted(steps), np.int64).T.copy()
+        self.piece_at = np.full(len(node), -1, np.int64)
+        self.weight_at = np.zeros(len(node))
+        for piece, (i, weight) in self.id.items():
+            self.piece_at[node[piece]], self.weight_at[node[piece]] = i, weight
+
+    def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in the text: start, length, symbol and weight, in the order of their ends, the longest first.
+
+        ``left`` is how many characters of its part stand at and after each place.
+        """
+        numbers = self.number_of[codes]
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found = []
+        length = 0
+        while len(at):
+            # Starts go on only while some piece has their prefix.
+            key = node * self.width + numbers[at + length]
+            step = np.searchsorted(self.step, key)
+            on = self.step[step] == key
+            at, node = at[on], self.step_to[step[on]]
+            length += 1
+            ends = np.flatnonzero(self.piece_at[node] >= 0)
+            found.append((at[ends], np.full(len(ends), length), self.piece_at[node[ends]], self.weight_at[node[ends]]))
+            more = left[at] > length
+            at, node = at[more], node[more]
+        single = np.ones(len(codes), bool)
+        single[found[0][0]] = False
+        spelt = np.flatnonzero(single)
+        names = np.array([self.symbol_of_char(chr(c)) for c in codes[spelt].tolist()], np.int64)
+        found.append((spelt, np.ones(len(spelt), np.int64), names, np.ones(len(spelt))))
+        start, size, symbol, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort((start + size) * (self.longest + 1) - size)
+        return start[order], size[order], symbol[order], weight[order]
+
     def decode(self, ids: list[int]) -> str:
         """The text of these ids; the space in front, which encoding adds, goes."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
@@ -100,41 +149,49 @@ class Lattices(dict):
         self.first = array("q")
         self.shares, self.before, self.symbol = array("d"), array("q"), array("q")
 
-    def __missing__(self, part: str) -> int:
+    def add(self, parts: list[str]) -> None:
+        """Filter new parts forward, all side by side: position by position, each position's edges by rank."""
         pieces = self.pieces
-        known, longest = pieces.id.get, pieces.longest
-        forward = [1.0]
-        node = len(self.first) - 1
-        start = len(self.shares)
-        firsts, shares, before, symbol = [], [], [], []
-        for j in range(1, len(part) + 1):
-            total = 0.0
-            begin = len(shares)
-            for i in range(j - longest if j > longest else 0, j):
-                found = known(part[i:j])
-                if found is not None:
-                    total += forward[i] * found[1]
-                    shares.append(total)
-                    before.append(node + i if i else -1)
-                    symbol.append(found[0])
-            if part[j - 1] not in pieces.id:
-                total += forward[j - 1]
-                shares.append(total)
-                before.append(node + j - 1 if j > 1 else -1)
-                symbol.append(pieces.symbol_of_char(part[j - 1]))
-            firsts.append(start + begin)
-            for k in range(begin, len(shares) - 1):
-                shares[k] /= total
-            shares[-1] = 1.0
-            forward.append(total)
-            if total < 1e-200:  # only ratios within reach of the longest piece matter
-                forward[max(0, j - longest):] = [f * 1e200 for f in forward[max(0, j - longest):]]
-        self.first.extend(firsts)
-        self.shares.extend(shares)
-        self.before.extend(before)
-        self.symbol.extend(symbol)
-        self[part] = end = node + len(part)
-        return end
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        stop = np.cumsum(size)
+        place = np.arange(len(codes)) - np.repeat(stop - size, size)
+        start, length, symbol, weight = pieces.edges(codes, np.repeat(size, size) - place)
+        # A node is a position within a part, from 1; it holds the edges that end there.
+        counts = np.bincount(start + length - 1, minlength=len(codes))
+        first = np.cumsum(counts) - counts
+        # Probability up to every position, with one more in front of each part.
+        part = np.repeat(np.arange(len(parts)), size)
+        forward = np.ones(len(codes) + len(parts))
+        source = start + part[start]
+        shares = np.empty(len(start))
+        total = np.zeros(len(codes))
+        by_place = np.argsort(place, kind="stable")
+        begin = 0
+        for j, many in enumerate(np.bincount(place).tolist(), 1):
+            nodes = by_place[begin:begin + many]
+            begin += many
+            on, rank = nodes, 0
+            while len(on):
+                edge = first[on] + rank
+                total[on] += forward[source[edge]] * weight[edge]
+                shares[edge] = total[on]
+                rank += 1
+                on = on[counts[on] > rank]
+            at = nodes + part[nodes] + 1
+            forward[at] = total[nodes]
+            low = at[total[nodes] < 1e-200]  # only ratios within reach of the longest piece matter
+            if len(low):
+                for k in range(min(j, pieces.longest) + (j < pieces.longest)):
+                    forward[low - k] *= 1e200
+        shares /= np.repeat(total, counts)
+        shares[first + counts - 1] = 1.0
+        node, edge = len(self.first), len(self.shares)
+        self.first.frombytes((first + edge).tobytes())
+        self.shares.frombytes(shares.tobytes())
+        self.before.frombytes(np.where(place[start] > 0, start + node - 1, -1).tobytes())
+        self.symbol.frombytes(symbol.tobytes())
+        self.update(zip(parts, (stop + node - 1).tolist(), strict=True))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -154,12 +211,15 @@ def sampled(lattices: Lattices, texts: list[str], keys: list[int]) -> list[np.nd
     """Ids of a segmentation of each text, drawn with its key."""
     if len(lattices) > lattices.limit:
         lattices.clear_all()
-    ends, counts = [], []
+    parts, counts = [], []
     for text in texts:
-        parts = lattices.pieces.parts(SPACE + text.replace(" ", SPACE))
-        ends += map(lattices.__getitem__, parts)
-        counts.append(len(parts))
-    node = np.array(ends, np.int64)
+        some = lattices.pieces.parts(SPACE + text.replace(" ", SPACE))
+        parts += some
+        counts.append(len(some))
+    fresh = [p for p in dict.fromkeys(parts) if p not in lattices]
+    if fresh:
+        lattices.add(fresh)
+    node = np.fromiter(map(lattices.__getitem__, parts), np.int64, len(parts))
     n = len(node)
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     base = _mixed(np.repeat(np.array(keys, np.uint64), counts) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))

@@ -85,3 +85,28 @@ def test_op4_odd(spark, odd_docs, no_docs, wide):
     back = sorted(map(tuple, decode_ids(one, VOCAB).collect()), key=repr)
     assert back == sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=repr)
     assert all(r.lossless for r in sampled_digests(docs, VOCAB).collect()) and sampled_digests(no_docs, VOCAB).collect() == []
+
+
+def test_forward_sums_meet_a_plain_loop():
+    """Shares of every edge, for parts filtered side by side; long parts are scaled on the way."""
+    pieces = Pieces(VOCAB)
+    found = Lattices(pieces)
+    rng = random.Random(3)
+    parts = [SPACE + "there", "x", "日本", "e" * 900, *("".join(rng.choice("theansingo,é日") for _ in range(rng.randint(1, 30))) for _ in range(200))]
+    parts = list(dict.fromkeys(parts))
+    found.add(parts[:50])
+    found.add(parts[50:])
+    first = [*found.first, len(found.shares)]
+    for part in parts:
+        logs = [0.0]
+        for j in range(1, len(part) + 1):
+            edges = [(i, *pieces.id[part[i:j]]) for i in range(max(0, j - pieces.longest), j) if part[i:j] in pieces.id]
+            if part[j - 1] not in pieces.id:
+                edges.append((j - 1, pieces.symbol_of_char(part[j - 1]), 1.0))
+            sums = np.logaddexp.accumulate([logs[i] + np.log(w) for i, _, w in edges])
+            logs.append(sums[-1])
+            node = found[part] - len(part) + j
+            at = slice(first[node], first[node + 1])
+            assert list(found.symbol[at]) == [s for _, s, _ in edges]
+            assert list(found.before[at]) == [found[part] - len(part) + i if i else -1 for i, _, _ in edges]
+            assert np.allclose(found.shares[at], np.exp(sums - sums[-1]), rtol=1e-9) and found.shares[at][-1] == 1.0
