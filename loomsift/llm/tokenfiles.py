@@ -11,7 +11,7 @@ Offset ``i`` is ``select(i)`` on the boundaries; no table of offsets is stored.
 Documents are dealt by doc_id range and sorted in each range; a task streams its range
 into files of a bounded number of ids.  A file gets its final name only when complete,
 with the attempt in it, and only the files in the manifest of finished tasks are read:
-a retried task leaves no wrong rows.
+a retried task leaves no wrong rows, and what a failed attempt left is never read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from loomsift.session import shared_dir
 
 _HEAD = struct.Struct("<4siqqqiq")
 FILE_IDS = 1 << 22
+#: Boundaries decoded at a time when a file is read through; a multiple of the select step.
+READ_BLOCK = 4096
 END_ID = 2
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 READ = "part int, file int, at long, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -70,6 +73,13 @@ class TokenFile:
     def tokens(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i):self.bounds.select(i + 1)].astype(np.uint32)
 
+    def documents(self, size: int = READ_BLOCK) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """doc_id, start in the file and ids of every document in order; ``size`` boundaries are decoded at a time."""
+        names = chain(repeat(None, self.n_null), (v for block in self.names.blocks(size) for v in block.tolist()))
+        bounds = pairwise(v for block in self.bounds.blocks(size) for v in block.tolist())
+        for doc_id, (a, b) in zip(names, bounds, strict=True):
+            yield doc_id, a, self.ids[a:b]
+
 
 def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every document, append ``end_id`` and write the files; returns the manifest.
@@ -125,20 +135,19 @@ def file_starts(manifest: DataFrame) -> DataFrame:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document read back: ``part``, ``file``, position ``at``, ``doc_id``,
-    ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``."""
+    ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``.
+
+    Every file is read by a task of its own: the number given keeps small manifests apart.
+    """
     def rows(batch):
         for part, number, path, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            file = TokenFile(fetch(path))
-            names = file.names.values()
-            bounds = file.bounds.values()
-            for i in range(file.n_docs):
-                a, b = int(bounds[i]), int(bounds[i + 1])
-                yield (part, number, i, None if i < file.n_null else int(names[i - file.n_null]), before + a, b - a,
-                       zlib.crc32(file.ids[a:b].astype("<u4").tobytes()))
+            for i, (doc_id, start, ids) in enumerate(TokenFile(fetch(path)).documents()):
+                yield part, number, i, doc_id, before + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
     schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()),
                         ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    return file_starts(manifest).mapInArrow(arrow_rows(rows, schema), READ)
+    dealt = file_starts(manifest).repartitionByRange(max(1, manifest.count()), "part", "file")
+    return dealt.mapInArrow(arrow_rows(rows, schema), READ)
 
 
 def token_output(docs: DataFrame, vocab: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from loomsift.llm.common import documents, vocabulary
 from loomsift.llm.eliasfano import EliasFano, pack
 from loomsift.llm.suite import queries
-from loomsift.llm.tokenfiles import TokenFile, file_bytes, token_output, write_token_files
+from loomsift.llm.tokenfiles import TokenFile, file_bytes, read_token_files, token_output, write_token_files
 from loomsift.llm.tokens import WORD_BPE, BpeWords
 
 
@@ -81,3 +81,18 @@ def test_op3_small_files(spark, odd_docs, tmp_path):
     rows = manifest.collect()
     assert len(rows) >= 4 and sum(r.n_docs for r in rows) == odd_docs.count()
     assert all(r.n_ids <= 5 or r.n_docs == 1 for r in rows)
+    parts = read_token_files(manifest).rdd.glom().map(len).collect()
+    # A task for every file (files of equal range never share one).
+    assert len(parts) == len(rows) and sorted(parts) == sorted(r.n_docs for r in rows)
+
+
+@pytest.mark.parametrize("n,nulls", [(0, 0), (3, 3), (1500, 0), (1500, 700)])
+def test_documents_by_blocks(n, nulls):
+    rng = np.random.default_rng(n)
+    ids = [rng.integers(0, 60000, rng.integers(0, 9)).astype(np.uint32) for _ in range(n)]
+    names = [None] * nulls + sorted(rng.integers(-50, 10**6, n - nulls).tolist())
+    f = TokenFile(file_bytes(names, ids))
+    for size in (512, 4096):
+        got = list(f.documents(size))
+        assert [d for d, _, _ in got] == names and [x.tolist() for _, _, x in got] == [x.tolist() for x in ids]
+        assert [a for _, a, _ in got] == [f.bounds.select(i) for i in range(n)]
