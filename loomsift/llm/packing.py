@@ -3,7 +3,7 @@
 1. Every document becomes ids plus an end id; only documents longer than a sequence are
    cut.  A piece is a length; the whole plan depends on the counts of the at most
    ``size`` lengths, which is all that reaches the driver.
-2. Linear grouping: pieces longer than ``size / 4`` are ranked by length and cut into
+2. Linear grouping: pieces longer than a part of ``size`` are ranked by length and cut into
    groups of equal cardinality; each counts as the longest of its group.
 3. The few sizes are packed by configurations: a linear programme solved by column
    generation, rounded down.
@@ -15,8 +15,9 @@
 
 The plan is a list of runs: (length, interval of piece numbers of that length) to first
 sequence, pieces in each sequence and offset.  Pieces are numbered within (length,
-bucket of doc_id), and a bucket's first number is a running sum of counts, so a length
-that a third of all pieces share is numbered by many tasks.
+lane), and a lane's first number is a running sum of counts.  Lanes are dealt in turn when
+the pieces are written, so a length, document or repeated row that makes up a third of
+all pieces is numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ from loomsift.llm.common import arrow_rows, doc_texts, documents, vocabulary, wr
 from loomsift.llm.tokens import WORD_BPE, bpe_words
 
 SEQUENCE = 2048
-#: Numbers of groups that are tried; the plan with the fewest sequences is kept, with 0 all pieces count as small.
-GROUPS = (16, 8, 4, 0)
-SMALL_PART = 4
+#: Numbers of groups that are tried, each with every cutoff; the first plan with the fewest sequences is kept.
+GROUPS = (16, 8, 4, 3)
+#: Pieces longer than this part of a sequence are grouped.
+SMALL_PARTS = (4, 3, 2)
 BUCKETS = 1024
 
 
@@ -91,6 +93,8 @@ class Plan:
     space: int
     runs: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     sequences: int = 0
+    groups: int = 0
+    small_part: int = 0
 
     def table(self) -> np.ndarray:
         return np.array(sorted(self.runs), np.int64).reshape(-1, 6)
@@ -98,16 +102,16 @@ class Plan:
 
 def plan_packing(counts: dict[int, int], space: int = SEQUENCE, groups: Sequence[int] = GROUPS) -> Plan:
     """Where the pieces of each length go, from the number of pieces of each length."""
-    return min((_plan(counts, space, g) for g in groups), key=lambda p: p.sequences)
+    return min((_plan(counts, space, g, part) for part in SMALL_PARTS for g in groups), key=lambda p: p.sequences)
 
 
-def _plan(counts: dict[int, int], space: int, groups: int) -> Plan:
-    plan = Plan(space)
+def _plan(counts: dict[int, int], space: int, groups: int, small_part: int) -> Plan:
+    plan = Plan(space, groups=groups, small_part=small_part)
     full = counts.get(space, 0)
     if full:
         plan.runs.append((space, 0, full, 0, 1, 0))
         plan.sequences = full
-    least = space // SMALL_PART if groups else space
+    least = space // small_part
     large = sorted((x for x, n in counts.items() if least < x < space and n), reverse=True)
     free: dict[int, list[tuple[int, int]]] = {}
     left: dict[int, list[tuple[int, int]]] = {x: [(0, n)] for x, n in counts.items() if x <= least and x < space and n}
@@ -242,8 +246,8 @@ def document_pieces(docs: DataFrame, vocab: str, size: int = SEQUENCE, end_id: i
 
 
 def numbered(pieces: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``idx``, the piece's number among those of its length."""
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    """Adds ``idx``, the piece's number among those of its length, in place of ``lane``."""
+    dealt = pieces.withColumn("bucket", F.pmod("lane", F.lit(buckets)).cast("int")).drop("lane")
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select(
@@ -252,13 +256,18 @@ def numbered(pieces: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             .withColumn("idx", F.col("first") + F.col("idx")).drop("first", "bucket"))
 
 
+def stored(pieces: DataFrame) -> DataFrame:
+    """The pieces written with a ``lane``, a number that runs on in each task; fixed from then on."""
+    return written(pieces.withColumn("lane", F.monotonically_increasing_id()), "pieces")
+
+
 def pack(pieces: DataFrame, size: int = SEQUENCE, groups: Sequence[int] = GROUPS) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (length at most ``size``)."""
+    """Adds sequence_id and offset to stored pieces (length at most ``size``), which have a ``lane`` (see ``stored``)."""
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(counts, size, groups)
     table = pieces.sparkSession.sparkContext.broadcast(plan.table())
-    names = pieces.columns
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in pieces.dtypes)}, sequence_id long, offset long"
+    names = [n for n in pieces.columns if n != "lane"]
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in pieces.select(*names).dtypes)}, sequence_id long, offset long"
 
     def place(batches):
         runs = table.value
@@ -282,7 +291,7 @@ def pack_documents(docs: DataFrame, vocab: str, size: int = SEQUENCE, end_id: in
     doc_ids and repeated rows are packed like any others; an empty table gives no rows.
     ``keep_ids`` carries the ids for ``sequences``.
     """
-    return pack(written(document_pieces(docs, vocab, size, end_id, keep_ids), "pieces"), size, groups)
+    return pack(stored(document_pieces(docs, vocab, size, end_id, keep_ids)), size, groups)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from loomsift.llm.common import documents, vocabulary
-from loomsift.llm.packing import configurations, document_pieces, pack, pack_documents, plan_packing, sequences
+from loomsift.llm.packing import configurations, document_pieces, pack, pack_documents, plan_packing, sequences, stored
 from loomsift.llm.common import written
 from loomsift.llm.suite import queries
 from loomsift.llm.tokens import WORD_BPE
@@ -109,7 +109,7 @@ def test_op1_odd(spark, odd_docs, no_docs, wide):
 
 
 def test_sequences_hold_the_ids(spark, odd_docs):
-    packed = written(pack(written(document_pieces(odd_docs, VOCAB, 64, 0, True), "p"), 64), "q")
+    packed = written(pack(stored(document_pieces(odd_docs, VOCAB, 64, 0, True)), 64), "q")
     whole = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in sequences(packed).collect()}
     for r in packed.collect():
         assert zlib.crc32(whole[r.sequence_id][r.offset:r.offset + r.length].tobytes()) == r.ids_crc32
