@@ -29,6 +29,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def row_hash(df: DataFrame):
+    """A hash of the whole row, by which rows that agree in a key are ordered; maps and variants do not count."""
+    return F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t and "variant" not in t))
+
+
 _TABLE: dict = {}
 
 

@@ -6,16 +6,19 @@ under both segments and looked up under every value within one bit of its own; c
 distances are verified in the join.  One-bit neighbours have different parity, so only
 values of odd parity enumerate their ball, and each pair meets once in each segment.
 Equal fingerprints are one entry throughout, however many documents share them.
+
+The pipeline's stage goes on from these classes: wider signatures of the same shingles
+are enumerated in the same way, and 5-word shingles decide.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import arrow_rows, doc_texts, documents, written
+from loomsift.llm.common import arrow_rows, doc_texts, documents, row_hash, written
 from loomsift.llm.graph import components
 
 WORDS = 3
@@ -23,16 +26,21 @@ SEED = 42
 DISTANCE = 3
 #: Buckets with more fingerprints are looked up by a further part of the fingerprint.
 HOT = 4096
+#: The pipeline's stage: further segments and their bits, fingerprint bits that may differ, sketch size, least similarity.
+SEGMENTS, SEGMENT_BITS = 13, 24
+WIDE_DISTANCE = 14
+SKETCH = 256
+SIMILAR = 0.8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str) -> int:
-    """64-bit fingerprint: a bit is set where over half of the shingle hashes have it."""
+def shingle_hashes(text: str) -> np.ndarray:
+    """XXH64 of every 3-word shingle, repeats included; of fewer words the whole sequence."""
     import xxhash
 
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     hash_of = xxhash.xxh64_intdigest
     if len(words) <= WORDS:
@@ -41,11 +49,13 @@ def fingerprint(text: str) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[:-WORDS] + 1).tolist()]
         hashes = [hash_of(line[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1:].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 8192):
-        part = np.array(hashes[i:i + 8192], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(text: str) -> int:
+    """64-bit fingerprint: a bit is set where over half of the shingle hashes have it."""
+    hashes = shingle_hashes(text)
+    return int.from_bytes(np.packbits(_majority(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -118,13 +128,134 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- the stage of the pipeline ---------------------------------------------------
+
+def _mixed(x: np.ndarray, turn: int) -> np.ndarray:
+    """Further hashes from hashes (splitmix finaliser)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits, from the lowest, that over half of the 64-bit hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[i:i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+    return ones * 2 > len(hashes)
+
+
+def signature(text: str) -> tuple[int, list[int], np.ndarray]:
+    """The fingerprint, ``SEGMENTS`` further segments of ``SEGMENT_BITS``, and a sketch of the 5-word shingles.
+
+    The further bits are majorities like those of the fingerprint, over hashes mixed from
+    the same shingles' hashes.  The sketch holds the ``SKETCH`` least 32-bit hashes of
+    the distinct 5-word shingles (all of them where there are no more).
+    """
+    hashes = shingle_hashes(text)
+    if not len(hashes):
+        return 0, [0] * SEGMENTS, np.empty(0, "<u4")
+    fp = int.from_bytes(np.packbits(_majority(hashes), bitorder="little").tobytes(), "little")
+    bits = np.concatenate([_majority(_mixed(hashes, turn)) for turn in range(1, -(-SEGMENTS * SEGMENT_BITS // 64) + 1)])
+    segments = bits[:SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS))
+    # Shingles of three words that start two words apart make one of five.
+    long = _mixed(hashes[:-2] * np.uint64(0xD6E8FEB86659FD93) + hashes[2:], 99) if len(hashes) > 2 else _mixed(hashes[:1], 98 + len(hashes))
+    return fp, segments.tolist(), np.unique(long >> np.uint64(32))[:SKETCH].astype("<u4")
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact for sets that fit."""
+    both = np.union1d(a, b)
+    if len(a) >= size or len(b) >= size:
+        both = both[:size]
+    return len(np.intersect1d(np.intersect1d(a, b), both)) / len(both) if len(both) else 1.0
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """no_id, id, key (hash of the text), fp, segments and sketch of every row."""
+    def rows(batch):
+        for no_id, i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fp, segments, sketch = signature(text)
+            yield no_id, i, key, fp - (fp >> 63 << 64), segments, sketch.tobytes()
+
+    schema = pa.schema([("no_id", pa.bool_()), ("id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("segments", pa.list_(pa.int32())), ("sketch", pa.binary())])
+    return (docs.select(*_row_key(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+            .mapInArrow(arrow_rows(rows, schema), "no_id boolean, id long, key long, fp long, segments array<int>, sketch binary"))
+
+
+def _row_key() -> list:
+    """What names a row: its doc_id (a null one apart from all others) and a hash of its text."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key")]
+
+
+def _wide_pairs(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs of classes, each with its closest fingerprints that met in a segment.
+
+    A class has one entry in a bucket, however many of its fingerprints fall there.
+    One-bit neighbours have different parity, so only odd values look up their ball.
+    """
+    spread_ = prints.select("fp", F.posexplode("segments").alias("seg", "value")).distinct().join(classes, "fp")
+    table = written(spread_.groupBy("seg", "value", "class").agg(F.min("fp").alias("fp")), "segments")
+    odd = F.bit_count("value") % 2 == 1
+    ball = F.when(odd, F.array(*(F.lit(v) for v in (0, *(1 << i for i in range(SEGMENT_BITS)))))).otherwise(F.array(F.lit(0)))
+    probes = table.withColumn("flip", F.explode(ball)).select("seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"),
+                                                              F.col("fp").alias("p"), F.col("class").alias("p_class"))
+    t = table.select("seg", "value", F.col("fp").alias("t"), F.col("class").alias("t_class"))
+    apart = F.bit_count(F.col("t").bitwiseXOR(F.col("p")))
+    met = t.hint("merge").join(probes, [t.seg == probes.seg, t.value == probes.value, F.col("t_class") != F.col("p_class"), apart <= WIDE_DISTANCE])
+    swap = F.col("t_class") > F.col("p_class")
+    pair = F.struct(apart.alias("apart"), F.when(swap, F.col("p")).otherwise(F.col("t")).alias("a_fp"), F.when(swap, F.col("t")).otherwise(F.col("p")).alias("b_fp"))
+    return (met.select(F.least("t_class", "p_class").alias("a"), F.greatest("t_class", "p_class").alias("b"), pair.alias("pair"))
+            .groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.a_fp", "pair.b_fp"))
+
+
+def near_classes(prints: DataFrame) -> DataFrame:
+    """fp and class of every fingerprint: near copies by fingerprint, joined where their shingles agree.
+
+    1. Fingerprints within three bits are one class, as in ``near_duplicates``.
+    2. Classes are looked up again by wider signatures: ``SEGMENTS`` further segments,
+       within one bit of each, and fingerprints within ``WIDE_DISTANCE`` bits.  A pair is
+       a link when its 5-word shingles have a similarity of at least ``SIMILAR``.
+    """
+    distinct = written(prints.select("fp").distinct(), "distinct")
+    close = distinct.join(components(near_pairs(distinct)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"))
+    classes = written(close, "classes")
+    pairs = written(_wide_pairs(prints, classes), "wide-pairs")
+    asked = pairs.select(F.col("a_fp").alias("fp")).union(pairs.select(F.col("b_fp").alias("fp"))).distinct()
+    sketches = written(prints.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")
+    sided = (pairs.join(sketches.select(F.col("fp").alias("a_fp"), F.col("sketch").alias("a_sketch")), "a_fp")
+             .join(sketches.select(F.col("fp").alias("b_fp"), F.col("sketch").alias("b_sketch")), "b_fp").select("a", "b", "a_sketch", "b_sketch"))
+
+    def rows(batch):
+        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILAR:
+                yield a, b
+
+    links = sided.mapInArrow(arrow_rows(rows, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
+    joined = components(links).select(F.col("node").alias("class"), "component")
+    return classes.join(joined, "class", "left").select("fp", F.coalesce("component", "class").alias("class"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of smallest doc_id of each group, with all columns.
+    """One row of each group of near copies (``near_classes``), with all columns.
 
-    Rows with the same doc_id are one document; rows without doc_id stay.
+    It is decided row by row: that of the smallest doc_id stays (rows without one come
+    last), of several the one whose text has the smallest hash.  So texts that share a
+    doc_id are judged apart, and of rows that repeat doc_id and text one stays.  Texts
+    without words (null, empty) are near copies of each other; an empty table stays empty.
     """
-    losers = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    prints = written(_signatures(docs), "signatures")
+    grouped = prints.select("no_id", "id", "key", "fp").distinct().join(near_classes(prints), "fp")
+    first = grouped.groupBy("class").agg(F.min(F.struct("no_id", "id", "key")).alias("row")).select("row.*")
+    no_id, i, key = _row_key()
+    keyed = docs.select("*", no_id.alias("__no_id"), i.alias("__id"), key.alias("__key"))
+    # Repeats of a row are cut to one in every task before they meet.
+    again = Window.partitionBy("__no_id", "__id", "__key").orderBy(row_hash(docs))
+    once = keyed.withColumn("__n", F.row_number().over(again)).where("__n = 1")
+    stay = first.select(F.col("no_id").alias("__no_id"), F.col("id").alias("__id"), F.col("key").alias("__key"))
+    return once.join(stay.hint("shuffle_hash"), ["__no_id", "__id", "__key"], "left_semi").select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ passage: one in a document of smaller doc_id, or further ahead in the same docum
 Of first words that more than ``HOT`` suffixes share, the suffixes are first dealt into
 shares by document; each share folds equal windows, and only the windows it saw first go
 on, dealt by their content.  So neither copies nor many different surroundings of one
-phrase gather in a task.  Windows are compared by 64-bit hashes.
+phrase gather in a task.  A row that repeats as a whole leaves each task once.  Windows are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import documents, worker_table, written
+from loomsift.llm.common import documents, row_hash, worker_table, written
 
 MIN_WORDS = 50
 RUN = 12
@@ -132,8 +133,12 @@ def _suffixes(keyed: DataFrame, min_words: int, run: int, payload: bool) -> Data
 
     def task(batches: Iterator[pa.RecordBatch]):
         held, size = [], 0
+        seen: set[int] = set()
         for batch in batches:
             for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rid in seen:  # a repeated row leaves a task once
+                    continue
+                seen.add(rid)
                 keys, starts, windows = sparse_suffixes(text, min_words, run)
                 if not len(keys):
                     continue
@@ -322,13 +327,17 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run: int = RUN, ho
     """All columns of the documents with repeated passages cut out of ``text``.
 
     The first place of each passage stays.  ``n_chars``, where present, is set anew on
-    changed rows; a document of which no word is left is dropped.
+    changed rows; a document of which no word is left is dropped.  Of rows that repeat
+    doc_id and text one stays.
     """
     spans = (_repeats(_keyed(docs), min_words, run, hot).groupBy("rid")
-             .agg(F.collect_list(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end"))).alias("__spans")))
+             .agg(F.collect_list(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end"))).alias("__spans")).withColumnRenamed("rid", "__span_rid"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rid = F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), text)
-    joined = docs.withColumn("__rid", rid).join(spans, F.col("__rid") == F.col("rid"), "left").select(*(docs[c] for c in docs.columns), "__spans")
+    # Repeats are cut to one in every task before they meet; the join keeps that partitioning.
+    again = Window.partitionBy("__rid").orderBy(row_hash(docs))
+    once = docs.withColumn("__rid", rid).withColumn("__n", F.row_number().over(again)).where("__n = 1")
+    joined = once.join(spans, F.col("__rid") == F.col("__span_rid"), "left").select(*docs.columns, "__spans")
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     width = len(docs.columns)

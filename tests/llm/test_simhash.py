@@ -114,12 +114,106 @@ def test_components(spark, seed):
     assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
 
 
+def five(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_keep(rows):
+    """Rows that stay: one of each group, row by row.  ``rows`` have doc_id and text; returns their (doc_id, text).
+
+    Groups: fingerprints within 3 bits, and pairs of 5-word similarity 0.8 whose signatures meet.
+    """
+    texts = sorted({r.text or "" for r in rows})
+    found = {t: simhash.signature(t) for t in texts}
+    shingles = {t: five(t) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            apart = (found[a][0] ^ found[b][0]).bit_count()
+            meet = any((x ^ y).bit_count() <= 1 for x, y in zip(found[a][1], found[b][1]))
+            both = shingles[a] | shingles[b]
+            if apart <= 3 or apart <= simhash.WIDE_DISTANCE and meet and len(shingles[a] & shingles[b]) >= 0.8 * len(both):
+                root[find(a)] = find(b)
+
+    def order(r):
+        h = xxhash.xxh64_intdigest((r.text or "").encode(), 42)
+        return r.doc_id is None, r.doc_id or 0, h - (h >> 63 << 64)
+
+    best = {}
+    for r in rows:
+        group = find(r.text or "")
+        if group not in best or order(r) < order(best[group]):
+            best[group] = r
+    return sorted(((r.doc_id, r.text) for r in best.values()), key=repr)
+
+
+def pairs_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
 def test_keep_one(spark, odd_docs, wide):
     docs = wide(odd_docs)
     kept = keep_one(docs)
-    assert kept.columns == docs.columns
-    # 1, 2 and 6 have no words.
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 4, None, 5], key=repr)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    # 1, 2 and 6 have no words; the repeated row 4 stays once.
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, None, 5], key=repr)
+    assert len(pairs_of(kept)) == len(brute_keep(odd_docs.collect()))
+    assert keep_one(docs.limit(0)).collect() == []
+
+
+def test_rows_are_judged_apart(spark):
+    """A shared doc_id does not take a unique text along; repeated rows and copies without ids go."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ash", "birch", "cedar", "date"))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, c, "x"), (7, c, "y"), (None, d, "x"), (None, d, "x"), (None, a, "x"), (None, b, "z")]
+    got = sorted(((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (7, c), (None, d)], key=repr)
+
+
+def test_a_third_is_one_row(spark):
+    rng = random.Random(2)
+    rows = [(3, "one and the same long row " * 5)] * 300 + [(None, "the row without a name " * 5)] * 300
+    rows += [(100 + i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(50))) for i in range(300)]
+    assert keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).count() == 302
+
+
+@pytest.mark.parametrize("words", [60, 400])
+def test_near_copies_of_four_fifths_are_found(spark, words):
+    """Measured recall over pairs of 5-word similarity 0.8 and more; clean texts stay."""
+    rng = random.Random(words)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], 0
+    while pairs < 300:
+        text = [rng.choice(vocabulary) for _ in range(words)]
+        other = list(text)
+        for _ in range(rng.randint(1, max(1, words // 40))):
+            other[rng.randrange(words)] = rng.choice(vocabulary)
+        x, y = five(" ".join(text)), five(" ".join(other))
+        if len(x & y) >= 0.8 * len(x | y):
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+            pairs += 1
+    clean = [(len(rows) + i, " ".join(rng.choice(vocabulary) for _ in range(words))) for i in range(300)]
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    assert kept >= {i for i, _ in clean} and kept >= {i for i, _ in rows[::2]}
+    assert sum(i not in kept for i, _ in rows[1::2]) >= 0.9 * pairs
+
+
+def test_similarity_from_sketches():
+    rng = random.Random(1)
+    for n in (3, 40, 200, 2000):
+        words = [str(rng.randint(0, 10**6)) for _ in range(n)]
+        other = [w if rng.random() > 0.03 else "new" for w in words]
+        a, b = " ".join(words), " ".join(other)
+        exact = len(five(a) & five(b)) / len(five(a) | five(b))
+        near = simhash.similarity(simhash.signature(a)[2], simhash.signature(b)[2])
+        assert near == exact if n <= 200 else abs(near - exact) < 0.12
+    assert simhash.similarity(*[simhash.signature("")[2]] * 2) == 1.0
 
 
 def test_short_and_long():

@@ -117,3 +117,13 @@ def test_run_hashes_follow_content():
     x = np.concatenate([w[:150], w[50:150], w[:50]])
     h = run_hashes(x, 20)
     assert (h[150:231] == h[50:131]).all() and len(set(h[:131].tolist())) == 131
+
+
+def test_a_third_is_one_row(spark):
+    """A repeated row leaves each task once and stays once; its passages stay too."""
+    body = " ".join(f"w{i}" for i in range(90))
+    rows = [(9, f"start {body}")] * 200 + [(20, f"other {body} end"), (None, f"last {body}")] + [(100 + i, f"alone {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(repeated_passages(docs, 50, 12, 5)) == sorted([(20, 1, 90, 9, 1), (None, 1, 90, 9, 1)], key=repr)
+    out = drop_repeats(docs, 50).collect()
+    assert len(out) == 203 and {r.doc_id: r.text for r in out if r.doc_id in (9, 20, None)} == {9: f"start {body}", 20: "other  end", None: "last "}
