@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,6 +45,8 @@ def worker_table(key, make: Callable):
     """
     if key not in _TABLE:
         _TABLE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _TABLE[key] = make()
     return _TABLE[key]
 

@@ -78,7 +78,7 @@ _SCRIPT_NAMES = [name for _, name in _BLOCKS]
 class PieceWords(WordIds):
     """Pieces of a word by a SentencePiece model (each word as after a space)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
