@@ -99,6 +99,11 @@ def redact(text: Column, strict: bool = True) -> Column:
     return F.when(has_secret_hint(text), out).otherwise(text)
 
 
+def redact_members(text: Column) -> Column:
+    """Mask the values of secret-looking keys in a text that looks like JSON but is none."""
+    return F.when(has_secret_hint(text), F.regexp_replace(text, P.SECRET_MEMBER, '$1"' + P.MASK + '"')).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(html, P.HTML_DROP_ELEMENT, " ")
     t = F.regexp_replace(t, P.HTML_COMMENT, " ")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,75 @@ def read_json_docs(docs: DataFrame, text: str = "text", name: str = "json") -> D
 
 
 ROWS = "array<struct<path:string,type:string,sample:string,n_items:bigint,redacted:boolean>>"
-OPEN = "array<struct<path:string,v:variant>>"
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _opened(text: str, mask: bool) -> list[tuple] | None:
+    """Rows of one text (see ``json_rows``), numbers as written; null when it is not JSON."""
+    if text.startswith(P.BOMS):
+        text = text[len(next(b for b in P.BOMS if text.startswith(b))):]
+    try:
+        root = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+    except RecursionError:
+        return [("$", "deeper", "{...}", None, False)]
+    except ValueError:
+        return None
+    secret = re.compile(P.SECRET_KEY).search if mask else lambda key: None
+    rows: list[tuple] = []
+    level: list[tuple] = [("$", root, False)]
+    depth = 0
+    while level:
+        below: list[tuple] = []
+        for path, value, hidden in level:
+            inside: list[tuple] = []
+            if hidden:
+                rows.append((path, "redacted", P.MASK, None, True))
+            elif isinstance(value, dict):
+                inside = [(f"{path}.{k}", v, bool(secret(k))) for k, v in value.items()] if depth < P.JSON_LEVELS else []
+                rows.append((path, "deeper", "{...}", None, False) if value and not inside else (path, "object", None if value else "{}", None, False))
+            elif isinstance(value, list):
+                inside = [(f"{path}[]", value[0], False)] if value and depth < P.JSON_LEVELS else []
+                rows.append((path, "deeper", "[...]", None, False) if value and not inside else (path, "array", None, len(value), False))
+            elif isinstance(value, _Number):
+                rows.append((path, "number", str(value), None, False))
+            elif isinstance(value, str):
+                rows.append((path, "string", value if len(value) <= P.JSON_STRING_CHARS else value[:P.JSON_STRING_CHARS - 3] + "...", None, False))
+            elif value is None:
+                rows.append((path, "null", None, None, False))
+            else:
+                rows.append((path, "boolean", "true" if value else "false", None, False))
+            below += inside
+        level, depth = below, depth + 1
+    return rows
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _utf8(value: str | None) -> bytes | None:
+    """Lone surrogates, which an escape can spell, become question marks."""
+    return None if value is None else value.encode("utf-8", "replace")
+
+
+def _opener(mask: bool):
+    @F.arrow_udf(ROWS)
+    def opened(texts: pa.Array) -> pa.Array:
+        flat: list[tuple] = []
+        ends, known = [0], []
+        for text in texts:
+            rows = None if text.as_py() is None else _opened(text.as_py(), mask)
+            known.append(rows is None)
+            flat += rows or []
+            ends.append(len(flat))
+        path, kind, sample, n, hidden = zip(*flat) if flat else ((),) * 5
+        strings = [pa.array(map(_utf8, c), pa.binary(), size=len(flat)).cast(pa.string()) for c in (path, kind, sample)]
+        items = pa.StructArray.from_arrays([*strings, pa.array(n, pa.int64()), pa.array(hidden, pa.bool_())], names=["path", "type", "sample", "n_items", "redacted"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array(known, pa.bool_()))
+    return opened
 
 
 def json_rows(text: Column, mask: bool = True) -> Column:
@@ -30,59 +101,20 @@ def json_rows(text: Column, mask: bool = True) -> Column:
 
     A row has ``path``, ``type``, ``sample`` (strings over 60 characters are clipped,
     values of secret-looking keys masked, ``{}`` for an empty object), ``n_items``
-    (lists) and ``redacted``.  Lists show their first element.  Nothing is cut by
-    depth: levels are opened until none is left, which is at most as often as the text
-    has opening brackets.
+    (lists) and ``redacted``.  Lists show their first element; of a repeated key the last
+    value counts.
+
+    One walk over the document, in an Arrow batch: a node costs its own size and path,
+    whatever else the document holds.  What lies beyond ``JSON_LEVELS`` levels is named by
+    a row of type ``deeper`` and not shown; of a text nested deeper than the parser goes
+    that row is the only one.
     """
-    def kind(v: Column) -> Column:
-        return F.schema_of_variant(v)
-
-    def entries(v: Column) -> Column:
-        return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-
-    def items(v: Column) -> Column:
-        return F.try_variant_get(v, "$", "array<variant>")
-
-    def node(path: Column, v: Column, hidden: Column) -> Column:
-        return F.struct(path.alias("path"), v.alias("v"), hidden.alias("hidden"))
-
-    def children(o: Column) -> Column:
-        inside = F.transform(entries(o["v"]), lambda e: node(
-            F.concat(o["path"], F.lit("."), e["key"]), e["value"], is_secret_key(e["key"]) if mask else F.lit(False)))
-        first = F.transform(F.slice(items(o["v"]), 1, 1), lambda x: node(F.concat(o["path"], F.lit("[]")), x, F.lit(False)))
-        return F.when(F.startswith(kind(o["v"]), F.lit("OBJECT")), inside).otherwise(first)
-
-    def row(n: Column) -> Column:
-        def typed(k: Column) -> Column:
-            is_object, is_array = F.startswith(k, F.lit("OBJECT")), F.startswith(k, F.lit("ARRAY"))
-            plain = n["v"].cast("string")
-            clipped = F.when(F.length(plain) > P.JSON_STRING_CHARS,
-                             F.concat(F.substring(plain, 1, P.JSON_STRING_CHARS - 3), F.lit("..."))).otherwise(plain)
-            return F.struct(
-                n["path"].alias("path"),
-                F.when(n["hidden"], "redacted").when(is_object, "object").when(is_array, "array").when(k == "STRING", "string")
-                .when(k == "BOOLEAN", "boolean").when(k == "VOID", "null").otherwise("number").alias("type"),
-                F.when(n["hidden"], P.MASK).when(is_object, F.when(F.size(entries(n["v"])) == 0, "{}")).when(is_array, F.lit(None))
-                .when(k == "STRING", clipped).otherwise(plain).alias("sample"),
-                F.when(~n["hidden"] & is_array, F.size(items(n["v"]))).cast("bigint").alias("n_items"),
-                n["hidden"].alias("redacted"))
-        return let(kind(n["v"]), typed)
-
-    def state(done: Column, fresh: Column) -> Column:
-        more = F.filter(fresh, lambda n: ~n["hidden"] & kind(n["v"]).rlike("^(OBJECT|ARRAY)"))
-        return F.struct(F.concat(done, F.transform(fresh, row)).cast(ROWS).alias("done"),
-                        F.transform(more, lambda n: F.struct(n["path"].alias("path"), n["v"].alias("v"))).cast(OPEN).alias("open"))
-
-    def level(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) == 0, acc).otherwise(
-            let(F.flatten(F.transform(acc["open"], children)), lambda fresh: state(acc["done"], fresh)))
-
-    def opened(v: Column) -> Column:
-        root = F.array(node(F.lit("$"), v, F.lit(False)))
-        openers = F.length(text) - F.length(F.translate(text, "{[", ""))
-        return F.aggregate(F.sequence(F.lit(0), openers), state(F.array().cast(ROWS), root), lambda acc, _: level(acc))["done"]
-
-    return let(parse_json(text), lambda v: F.when(v.isNotNull(), opened(v)))
+    def shown(r: Column) -> Column:
+        # Numbers as the engine writes them, one small value at a time.
+        number = F.coalesce(F.try_parse_json(r["sample"]).cast("string"), r["sample"])
+        return F.struct(r["path"].alias("path"), r["type"].alias("type"), F.when(r["type"] == "number", number).otherwise(r["sample"]).alias("sample"),
+                        r["n_items"].alias("n_items"), r["redacted"].alias("redacted"))
+    return F.transform(_opener(mask)(text), shown)
 
 
 def json_lines(rows: Column) -> Column:

@@ -22,6 +22,7 @@ CACHE_DIFF_LINES = 12
 BINARY_SAMPLE_CHARS = 4000
 BINARY_CONTROL_SHARE = 0.05
 JSON_STRING_CHARS = 60
+JSON_LEVELS = 6000
 NULL_FLAG_SHARE = 0.25
 HITS_PER_FILE = 5
 LINT_HITS_PER_FILE = 6
@@ -40,6 +41,9 @@ SECRET_KEY = (
     r"accesskeyid|credential|private|policydocument|sessiontoken|"
     r"authorization|connectionstring)")
 
+# A member with such a key in a text that looks like JSON and does not parse.
+SECRET_MEMBER = r'("[^"\n]*' + SECRET_KEY.replace("(?i)(", "(?i:").rstrip() + r'[^"\n]*"\s*:\s*)("[^"\\]*+(?:\\.[^"\\]*+)*+"?|[^,}\]\s]+)'
+
 SECRET_ASSIGN = (
     r"(?i)([A-Za-z0-9_.-]*(?:secret|password|passwd|pwd|token|apikey|"
     r"api[_-]?key|access[_-]?key|accountkey|sharedaccesskey|sessiontoken|"

@@ -311,8 +311,10 @@ def compact_captures(captures: DataFrame, rule_rows: DataFrame | None = None, bu
     texts = F.col("_special").isNull() & F.col("_json").isNull()
     body = compact_by_rule(F.coalesce(rule, F.lit("")), argv, code, raw, resource_include, resource_exclude)
     c = c.withColumn("_body", F.when(texts, body))
-    mask = (rule == "auto") | (F.lit(redact_all) & mine)
-    masked = F.when(F.coalesce(mask, F.lit(False)), T.redact(F.col("_body"))).otherwise(F.col("_body"))
+    # A text that looks like JSON and is none is masked as text.
+    mask = (rule == "auto") | json_like | (F.lit(redact_all) & mine)
+    members = F.when(json_like, T.redact_members(F.col("_body"))).otherwise(F.col("_body"))
+    masked = F.when(F.coalesce(mask, F.lit(False)), T.redact(members)).otherwise(F.col("_body"))
     by_key = F.coalesce((rule == "plan") & F.array_contains(argv, "-json") & (F.col("_body") != raw), F.lit(False))
     lines = T.join_lines(A.head_tail(T.split_lines(F.col("_json.compact")), P.JSON_LINES))
     out = c.withColumn("compact", F.coalesce("_special", lines, masked)) \

@@ -145,8 +145,11 @@ def auto_compact(docs: DataFrame, key: str, text: str = "text", mask: bool = Tru
     Result: input columns, ``shape``, ``compact``, ``redacted``.
     """
     shaped = docs.withColumn("shape", classify_shape(F.col(text)))
-    as_json = jsonops.compact_json(F.when(F.col("shape") == "json", F.col(text)), mask)
-    both = shaped.withColumn("_j", as_json).withColumn("_c", F.when(F.col("_j").isNull(), compact_shape(F.col("shape"), F.col(text))))
-    masked = T.redact(F.col("_c"), strict) if mask else F.col("_c")
+    # Nested deeper than the shape test goes, a document still opens; what opens nothing is masked as text.
+    like = (F.col("shape") == "text") & F.substring(T.strip(T.strip_bom(F.col(text))), 1, 1).isin("{", "[")
+    as_json = jsonops.compact_json(F.when((F.col("shape") == "json") | like, F.col(text)), mask)
+    both = shaped.withColumn("_j", as_json).withColumn("shape", F.when(F.col("_j").isNotNull(), "json").otherwise(F.col("shape"))).withColumn("_c", F.when(F.col("_j").isNull(), compact_shape(F.col("shape"), F.col(text))))
+    members = F.when(like, T.redact_members(F.col("_c"))).otherwise(F.col("_c"))
+    masked = T.redact(members, strict) if mask else F.col("_c")
     return both.withColumn("compact", F.coalesce("_j.compact", masked)) \
         .withColumn("redacted", F.coalesce("_j.redacted", F.col("compact") != F.col("_c"))).drop("_j", "_c")

@@ -83,6 +83,19 @@ def json_deep(spark, d):
     return jsonops.json_compact(DEEP.df(spark, d), "c_custkey")
 
 
+@query("json_wide", """
+SELECT o_orderstatus, string_agg(x, chr(10) ORDER BY x) AS compact FROM (
+  SELECT o_orderstatus, '$.o' || o_orderkey || '.status=' || o_orderpriority AS x FROM orders
+  UNION ALL SELECT o_orderstatus, '$.o' || o_orderkey || '.n=' || (o_orderkey % 7) FROM orders
+  UNION ALL SELECT o_orderstatus, '$.o' || o_orderkey || '.apiKey=""" + P.MASK + """' FROM orders) GROUP BY o_orderstatus""")
+def json_wide(spark, d):
+    """Documents of thousands of distinct keys: all orders of a status in one object."""
+    member = F.concat(F.lit('"o'), F.col("o_orderkey"), F.lit('":{"status":"'), F.col("o_orderpriority"), F.lit('","n":'), F.col("o_orderkey") % 7,
+                      F.lit(',"apiKey":"k"}'))
+    docs = read(spark, d, "orders").groupBy("o_orderstatus").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(member), ","), F.lit("}")).alias("text"))
+    return jsonops.json_compact(docs, "o_orderstatus")
+
+
 EMPTY = Derived("customer", ("c_custkey", "'{\"a\":{},\"b\":null,\"c\":[],\"d\":[{}],\"e\":[null,1],\"n\":' || c_nationkey || '}' AS text"))
 
 

@@ -147,6 +147,36 @@ def test_json_profile(spark):
     assert got["$.items[].v"] == ("number", "1", None) and got["$.nested.count"][1] == "2"
 
 
+def test_json_in_linear_time(spark):
+    """16,000 distinct keys take seconds; 5,000 levels are kept; what lies deeper is reported."""
+    import time
+
+    wide = json.dumps({f"k{i}": {"v": i, "w": [i]} for i in range(16_000)})
+    deep = '{"a":' * 5000 + '{"password":"hunter2","n":1.50}' + "}" * 5000
+    deeper = "[" * 7000 + "]" * 7000
+    beyond = '{"a":' * 50_000 + "1" + "}" * 50_000
+    docs = spark.createDataFrame([(1, wide), (2, deep), (3, deeper), (4, beyond), (5, deep[:-1]), (6, '{"a":1,"a":2,"b":-0.10,"c":1e3,"d":"\\ud800"}'), (7, '{"a":NaN}'),
+                                  (8, '{"n":' + "9" * 5000 + "}")], "id int, text string").repartition(2)
+    start = time.perf_counter()
+    out = {r.id: r.compact for r in jsonops.json_compact(docs, "id").collect()}
+    assert time.perf_counter() - start < 20
+    assert len(out[1].split("\n")) == 48_000 and "$.k15999.w[]=15999" in out[1]
+    assert out[2] == "$" + ".a" * 5000 + ".n=1.5\n$" + ".a" * 5000 + ".password=<redacted>"
+    assert out[3].split("\n")[-1].endswith("[]=[...]") and len(out[3].split("\n")) == 6001 and out[4] == "$={...}"
+    assert set(out) == {1, 2, 3, 4, 6, 8} and out[6] == "$.a=2\n$.b=-0.1\n$.c=1000.0\n$.d=?" and out[8] == "$.n=" + "9" * 5000
+
+
+def test_text_like_json_leaves_masked(spark):
+    """Under the rule ``json`` a broken or bottomless document is no way around the mask."""
+    caps = [(1, ["json", "f"], 0, '{"password":"hunter2" ' + "x" * 400), (2, ["json", "f"], 0, '{"a":' * 20_000 + '{"password":"hunter2"}' + "}" * 20_000),
+            (3, ["json", "f"], 0, '{"a":' * 1005 + '{"password":"hunter2"}' + "}" * 1005)]
+    rows = captures.compact_captures(spark.createDataFrame(caps, "capture_id long, argv array<string>, code int, raw string")).collect()
+    assert all("hunter2" not in r.compact for r in rows) and [r.redacted for r in sorted(rows, key=lambda r: r.capture_id)] == [True, False, True]
+    docs = spark.createDataFrame([(c[0], c[3]) for c in caps], "id long, text string")
+    auto = {r.id: r for r in shapes.auto_compact(docs, "id").collect()}
+    assert all("hunter2" not in r.compact for r in auto.values()) and auto[3].shape == "json" and auto[1].shape == "text"
+
+
 def test_json_of_any_depth_keeps_everything(spark):
     deep = "[" * 40 + "1" + "]" * 40
     odd = '{"a":{},"b":null,"c":[],"x":{"y":{"password":{"z":1}}}}'
