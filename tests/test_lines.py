@@ -1,5 +1,7 @@
 """Line-table operators against sequential brute force, on a hot stream."""
 
+import glob
+import os
 import random
 import time
 
@@ -9,8 +11,7 @@ from pyspark.sql import functions as F
 from loomsift.operators import lines as L
 from loomsift.operators import versions as V
 from loomsift.plans import rules
-from loomsift.session import shared_dir
-from loomsift.streaming.jobs import stream_session_cache
+from loomsift.streaming.jobs import changed_lines, stream_session_cache
 
 
 @pytest.fixture(scope="module")
@@ -179,15 +180,62 @@ def test_null_keys_fail_loudly(spark):
         L.head_tail(df, ["s"], ["n"]).collect()
 
 
-def test_stream_cache_over_several_batches(spark):
-    source, out, checkpoint = (shared_dir(spark, n) for n in ("cache-in", "cache-out", "cache-checkpoint"))
-    kinds = "cmd_key string, capture_id bigint, t bigint, hash string"
-    batches = [[("a", 1, 1000, "x"), ("a", 2, 1100, "x")], [("a", 3, 1200, "y"), ("b", 4, 1200, "x")], [("a", 5, 1050, "y"), ("a", 6, 1300, "y")]]
-    for rows in batches:
-        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source)
-    query = stream_session_cache(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+CACHE_RUNS = "cmd_key string, capture_id bigint, t bigint, hash string, text string"
+
+
+def cached(spark, tmp_path, batches, name, **options):
+    """Answers of the stream cache, one file a batch; a last run of another key lets the watermark pass all others."""
+    source = str(tmp_path / name)
+    for k, rows in enumerate([*batches, [("end", 0, 10**7, "x", "")]]):
+        spark.createDataFrame(rows, CACHE_RUNS).coalesce(1).write.mode("append").parquet(source)
+        for f in glob.glob(f"{source}/*.parquet"):
+            if os.stat(f).st_mtime > 10**9 + 1000:  # a new one
+                os.utime(f, (10**9 + k, 10**9 + k))
+    stream = spark.readStream.schema(CACHE_RUNS).option("maxFilesPerTrigger", 1).parquet(source)
+    out, checkpoint = str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-checkpoint")
+    job = stream_session_cache(stream, **options)
+    query = job.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert query.lastProgress["batchId"] >= 2
-    got = {r.capture_id: (r.status, r.age) for r in spark.read.parquet(out).collect()}
-    assert got == {1: ("new", None), 2: ("unchanged", 100), 3: ("changed", 200), 4: ("new", None), 5: ("new", None), 6: ("unchanged", 100)}
+    assert query.lastProgress["batchId"] >= len(batches)
+    rows = spark.read.parquet(out).where("cmd_key <> 'end'").collect()
+    got = {r.capture_id: (r.status, r.age, r.diff) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_stream_cache_in_any_batches(spark, tmp_path):
+    """One batch, five batches in order, five at random: always the answers of session_fold."""
+    rng = random.Random(5)
+    runs, t = [], {"hot": 0, "b": 0, "c": 0}
+    for i in range(240):
+        key = "hot" if i % 3 else rng.choice("bc")
+        t[key] += rng.choice([0, 1, 50, 400, 2500])
+        runs.append((key, i, t[key], text := rng.choice(["a\nb\nc", "a\nb\nd", "x"]), text))
+    batch = spark.createDataFrame([(*r, r[2] // 500) for r in runs], CACHE_RUNS + ", day bigint")
+    want = {r.capture_id: (r.status, r.age) for r in V.session_fold(batch, ["cmd_key"], "day", ["t", "capture_id"], ttl=1800).collect()}
+    mixed = rng.sample(runs, len(runs))
+    for name, batches in (("one", [mixed]), ("order", [runs[i:i + 48] for i in range(0, 240, 48)]), ("mixed", [mixed[i::5] for i in range(5)])):
+        got = cached(spark, tmp_path, batches, name, ttl=1800, delay="100 hours", text="text")
+        assert {k: v[:2] for k, v in got.items()} == want
+        by_id = {r[1]: r for r in runs}
+        for i, (status, age, diff) in got.items():
+            if status == "changed":
+                old = max((r for r in runs if r[0] == by_id[i][0] and r[2] == by_id[i][2] - age and got[r[1]][0] != "unchanged" and r[1] < i), key=lambda r: r[1])
+                assert diff == changed_lines(old[4], by_id[i][4]) and diff
+            else:
+                assert diff is None
+
+
+def test_stream_cache_over_batches(spark, tmp_path):
+    """State lives over batches; a run that comes later but within the delay takes its place in time."""
+    batches = [[("k", 1, 1000, "a", None), ("k", 2, 1100, "a", None)], [("k", 3, 1200, "b", None), ("k", 5, 900, "a", None)], [("k", 4, 9000, "b", None), ("k", 6, 9100, "b", None)]]
+    got = cached(spark, tmp_path, batches, "runs", ttl=1800, delay="1 hour")
+    assert got == {5: ("new", None, None), 1: ("unchanged", 100, None), 2: ("unchanged", 200, None), 3: ("changed", 300, None), 4: ("new", None, None), 6: ("unchanged", 100, None)}
+    late = cached(spark, tmp_path, [[("k", 1, 100_000, "a", None)], [("k", 3, 100_001, "a", None)], [("k", 2, 5, "a", None)]], "late", ttl=1800, delay="1 minute")
+    assert set(late) == {1, 3}  # beyond the delay
+
+
+def test_changed_lines_are_those_of_the_batch(spark):
+    pairs = [("a\nb", "a\nc\nc"), ("a", "a"), ("x\n" * 9, "y\n" * 9), ("b\na", "a\nb"), ("l" * 900, "m" * 900), (None, "a")]
+    rows = V.snapshot_diff(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, old string, new string")).orderBy("i").collect()
+    assert [r.diff for r in rows] == [changed_lines(*p) for p in pairs]
