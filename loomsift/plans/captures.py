@@ -335,15 +335,15 @@ def apply_session_cache(results: DataFrame, captures: DataFrame, ttl: int = P.CA
     """Shorten repeated good runs of the same command.
 
     ``unchanged`` becomes one line; ``changed`` shows the changed lines when that
-    is shorter.  The state comes from hashes alone; streams are cut into days,
+    is shorter.  The state comes from hashes alone, in a prefix scan over ranges,
     so a command that runs all the time is spread over many tasks.  Texts are
     fetched only for changed runs.
     """
     rows = results.where((F.col("code") == 0) & F.col("rule").isNotNull()).select(
         "capture_id", F.sha1(F.encode(F.array_join("argv", " "), "utf-8")).alias("cmd_key"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
-        F.sha1(F.encode("raw", "utf-8")).alias("hash")).withColumn("day", F.floor(F.col("t") / 86400))
-    state = session_fold(rows, ["cmd_key"], "day", ["t", "capture_id"], ttl=ttl, previous=["capture_id"]) \
+        F.sha1(F.encode("raw", "utf-8")).alias("hash"))
+    state = session_fold(rows, ["cmd_key"], ["t", "capture_id"], ttl=ttl, previous=["capture_id"]) \
         .select("capture_id", "status", "age", "prev_capture_id")
     texts = captures.select("capture_id", "raw")
     old = texts.select(F.col("capture_id").alias("prev_capture_id"), F.col("raw").alias("_old"))

@@ -178,11 +178,11 @@ SELECT user_id, event_id, status, age FROM f"""
 
 @query("session_fold", fold_sql(P.CACHE_TTL_SECONDS))
 def session_fold(spark, d):
-    return versions.session_fold(RUNS.df(spark, d), KEY, CHUNK, ["t", "event_id"]) \
+    return versions.session_fold(RUNS.df(spark, d), KEY, ["t", "event_id"]) \
         .select("user_id", "event_id", "status", "age")
 
 
 @query("cache_lookup", fold_sql(86400))
 def cache_lookup(spark, d):
-    return versions.session_fold(RUNS.df(spark, d), KEY, CHUNK, ["t", "event_id"], ttl=86400) \
+    return versions.session_fold(RUNS.df(spark, d), KEY, ["t", "event_id"], ttl=86400) \
         .select("user_id", "event_id", "status", "age")

@@ -112,7 +112,7 @@ def test_session_fold(spark, log):
     ttl, day = 300, 1000
     rows = [(s, r[2], r[4], r[3], r[4] // day) for s, rs in by.items() for r in rs]
     df = spark.createDataFrame(rows, "s string, id int, t bigint, hash string, day bigint").repartition(5)
-    got = {(r.s, r.id): (r.status, r.age) for r in V.session_fold(df, ["s"], "day", ["t", "id"], ttl=ttl).collect()}
+    got = {(r.s, r.id): (r.status, r.age) for r in V.session_fold(df, ["s"], ["t", "id"], ttl=ttl).collect()}
     for s, rs in by.items():
         at = content = None
         for r in rs:
@@ -126,6 +126,61 @@ def test_session_fold(spark, log):
             assert got[s, r[2]] == want
 
 
+def plain_fold(rows, ttl):
+    """Statuses of sorted (t, id, content) runs of one key, with the id of the run before."""
+    at = content = before = None
+    out = {}
+    for t, i, h in rows:
+        fresh = at is not None and t - at < ttl
+        if fresh and h == content:
+            out[i] = ("unchanged", t - at, before)
+        else:
+            out[i] = ("changed", t - at, before) if fresh else ("new", None, before)
+            at, content = t, h
+        before = i
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("kind", ["mixed", "one segment", "null content"])
+def test_session_fold_over_ranges(spark, parts, kind):
+    """One key holds most runs, also with one content all along: ranges inside a segment pass the entry on."""
+    rng = random.Random(parts)
+    rows, t = [], 0
+    for i in range(700):
+        t += rng.choice([0, 0, 1, 3, 9] if kind == "one segment" else [0, 1, 5, 40, 200])
+        h = "x" if kind == "one segment" else rng.choice(["x", "x", "x", "y", None if kind == "null content" else "z"])
+        rows.append(("hot" if i % 10 else f"k{i % 3}", i, t, h))
+    df = spark.createDataFrame(rows, "s string, id int, t bigint, hash string").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = V.session_fold(df, ["s"], ["t", "id"], ttl=60, previous=["id", "hash"])
+        assert out.columns == ["s", "id", "t", "hash", "status", "age", "prev_id", "prev_hash"]
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    content = {i: h for _, i, _, h in rows}
+    for s in {r[0] for r in rows}:
+        want = plain_fold(sorted((t, i, h) for k, i, t, h in rows if k == s) if kind != "null content" else
+                          sorted(((t, i, h) for k, i, t, h in rows if k == s), key=lambda r: r[:2]), 60)
+        assert {r.id: (r.status, r.age, r.prev_id) for r in got if r.s == s} == want
+    assert all(r.prev_hash == content.get(r.prev_id) for r in got)
+
+
+def test_session_fold_plan(spark, log):
+    """Two passes over what was written, and few exchanges; nothing for an empty table; a null key fails."""
+    df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 6, "x"), ("b", 3, 7, "x")], "s string, id int, t bigint, hash string")
+    out = V.session_fold(df, ["s"], ["t", "id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition 1") <= 3 and plan.count("Relation") <= 3 and "Window" not in plan
+    assert V.session_fold(df.limit(0), ["s"], ["t", "id"]).collect() == []
+    with pytest.raises(Exception, match="null in key column s"):
+        V.session_fold(spark.createDataFrame([(None, 1, 5, "x")], df.schema), ["s"], ["t", "id"])
+
+
 def test_explode_and_first(spark):
     docs = spark.createDataFrame([(1, "a\nb\na\n")], "id int, text string")
     assert [tuple(r) for r in L.explode_lines(docs, keep=["id"]).collect()] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (1, 4, "")]
@@ -212,7 +267,7 @@ def test_stream_cache_in_any_batches(spark, tmp_path):
         t[key] += rng.choice([0, 1, 50, 400, 2500])
         runs.append((key, i, t[key], text := rng.choice(["a\nb\nc", "a\nb\nd", "x"]), text))
     batch = spark.createDataFrame([(*r, r[2] // 500) for r in runs], CACHE_RUNS + ", day bigint")
-    want = {r.capture_id: (r.status, r.age) for r in V.session_fold(batch, ["cmd_key"], "day", ["t", "capture_id"], ttl=1800).collect()}
+    want = {r.capture_id: (r.status, r.age) for r in V.session_fold(batch, ["cmd_key"], ["t", "capture_id"], ttl=1800).collect()}
     mixed = rng.sample(runs, len(runs))
     for name, batches in (("one", [mixed]), ("order", [runs[i:i + 48] for i in range(0, 240, 48)]), ("mixed", [mixed[i::5] for i in range(5)])):
         got = cached(spark, tmp_path, batches, name, ttl=1800, delay="100 hours", text="text")
