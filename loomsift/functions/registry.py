@@ -26,6 +26,7 @@ def register_functions(spark: SparkSession) -> list[str]:
     for pattern, by in ((P.HTML_DROP_ELEMENT, " "), (P.HTML_COMMENT, " "), (P.HTML_LINE_END, "\\n"),
                         (P.HTML_TAG, " ")):
         markup = f"regexp_replace({markup}, {_raw(pattern)}, '{by}')"
+    bom = "CASE" + "".join(f" WHEN startswith(s, '{b}') THEN substring(s, {len(b) + 1})" for b in P.BOMS) + " ELSE s END"
     space = "' \\t\\r\\n\\u000b\\u000c'"
     bodies = {
         "est_tokens": ("s STRING", "INT", "shiftright(length(s) + 3, 2)"),
@@ -36,12 +37,12 @@ def register_functions(spark: SparkSession) -> list[str]:
         "line_template": ("s STRING", "STRING", f"regexp_replace(s, {_raw(P.TIMESTAMP_PREFIX)}, '')"),
         "is_error_line": ("s STRING", "BOOLEAN", f"s RLIKE {_raw(P.ERROR_LINE)}"),
         "is_secret_key": ("s STRING", "BOOLEAN", f"s RLIKE {_raw(P.SECRET_KEY)}"),
+        # The whole text decides, as in ``binary_reason``.
         "looks_binary": ("s STRING", "BOOLEAN",
-                         f"contains(substring(s, 1, {P.BINARY_SAMPLE_CHARS}), chr(0)) OR "
-                         f"length(substring(s, 1, {P.BINARY_SAMPLE_CHARS})) - length(regexp_replace(substring(s, 1, "
-                         f"{P.BINARY_SAMPLE_CHARS}), {_raw(P.CONTROL_CHARS)}, '')) > "
-                         f"length(substring(s, 1, {P.BINARY_SAMPLE_CHARS})) * {P.BINARY_CONTROL_SHARE} OR "
-                         f"substring(s, 1, {P.BINARY_SAMPLE_CHARS}) RLIKE {_raw(P.BASE64_RUN)}"),
+                         f"contains(s, chr(0)) OR length(s) - length(regexp_replace(s, {_raw(P.CONTROL_CHARS)}, '')) > length(s) * {P.BINARY_CONTROL_SHARE} "
+                         f"OR length(regexp_replace(s, {_raw(P.BASE64_RUN)}, '')) * 2 < length(s)"),
+        "clean_control": ("s STRING", "STRING",
+                          f"regexp_replace(replace(regexp_replace({bom}, {_raw(P.ANSI)}, ''), '\\r\\n', '\\n'), {_raw(P.REDRAWN)}, '')"),
         "html_to_text": ("s STRING", "STRING",
                          f"array_join(filter(transform(split(regexp_replace("
                          f"{entities.replace('(t,', '(' + markup + ',')}, '[ \\t]+', ' '), '\\n', -1), "

@@ -60,7 +60,7 @@ def last_redraw(text: Column) -> Column:
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     # (?d): only \n ends a line, so each line start is tried once.
     return F.when(F.contains(text, F.lit("\r")),
-                  F.regexp_replace(unix, r"(?md)^[^\n]*\r", "")).otherwise(text)
+                  F.regexp_replace(unix, P.REDRAWN, "")).otherwise(text)
 
 
 def clean_control(text: Column) -> Column:

@@ -14,12 +14,12 @@ from loomsift.functions import text as T
 
 def token_meter(docs: DataFrame, by: Sequence[str], text: str = "text",
                 quantiles: bool = True) -> DataFrame:
-    """Tokens per group; all partial aggregates, so no group is moved whole."""
+    """Tokens per group, their average, largest and (``quantiles``) 95th percentile; all partial aggregates."""
     rows = docs.select(*by, T.est_tokens(F.col(text)).alias("tokens"))
     aggs = [F.count("*").alias("docs"), F.sum("tokens").alias("tokens"),
-            F.max("tokens").alias("max_tokens")]
+            F.avg("tokens").alias("avg_tokens"), F.max("tokens").alias("max_tokens")]
     if quantiles:
-        aggs.append(F.percentile_approx("tokens", 0.95).alias("p95_tokens"))
+        aggs.append(F.percentile_approx("tokens", 0.95, 100_000).alias("p95_tokens"))
     return rows.groupBy(*by).agg(*aggs)
 
 

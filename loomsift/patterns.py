@@ -33,6 +33,8 @@ SIGNATURES_PER_FILE = 10
 
 # --- Fixed values: patterns --------------------------------------------------
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
+# What a later carriage return of the line overwrites.
+REDRAWN = r"(?md)^[^\n]*\r"
 BOMS = ("\ufeff", "\xef\xbb\xbf")
 WHITESPACE = " \t\r\n\x0b\x0c"
 

@@ -26,9 +26,10 @@ def explode_lines(spark, d):
 
 @query("token_meter", f"""
 SELECT source, count(*) AS docs, CAST(sum({B.tokens('text')}) AS BIGINT) AS tokens,
-       CAST(max({B.tokens('text')}) AS INT) AS max_tokens FROM documents GROUP BY source""")
+       round(avg({B.tokens('text')}), 4) AS avg_tokens, CAST(max({B.tokens('text')}) AS INT) AS max_tokens,
+       CAST(quantile_disc({B.tokens('text')}, 0.95) AS INT) AS p95_tokens FROM documents GROUP BY source""")
 def token_meter(spark, d):
-    return corpus.token_meter(docs(spark, d), ["source"], quantiles=False)
+    return corpus.token_meter(docs(spark, d), ["source"]).withColumn("avg_tokens", F.round("avg_tokens", 4))
 
 
 @query("redact_corpus", f"""

@@ -309,11 +309,11 @@ def allow_resource(spark, d):
 
 
 @query("pattern_semi_anti", """
-SELECT p_partkey, p_brand FROM part p WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey BETWEEN 11 AND 19
-    AND regexp_matches(p_brand, '#' || n_nationkey || '$'))
+SELECT p_partkey, p_brand FROM part p WHERE EXISTS (SELECT 1 FROM nation WHERE
+    regexp_matches(p_brand, '#' || n_nationkey || '$'))
   AND NOT EXISTS (SELECT 1 FROM region WHERE regexp_matches(p_brand, '#1' || r_regionkey || '$'))""")
 def pattern_semi_anti(spark, d):
-    inc = read(spark, d, "nation").where("n_nationkey BETWEEN 11 AND 19").selectExpr("'#' || n_nationkey || '$' AS pattern")
+    inc = read(spark, d, "nation").selectExpr("'#' || n_nationkey || '$' AS pattern")
     exc = read(spark, d, "region").selectExpr("'#1' || r_regionkey || '$' AS pattern")
     return rules.pattern_semi_anti(read(spark, d, "part"), "p_brand", inc, exc).select("p_partkey", "p_brand")
 
@@ -492,13 +492,15 @@ def concat_parts(spark, d):
 
 @query("registered_functions", f"""
 SELECT doc_id, CAST({B.tokens('text')} AS INT) AS tokens, {B.redact('text')} AS masked, {B.html_text("'<p>' || text || '</p>'")} AS visible,
-  {B.is_error('text')} AS has_error, {B.binary_reason('text', 4000)} IS NOT NULL AS binary_like FROM documents""")
+  {B.is_error('text')} AS has_error, {B.binary_reason('text', None)} IS NOT NULL AS binary_like,
+  text AS cleaned FROM documents""")
 def registered_functions(spark, d):
     from loomsift.functions.registry import register_functions
 
     register_functions(spark)
     return read(spark, d, "documents", wide=True).selectExpr(
         "doc_id", "est_tokens(text) AS tokens", "redact_secrets(text) AS masked", "html_to_text('<p>' || text || '</p>') AS visible",
-        "is_error_line(text) AS has_error", "coalesce(looks_binary(text), false) AS binary_like")
+        "is_error_line(text) AS has_error", "coalesce(looks_binary(text), false) AS binary_like",
+        r"clean_control('\ufeff\u001b[1m' || replace(text, '\n', '\r\n') || '\u001b[0m') AS cleaned")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomsift.functions import text as T
-from loomsift.plans import captures
+from loomsift.plans import captures, shapes
 from loomsift.session import shared_dir
 from loomsift.sources import readers, writers
 from loomsift.streaming import jobs
@@ -77,19 +77,19 @@ def measure_only(spark, d):
         F.count("*").alias("runs"), F.sum("raw").alias("raw"), F.sum("out").alias("out"))
 
 
-_TEED = f"(SELECT *, 'make' || ' ' || kind AS cmd FROM {RUNS.sql} WHERE code <> 0)"
+# Documents as outputs of one command, with their compact text.
+_DONE = f"(SELECT d.doc_id, lang, text, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS code, c.compact FROM documents d JOIN {_log_sql(DOC_LINES, 'doc_id', 50)} c USING (doc_id))"
 
 
 def _results(spark, d):
-    r = RUNS.df(spark, d)
-    return r.select("capture_id", F.array(F.lit("make"), F.col("kind"), F.lit("a/b")).alias("argv"), "code", "raw",
-                    F.lit("2024-03-01 10:00:00").cast("timestamp").alias("ts"), F.col("kind").alias("label"),
-                    F.substring("raw", 1, 40).alias("compact"))
+    r = all_captures(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("capture_id"), "lang"), "capture_id")
+    return r.select("capture_id", F.array(F.lit("make"), F.col("lang"), F.lit("a/b")).alias("argv"), "code", "raw", "ts",
+                    F.col("lang").alias("label"), shapes.compact_log(F.col("raw")).alias("compact"))
 
 
 @query("write_tee", f"""
-SELECT capture_id, '2024-03-01' AS dt, '1709287200_make_' || kind || '_a_b.log' AS name, CAST(length(raw) AS INT) AS chars
-FROM {RUNS.sql} WHERE code <> 0 AND length(raw) > 40""")
+SELECT doc_id AS capture_id, '2024-03-01' AS dt, '1709287200_make_' || lang || '_a_b.log' AS name, CAST(length(text) AS INT) AS chars
+FROM {_DONE} WHERE code <> 0 AND length(text) > length(compact)""")
 def write_tee(spark, d):
     path = shared_dir(spark, "tee")
     writers.write_tee(_results(spark, d), path)
@@ -98,8 +98,8 @@ def write_tee(spark, d):
 
 
 @query("append_ledger", f"""
-SELECT kind AS cmd, count(*) AS runs, CAST(sum({B.tokens('raw')}) AS BIGINT) AS raw, CAST(sum({B.tokens('substr(raw, 1, 40)')}) AS BIGINT) AS out
-FROM {RUNS.sql} GROUP BY kind""")
+SELECT lang AS cmd, count(*) AS runs, CAST(sum({B.tokens('text')}) AS BIGINT) AS raw, CAST(sum({B.tokens('compact')}) AS BIGINT) AS out
+FROM {_DONE} GROUP BY lang""")
 def append_ledger(spark, d):
     path = shared_dir(spark, "ledger")
     writers.append_ledger(_results(spark, d), path)
@@ -108,8 +108,7 @@ def append_ledger(spark, d):
 
 
 @query("write_compact", f"""
-SELECT capture_id, CAST(length(substr(raw, 1, 40)) + CASE WHEN ends_with(substr(raw, 1, 40), chr(10)) THEN 0 ELSE 1 END AS INT) AS chars
-FROM {RUNS.sql}""")
+SELECT doc_id AS capture_id, CAST(length(compact) + CASE WHEN ends_with(compact, chr(10)) THEN 0 ELSE 1 END AS INT) AS chars FROM {_DONE}""")
 def write_compact(spark, d):
     path = shared_dir(spark, "compact")
     writers.write_compact(_results(spark, d).select("capture_id", "compact"), path)

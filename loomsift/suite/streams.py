@@ -106,16 +106,16 @@ def head_tail_stream(spark, d):
 
 
 @query("top_k_per_group", f"""
-SELECT user_id, event_type, event_id, CAST(r AS BIGINT) AS rank, total - 5 AS more FROM (
+SELECT user_id, event_type, event_id, CAST(r AS BIGINT) AS rank, greatest(total - 5, 0) AS more FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r,
-    count(*) OVER (PARTITION BY user_id, event_type) AS total FROM {_REL}) WHERE r <= 5 AND total > 5""")
+    count(*) OVER (PARTITION BY user_id, event_type) AS total FROM {_REL}) WHERE r <= 5""")
 def top_k_per_group(spark, d):
     rows = log(spark, d)
     top = lines.top_k_per_group(rows, ["user_id", "event_type"], ORDER, 5)
-    total = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("total")).where(F.col("total") > 5)
+    total = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("total"))
     return top.join(total, ["user_id", "event_type"]).select(
         "user_id", "event_type", "event_id", F.col("rank").cast("bigint").alias("rank"),
-        (F.col("total") - 5).alias("more"))
+        F.greatest(F.col("total") - 5, F.lit(0)).alias("more"))
 
 
 @query("ordered_distinct", f"""

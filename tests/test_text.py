@@ -164,3 +164,8 @@ def test_sql_functions(spark):
                     "is_error_line('it failed') d, looks_binary('ok') e, is_secret_key('API-KEY') f, "
                     "line_template('10:00:01 up') g").first()
     assert tuple(row) == (2, "pwd=<redacted>", "a < b", True, False, True, "up")
+    texts = ["a" * 9000 + "\x00", "plain", "x " * 3000 + "\x01" * 2000, "QUJD" * 400, "a\r\nb 10%\rb 99%\rdone", "\x1b[31mred\x1b[0m", "\ufeffx", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(F.expr("looks_binary(t)").alias("a"), T.binary_reason(F.col("t")).isNotNull().alias("b"),
+                     F.expr("clean_control(t)").alias("c"), T.clean_control(F.col("t")).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows) and rows[0].a and not rows[1].a
