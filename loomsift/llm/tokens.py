@@ -18,7 +18,7 @@ import numpy as np
 from loomsift.llm.common import worker_table
 
 WORD_BPE = "word_bpe_49k.json"
-TABLE_WORDS = 300_000
+TABLE_WORDS = 500_000
 
 
 def _byte_chars() -> dict[int, str]:
