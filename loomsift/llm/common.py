@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -44,13 +45,33 @@ def worker_table(key, make: Callable):
     A worker that goes on to another operator gives the last one's table back first.
     """
     if key not in _TABLE:
-        _TABLE.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _TABLE[key] = make()
     return _TABLE[key]
 
 
+def give_back() -> None:
+    """Drop the table that this worker keeps and return freed memory to the system.
+
+    Called at the start of tasks that keep no table: a worker outlives the operator that filled it.
+    """
+    if not _TABLE:
+        return
+    _TABLE.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file."""
     import public_tokenizers

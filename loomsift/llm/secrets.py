@@ -19,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomsift.llm.common import arrow_rows, doc_texts, documents
+from loomsift.llm.common import arrow_rows, doc_texts, documents, give_back
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -280,6 +280,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def mask(batches):
+        give_back()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             new = [None if t is None else masked(t, secret_spans(t)) for t in texts]

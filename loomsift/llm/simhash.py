@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import arrow_rows, doc_texts, documents, row_hash, written
+from loomsift.llm.common import arrow_rows, doc_texts, documents, give_back, row_hash, written
 from loomsift.llm.graph import components
 
 WORDS = 3
@@ -175,6 +175,7 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
 def _signatures(docs: DataFrame) -> DataFrame:
     """no_id, id, key (hash of the text), fp, segments and sketch of every row."""
     def rows(batch):
+        give_back()
         for no_id, i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             fp, segments, sketch = signature(text)
             yield no_id, i, key, fp - (fp >> 63 << 64), segments, sketch.tobytes()

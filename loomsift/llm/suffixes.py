@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import documents, row_hash, worker_table, written
+from loomsift.llm.common import documents, give_back, row_hash, slices, worker_table, written
 
 MIN_WORDS = 50
 RUN = 12
 HOT = 1000
 #: Suffixes compared at a time in a task; groups are never cut.
-CHUNK = 40_000
+CHUNK = 10_000
 #: Windows that leave a task at a time.
 BATCH_WINDOWS = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,7 +134,7 @@ def _suffixes(keyed: DataFrame, min_words: int, run: int, payload: bool) -> Data
     def task(batches: Iterator[pa.RecordBatch]):
         held, size = [], 0
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rid in seen:  # a repeated row leaves a task once
                     continue
@@ -239,6 +239,7 @@ def _flat(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarra
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes: repeated windows of each share of a group, and what a hot share saw first."""
+    give_back()
     for table in _by_group(batches, ("key", "share")):
         window, size = _flat(table, "windows", np.uint64)
         row = np.repeat(np.arange(len(size)), size)
@@ -258,6 +259,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the shares of a hot group saw first, by content: repeated windows."""
+    give_back()
     for table in _by_group(batches, ("key", "bucket")):
         window, size = _flat(table, "windows", np.uint64)
         place = _flat(table, "places", np.int32)[0].astype(np.int64)
@@ -343,7 +345,8 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run: int = RUN, ho
     width = len(docs.columns)
 
     def cut(batches):
-        for batch in batches:
+        give_back()
+        for batch in slices(batches):
             texts, spans = batch.column(at).to_pylist(), batch.column(width).to_pylist()
             new = [t if not s else cut_passages(t, [(x["start_word"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
             columns = list(batch.columns[:width])
