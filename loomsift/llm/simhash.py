@@ -26,9 +26,10 @@ SEED = 42
 DISTANCE = 3
 #: Buckets with more fingerprints are looked up by a further part of the fingerprint.
 HOT = 4096
-#: The pipeline's stage: further segments and their bits, fingerprint bits that may differ, sketch size, least similarity.
+#: The pipeline's stage: further segments and their bits, bits that may differ (of the fingerprint and the three
+#: segments after the one that met), sketch size, least similarity.
 SEGMENTS, SEGMENT_BITS = 13, 24
-WIDE_DISTANCE = 14
+WIDE_DISTANCE = 26
 SKETCH = 256
 SIMILAR = 0.8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -191,39 +192,58 @@ def _row_key() -> list:
     return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key")]
 
 
-def _wide_pairs(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs of classes, each with its closest fingerprints that met in a segment.
+def _buckets(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """seg, value, class, fp and more: one entry for each class in each bucket, however many of its fingerprints fall there.
 
-    A class has one entry in a bucket, however many of its fingerprints fall there.
-    One-bit neighbours have different parity, so only odd values look up their ball.
+    ``more`` holds bits of the segments after ``seg``, to judge distances by beside the fingerprint.
     """
-    spread_ = prints.select("fp", F.posexplode("segments").alias("seg", "value")).distinct().join(classes, "fp")
-    table = written(spread_.groupBy("seg", "value", "class").agg(F.min("fp").alias("fp")), "segments")
-    odd = F.bit_count("value") % 2 == 1
-    ball = F.when(odd, F.array(*(F.lit(v) for v in (0, *(1 << i for i in range(SEGMENT_BITS)))))).otherwise(F.array(F.lit(0)))
-    probes = table.withColumn("flip", F.explode(ball)).select("seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"),
-                                                              F.col("fp").alias("p"), F.col("class").alias("p_class"))
-    t = table.select("seg", "value", F.col("fp").alias("t"), F.col("class").alias("t_class"))
-    apart = F.bit_count(F.col("t").bitwiseXOR(F.col("p")))
-    met = t.hint("merge").join(probes, [t.seg == probes.seg, t.value == probes.value, F.col("t_class") != F.col("p_class"), apart <= WIDE_DISTANCE])
+    around = F.concat("segments", "segments")
+    after = [F.get(around, F.col("seg") + k).cast("long") for k in (1, 2, 3)]
+    # 64 of their 72 bits: the third is shifted out of the long in part.
+    bits = after[0].bitwiseOR(F.shiftleft(after[1], SEGMENT_BITS)).bitwiseOR(F.shiftleft(after[2], 2 * SEGMENT_BITS))
+    spread_ = (prints.select("fp", "segments", F.posexplode("segments").alias("seg", "value")).select("fp", "seg", "value", bits.alias("more"))
+               .distinct().join(classes, "fp"))
+    return written(spread_.groupBy("seg", "value", "class").agg(F.min("fp").alias("fp"), F.min_by("more", "fp").alias("more")), "segments")
+
+
+def _closest(met: DataFrame) -> DataFrame:
+    """a, b and the closest fingerprints a_fp, b_fp of each pair of classes in t, t_class, t_more, p, p_class, p_more."""
     swap = F.col("t_class") > F.col("p_class")
-    pair = F.struct(apart.alias("apart"), F.when(swap, F.col("p")).otherwise(F.col("t")).alias("a_fp"), F.when(swap, F.col("t")).otherwise(F.col("p")).alias("b_fp"))
+    pair = F.struct(_apart().alias("apart"), F.when(swap, F.col("p")).otherwise(F.col("t")).alias("a_fp"), F.when(swap, F.col("t")).otherwise(F.col("p")).alias("b_fp"))
     return (met.select(F.least("t_class", "p_class").alias("a"), F.greatest("t_class", "p_class").alias("b"), pair.alias("pair"))
             .groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.a_fp", "pair.b_fp"))
 
 
-def near_classes(prints: DataFrame) -> DataFrame:
-    """fp and class of every fingerprint: near copies by fingerprint, joined where their shingles agree.
+def _apart():
+    return F.bit_count(F.col("t").bitwiseXOR(F.col("p"))) + F.bit_count(F.col("t_more").bitwiseXOR(F.col("p_more")))
 
-    1. Fingerprints within three bits are one class, as in ``near_duplicates``.
-    2. Classes are looked up again by wider signatures: ``SEGMENTS`` further segments,
-       within one bit of each, and fingerprints within ``WIDE_DISTANCE`` bits.  A pair is
-       a link when its 5-word shingles have a similarity of at least ``SIMILAR``.
+
+def _star_pairs(table: DataFrame) -> DataFrame:
+    """Candidate pairs of each class with the two ends (least and greatest fingerprint) of each of its buckets."""
+    ends = (table.groupBy("seg", "value").agg(F.min(F.struct("fp", "class", "more")).alias("least"), F.max(F.struct("fp", "class", "more")).alias("most"))
+            .where(F.col("least") != F.col("most")).select("seg", "value", F.explode(F.array("least", "most")).alias("end"))
+            .select("seg", "value", F.col("end.fp").alias("p"), F.col("end.class").alias("p_class"), F.col("end.more").alias("p_more")))
+    t = table.select("seg", "value", F.col("fp").alias("t"), F.col("class").alias("t_class"), F.col("more").alias("t_more"))
+    return _closest(t.hint("merge").join(ends, ["seg", "value"]).where((F.col("t_class") != F.col("p_class")) & (_apart() <= WIDE_DISTANCE)))
+
+
+def _wide_pairs(table: DataFrame) -> DataFrame:
+    """Candidate pairs of classes, each with its closest fingerprints that met in a segment.
+
+    One-bit neighbours have different parity, so only odd values look up their ball.
     """
-    distinct = written(prints.select("fp").distinct(), "distinct")
-    close = distinct.join(components(near_pairs(distinct)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"))
-    classes = written(close, "classes")
-    pairs = written(_wide_pairs(prints, classes), "wide-pairs")
+    odd = F.bit_count("value") % 2 == 1
+    ball = F.when(odd, F.array(*(F.lit(v) for v in (0, *(1 << i for i in range(SEGMENT_BITS)))))).otherwise(F.array(F.lit(0)))
+    probes = table.withColumn("flip", F.explode(ball)).select("seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), (F.col("flip") == 0).alias("exact"),
+                                                              F.col("fp").alias("p"), F.col("class").alias("p_class"), F.col("more").alias("p_more"))
+    t = table.select("seg", "value", F.col("fp").alias("t"), F.col("class").alias("t_class"), F.col("more").alias("t_more"))
+    # Equal values look each other up from both sides: one side is enough.
+    once = F.when(F.col("exact"), F.col("t_class") < F.col("p_class")).otherwise(F.col("t_class") != F.col("p_class"))
+    return _closest(t.hint("merge").join(probes, [t.seg == probes.seg, t.value == probes.value, once, _apart() <= WIDE_DISTANCE]))
+
+
+def _similar(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) whose 5-word shingles agree."""
     asked = pairs.select(F.col("a_fp").alias("fp")).union(pairs.select(F.col("b_fp").alias("fp"))).distinct()
     sketches = written(prints.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")
     sided = (pairs.join(sketches.select(F.col("fp").alias("a_fp"), F.col("sketch").alias("a_sketch")), "a_fp")
@@ -234,9 +254,30 @@ def near_classes(prints: DataFrame) -> DataFrame:
             if similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILAR:
                 yield a, b
 
-    links = sided.mapInArrow(arrow_rows(rows, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
-    joined = components(links).select(F.col("node").alias("class"), "component")
-    return classes.join(joined, "class", "left").select("fp", F.coalesce("component", "class").alias("class"))
+    return sided.mapInArrow(arrow_rows(rows, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
+
+
+def near_classes(prints: DataFrame) -> DataFrame:
+    """fp and class of every fingerprint: near copies by fingerprint, joined where their shingles agree.
+
+    1. Fingerprints within three bits are one class, as in ``near_duplicates``.
+    2. Classes are looked up again by wider signatures: ``SEGMENTS`` further segments,
+       within one bit of each; 128 bits, the fingerprint and those of the segments after
+       it, may differ in ``WIDE_DISTANCE``.  A pair is a link when its 5-word shingles have a similarity of at least ``SIMILAR``.
+
+    Before the whole look-up, classes meet only the two ends of their buckets: a large
+    group of near copies becomes few classes by pairs linear in its size, and the look-up
+    has one entry of each class in a bucket.  Texts of one bucket that are not similar
+    (one common passage in each) still meet pair by pair.
+    """
+    distinct = written(prints.select("fp").distinct(), "distinct")
+    close = distinct.join(components(near_pairs(distinct)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"))
+    classes = written(close, "classes")
+    for candidates in (_star_pairs, _wide_pairs):
+        pairs = written(candidates(_buckets(prints, classes)), "wide-pairs")
+        joined = components(_similar(pairs, prints)).select(F.col("node").alias("class"), "component")
+        classes = written(classes.join(joined, "class", "left").select("fp", F.coalesce("component", "class").alias("class")), "classes")
+    return classes
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

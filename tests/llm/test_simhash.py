@@ -119,6 +119,16 @@ def five(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def meet(x, y):
+    """Whether two signatures share a segment but for a bit, and 128 bits (fingerprint, next three segments) are close."""
+    def more(segments, i):
+        a, b, c = (segments[(i + k) % len(segments)] for k in (1, 2, 3))
+        return (a | b << 24 | c << 48) % 2**64
+
+    return any((s ^ t).bit_count() <= 1 and (x[0] ^ y[0]).bit_count() + (more(x[1], i) ^ more(y[1], i)).bit_count() <= simhash.WIDE_DISTANCE
+               for i, (s, t) in enumerate(zip(x[1], y[1], strict=True)))
+
+
 def brute_keep(rows):
     """Rows that stay: one of each group, row by row.  ``rows`` have doc_id and text; returns their (doc_id, text).
 
@@ -137,9 +147,8 @@ def brute_keep(rows):
     for i, a in enumerate(texts):
         for b in texts[:i]:
             apart = (found[a][0] ^ found[b][0]).bit_count()
-            meet = any((x ^ y).bit_count() <= 1 for x, y in zip(found[a][1], found[b][1]))
             both = shingles[a] | shingles[b]
-            if apart <= 3 or apart <= simhash.WIDE_DISTANCE and meet and len(shingles[a] & shingles[b]) >= 0.8 * len(both):
+            if apart <= 3 or meet(found[a], found[b]) and len(shingles[a] & shingles[b]) >= 0.8 * len(both):
                 root[find(a)] = find(b)
 
     def order(r):
