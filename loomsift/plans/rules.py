@@ -100,14 +100,56 @@ def cloud_rule(argv: Column) -> Column:
             .when(all_of("apim", "list"), "api"))
 
 
+def pattern_literals(pattern: Column) -> Column:
+    """Distinct three-letter pieces that every match of a pattern contains; empty where none is sure.
+
+    Patterns with groups, classes, escapes, alternatives or counts give none.
+    """
+    gap = F.lit("\n")
+    p = F.regexp_replace(pattern, "[^+][*?]", "\n")
+    p = F.regexp_replace(F.regexp_replace(p, "\\+", "\n"), "[.^$]", "\n")
+    pieces = F.filter(F.split(p, gap), lambda x: F.length(x) >= 3)
+    cut = F.flatten(F.transform(pieces, _trigrams))
+    return F.when(F.rlike(pattern, F.lit("[|()\\[\\]{}\\\\\n]|[*?+][*?+]")), F.array().cast("array<string>")).otherwise(F.array_distinct(cut))
+
+
+def _trigrams(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substr(text, k, F.lit(3)))
+
+
+def _pattern_hits(names: DataFrame, patterns: DataFrame, constants: int) -> DataFrame:
+    """Names (``_n``, distinct) that match one of many patterns (``_p``, distinct).
+
+    A pattern meets only names that contain its rarest literal piece of three letters;
+    one with a piece that no name has meets none.  Patterns without such a piece
+    have nothing to be looked up by: up to ``constants`` of them are a filter, more meet
+    all names.
+    """
+    from loomsift.operators.jsonops import allowed
+
+    grams = names.where(F.length("_n") >= 3).select("_n", F.explode(F.array_distinct(_trigrams(F.col("_n")))).alias("_g"))
+    counts = grams.groupBy("_g").agg(F.count("*").alias("_c"))
+    keyed = patterns.withColumn("_l", pattern_literals(F.col("_p")))
+    wanted = keyed.where(F.size("_l") > 0).select("_p", F.explode("_l").alias("_g")).join(counts, "_g", "left")
+    rarest = wanted.groupBy("_p").agg(F.min_by("_g", F.coalesce("_c", F.lit(0))).alias("_g"))
+    met = grams.join(rarest, (grams["_g"] == rarest["_g"]) & F.expr("_n RLIKE _p"), "left_semi").select("_n")
+    loose = keyed.where(F.size("_l") == 0).select("_p")
+    rows = loose.limit(constants + 1).collect()
+    if len(rows) > constants:
+        met = met.union(names.join(loose, F.expr("_n RLIKE _p"), "left_semi"))
+    elif rows:
+        met = met.union(names.where(allowed(F.col("_n"), sorted(r[0] for r in rows))))
+    return met.distinct()
+
+
 def pattern_semi_anti(names: DataFrame, column: str, include: DataFrame | None = None,
                       exclude: DataFrame | None = None, pattern: str = "pattern",
                       constants: int = 1000) -> DataFrame:
     """Rows that match any include pattern and no exclude pattern of a table.
 
     A table of at most ``constants`` patterns becomes constants of the filter.  A longer
-    one is matched against the distinct names by a semi or anti join; either way the
-    rows are the same, and an empty include table keeps none.
+    one is matched against the distinct names through pieces of three letters; either way
+    the rows are the same, and an empty include table keeps none.
     """
     from loomsift.operators.jsonops import allowed
 
@@ -124,6 +166,6 @@ def pattern_semi_anti(names: DataFrame, column: str, include: DataFrame | None =
             else:
                 out = out.where(allowed(F.col(column), (), found))
         else:
-            hits = out.select(F.col(column).alias("_n")).distinct().join(some, F.expr("_n RLIKE _p"), "left_semi")
+            hits = _pattern_hits(out.select(F.col(column).alias("_n")).where("_n IS NOT NULL").distinct(), some, constants)
             out = out.join(hits, F.col(column) == F.col("_n"), "left_semi" if keep else "left_anti")
     return out

@@ -13,13 +13,15 @@ LEDGER_SCHEMA = "t timestamp, cmd string, raw bigint, out bigint"
 
 
 def read_captures(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Captured outputs; escape codes are removed at the door."""
+    """Captured outputs; invalid bytes are repaired and escape codes removed at the door."""
     reader = spark.read.schema(CAPTURE_SCHEMA) if format == "json" else spark.read
     return clean_captures(reader.format(format).load(path))
 
 
 def clean_captures(captures: DataFrame) -> DataFrame:
-    return captures.withColumn("raw", T.strip_ansi(F.coalesce("raw", F.lit(""))))
+    """Undecodable bytes become the replacement character; ``raw`` may be binary or text."""
+    text = F.make_valid_utf8(F.col("raw").cast("string"))
+    return captures.withColumn("raw", T.strip_ansi(F.coalesce(text, F.lit(""))))
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -337,6 +337,24 @@ def test_sources_and_sinks(spark, captured):
     assert {r.raw for r in readers.read_captures(spark, raw).collect()} == {r[3] for r in capture_rows()}
 
 
+def test_a_repeated_run_leaves_each_row_once(spark, captured):
+    done = captures.compact_captures(captured).cache()
+    ledger, tee, out = (shared_dir(spark, n) for n in ("l", "t", "o"))
+    for run, rows in (("a", done), ("b", done.where("code <> 0")), ("a", done)):
+        writers.append_ledger(rows, ledger, run)
+        writers.write_tee(rows, tee, "always", run)
+        writers.write_compact(rows, out, run)
+    n = done.count() + done.where("code <> 0").count()
+    assert readers.read_ledger(spark, ledger).count() == spark.read.parquet(tee).count() == spark.read.parquet(out).count() == n
+    with pytest.raises(ValueError):
+        writers.append_ledger(done, ledger, "a/b")
+
+
+def test_invalid_bytes_are_repaired_at_the_door(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok \xff\x1b[1mbold")), (2, None)], "capture_id int, raw binary")
+    assert [r.raw for r in readers.clean_captures(df).orderBy("capture_id").collect()] == ["ok \ufffdbold", ""]
+
+
 def test_ledger_skips_bad_lines(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"t":1,"cmd":"a","raw":10,"out":4}\nbroken\n{"t":2,"cmd":"b","raw":5,"out":5}\n')
     assert {r.cmd for r in readers.read_ledger(spark, str(tmp_path)).collect()} == {"a", "b"}

@@ -204,6 +204,27 @@ def test_pattern_tables_of_any_length(spark):
         assert rules.pattern_semi_anti(names, "name", inc.limit(0), constants=constants).count() == 0
 
 
+def test_literals_of_patterns(spark):
+    rows = [("^aws.web$", ["aws", "web"]), ("abcd+e", ["abc", "bcd"]), ("abcd?", ["abc"]), ("ab.*cd", []), ("abc|d", []), ("abc\\.d", []),
+            ("(?i)abc", []), ("abc{2}", []), ("abc++d", []), ("x*abc", ["abc"]), ("", []), (".+?abc", [])]
+    df = spark.createDataFrame(rows, "p string, want array<string>").select("p", "want", rules.pattern_literals(F.col("p")).alias("got"))
+    assert not [r for r in df.collect() if r.got != r.want]
+
+
+def test_many_patterns_meet_names_through_their_literals(spark):
+    import re
+
+    names = [f"{a}-{b}.{i}" for i in range(20) for a in ("aws", "gcp", "ab") for b in ("web", "db", "cache")] + ["", "ab"]
+    patterns = ["^aws-web", "cache.1$", "gc?p-d", "zzz", "aws-zzz", "b.3$", "(db|xx).7", "web+.5", "^ab$", "d*b.11"]
+    df, table = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    hit = {n for n in names if any(re.search(p, n) for p in patterns)}
+    assert {r.name for r in rules.pattern_semi_anti(df, "name", table, constants=0).collect()} == hit
+    assert {r.name for r in rules.pattern_semi_anti(df, "name", None, table, constants=0).collect()} == set(names) - hit
+    few = rules.pattern_semi_anti(df, "name", table, constants=len(patterns) - 1)
+    assert {r.name for r in few.collect()} == hit
+    assert "NestedLoop" not in few._jdf.queryExecution().toString() and "Cartesian" not in few._jdf.queryExecution().toString()
+
+
 def test_snapshot_changes_of_long_texts_take_seconds(spark):
     a = "\n".join(f"line {i}" for i in range(100_000))
     b = "\n".join(f"line {i}" for i in range(1, 100_001))
