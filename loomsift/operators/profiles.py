@@ -81,8 +81,8 @@ def series_summary(series: DataFrame, by: Sequence[str], epoch: str = "epoch",
 def training_curve(text: Column) -> Column:
     """Summary struct of one training log, null for fewer than two epochs.
 
-    (epochs, metrics: array of (metric, first, last), best_metric, best_epoch,
-    best_value, since_best, plateau)
+    (epochs, metrics: array of (metric, first, last) of every metric, best_metric,
+    best_epoch, best_value, since_best, plateau)
     """
     def build(epochs: Column) -> Column:
         def value_in(e: Column, metric: Column) -> Column:
@@ -96,8 +96,8 @@ def training_curve(text: Column) -> Column:
         order = F.array(*[F.lit(m) for m in P.METRIC_ORDER])
 
         def with_metrics(names: Column) -> Column:
-            chosen = F.slice(F.concat(F.filter(order, lambda m: F.array_contains(names, m)),
-                                      F.filter(names, lambda m: ~F.array_contains(order, m))), 1, 4)
+            chosen = F.concat(F.filter(order, lambda m: F.array_contains(names, m)),
+                              F.filter(names, lambda m: ~F.array_contains(order, m)))
             ranges = F.transform(chosen, lambda m: let(series(m), lambda s: F.struct(
                 m.alias("metric"), F.get(s, F.lit(0))["v"].alias("first"),
                 F.get(s, F.size(s) - 1)["v"].alias("last"))))
@@ -132,7 +132,7 @@ def compact_training(text: Column) -> Column:
         return F.regexp_replace(F.format_string("%.3e", v).cast("double").cast("string"), r"\.0$", "")
 
     def render(c: Column) -> Column:
-        ranges = F.array_join(F.transform(c["metrics"], lambda m: F.concat(
+        ranges = F.array_join(F.transform(F.slice(c["metrics"], 1, P.METRICS_SHOWN), lambda m: F.concat(
             m["metric"], F.lit(" "), num(m["first"]), F.lit("->"), num(m["last"]))), ", ")
         best = F.concat(F.lit("\nBest: epoch "), c["best_epoch"].cast("string"), F.lit(" "), c["best_metric"],
                         F.lit("="), num(c["best_value"]),

@@ -112,6 +112,7 @@ EPOCH_LINE = r"(?im)^\s*epoch[\s:=]"
 METRIC = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
 METRIC_SKIP = ("epoch", "eta", "step", "steps", "batch", "lr")
 METRIC_ORDER = ("loss", "val_loss", "accuracy", "acc", "val_accuracy", "val_acc")
+METRICS_SHOWN = 4
 BEST_METRIC_ORDER = (("val_loss", "min"), ("val_accuracy", "max"),
                      ("val_acc", "max"), ("accuracy", "max"), ("acc", "max"),
                      ("loss", "min"))

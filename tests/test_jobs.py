@@ -101,6 +101,9 @@ def test_training(spark, apply):
     plain = "\n".join(f"it {i} train_loss={10 - i}" for i in range(6))
     assert apply(profiles.training_curve, plain).metrics[0].last == 5.0
     assert apply(profiles.training_curve, "nothing here") is None
+    many = "\n".join(f"Epoch {i}/2 f1: 1 auc: 2 loss: {3 - i} mse: 4 acc: 5 r2: 6" for i in (1, 2))
+    assert [m.metric for m in apply(profiles.training_curve, many).metrics] == ["loss", "acc", "f1", "auc", "mse", "r2"]
+    assert apply(profiles.compact_training, many).startswith("Training 2 epochs (loss 2->1, acc 5->5, f1 1->1, auc 2->2)")
     twice = spark.createDataFrame([(1, "Epoch 1/2\nloss: 3\nloss: 2 acc: 1\nEpoch 2/2\nloss: 1")], "id int, raw string")
     facts = {(r.epoch, r.metric, r.value) for r in profiles.training_facts(twice, ["id"]).collect()}
     assert facts == {(1, "loss", 2.0), (1, "acc", 1.0), (2, "loss", 1.0)}
