@@ -1,11 +1,12 @@
 """Ordered operators on *line tables*: one row per line, keyed by a stream.
 
 A stream may hold a large share of all rows, so none of these operators puts a
-whole stream into one window partition.  The caller names a ``chunk``: a column
-that is non-decreasing along the order of a stream and cuts it into pieces that
-fit a task (a time bucket, ``n div 65536``).  Windows run inside (stream,
-chunk); what crosses a chunk border travels in per-chunk summaries, which are
-smaller by the chunk size.
+whole stream into one window partition.  Windows run inside (stream, chunk); what
+crosses a chunk border travels in per-chunk summaries, which are smaller by the
+chunk size.  A ``chunk`` is a column that is non-decreasing along the order of a
+stream and cuts it into pieces that fit a task (a time bucket, ``n div 65536``).
+Where the caller has none (``chunk=None``), ``range_chunks`` cuts pieces of at
+most 65,536 lines, whatever the streams look like.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from loomsift import patterns as P
 from loomsift.functions import linearrays as A
 from loomsift.functions.text import split_lines, strip
+from loomsift.session import shared_dir
 
 CHUNK_LINES = 65536
 
@@ -38,7 +40,28 @@ def require_keys(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
                              for c in columns})
 
 
-def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],
+def range_chunks(lines: DataFrame, stream: Sequence[str], order: Sequence[str],
+                 name: str = "chunk", size: int = CHUNK_LINES) -> DataFrame:
+    """The lines with a ``chunk`` of at most ``size`` lines that rises along every stream.
+
+    Lines are dealt and sorted by (stream, order) ranges, so one stream with most of the
+    lines is spread over all tasks; each range is then cut by row count.  Where equal
+    orders end up is free, so the result is written to the shared folder once: all later
+    branches, and tasks that are run again, see the same chunks.
+    """
+    ranged = require_keys(lines, stream).repartitionByRange(*stream, *order).sortWithinPartitions(*stream, *order)
+    path = shared_dir(lines.sparkSession, "line-chunks")
+    cut = ranged.withColumn(name, F.expr(f"monotonically_increasing_id() div {size}"))
+    cut.write.parquet(path)
+    return lines.sparkSession.read.schema(cut.schema).parquet(path)
+
+
+def _chunked(lines: DataFrame, stream: Sequence[str], chunk: str | None, order: Sequence[str]) -> tuple[DataFrame, str]:
+    """The lines and the name of their chunk column, cut here if the caller has none."""
+    return (lines, chunk) if chunk else (range_chunks(lines, stream, order, "_cut"), "_cut")
+
+
+def islands(lines: DataFrame, stream: Sequence[str], chunk: str | None, order: Sequence[str],
             line: str = "line", key: Column | None = None,
             merge_blank: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Runs of consecutive equal lines (or equal ``key``) of every stream.
@@ -52,9 +75,11 @@ def islands(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence
     partition per stream; all others stay with their chunk.
     """
     stream, order = list(stream), list(order)
-    rows = lines.select(*stream, F.col(chunk).alias("_chunk"), *order,
+    rows = lines.select(*stream, *([F.col(chunk).alias("_chunk")] if chunk else []), *order,
                         *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(line).alias("line"),
                         (key if key is not None else F.col(line)).alias("key"))
+    if not chunk:
+        rows = range_chunks(rows, stream, order, "_chunk")
     inside = Window.partitionBy(*stream, "_chunk").orderBy(*order)
     new = ~F.col("key").eqNullSafe(F.lag("key").over(inside)) | F.lag(F.lit(1)).over(inside).isNull()
     if not merge_blank:
@@ -87,7 +112,7 @@ def count_mark(line: Column, n: Column, suffix: str = "") -> Column:
     return F.concat(line, A.times(n, suffix))
 
 
-def dedup_consecutive(lines: DataFrame, stream: Sequence[str], chunk: str,
+def dedup_consecutive(lines: DataFrame, stream: Sequence[str], chunk: str | None,
                       order: Sequence[str], line: str = "line",
                       strip_pattern: str | None = None) -> DataFrame:
     """Runs as ``line  (xN)``; ``strip_pattern`` is removed before comparing."""
@@ -97,7 +122,7 @@ def dedup_consecutive(lines: DataFrame, stream: Sequence[str], chunk: str,
                        .otherwise(F.col("line")).alias("line"), "n")
 
 
-def smart_dedup(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],
+def smart_dedup(lines: DataFrame, stream: Sequence[str], chunk: str | None, order: Sequence[str],
                 key: Column, line: str = "line",
                 min_total: int = P.SMART_DEDUP_MIN_TOTAL) -> DataFrame:
     """Runs of equal ``key``; keys that come back keep only their first line.
@@ -144,27 +169,31 @@ def chunk_prefix(lines: DataFrame, stream: Sequence[str], chunk: str,
     return lines.join(carried, [*stream, chunk])
 
 
-def number_lines(lines: DataFrame, stream: Sequence[str], chunk: str,
+def number_lines(lines: DataFrame, stream: Sequence[str], chunk: str | None,
                  order: Sequence[str], name: str = "n") -> DataFrame:
     """1-based position of every line in its stream."""
+    lines, chunk, given = *_chunked(lines, stream, chunk, order), chunk
     out = chunk_prefix(lines, stream, chunk, {"_count": F.count("*")}, {"_before": F.sum("_count")})
     inside = Window.partitionBy(*stream, chunk).orderBy(*order)
     return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.row_number().over(inside)) \
-        .drop("_before")
+        .drop("_before", *([] if given else [chunk]))
 
 
-def block_id(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],
+def block_id(lines: DataFrame, stream: Sequence[str], chunk: str | None, order: Sequence[str],
              marker: Column, name: str = "block") -> DataFrame:
     """Number of marker lines up to and including each line."""
+    lines, chunk, given = *_chunked(lines, stream, chunk, order), chunk
     marks = F.count_if(marker)
     out = chunk_prefix(lines, stream, chunk, {"_marks": marks}, {"_before": F.sum("_marks")})
     inside = Window.partitionBy(*stream, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + marks.over(inside)).drop("_before")
+    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + marks.over(inside)) \
+        .drop("_before", *([] if given else [chunk]))
 
 
-def carry_forward(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],
+def carry_forward(lines: DataFrame, stream: Sequence[str], chunk: str | None, order: Sequence[str],
                   value: Column, name: str = "carried") -> DataFrame:
     """Last non-null ``value`` at or before each line (file, section, ...)."""
+    lines, chunk, given = *_chunked(lines, stream, chunk, order), chunk
     rows = lines.withColumn("_value", value)
     at = F.struct(*order)
     out = chunk_prefix(
@@ -173,10 +202,10 @@ def carry_forward(lines: DataFrame, stream: Sequence[str], chunk: str, order: Se
         {"_before": F.last("_last", ignorenulls=True)})
     inside = Window.partitionBy(*stream, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_before")) \
-        .drop("_value", "_before")
+        .drop("_value", "_before", *([] if given else [chunk]))
 
 
-def context_rows(lines: DataFrame, stream: Sequence[str], chunk: str, order: Sequence[str],
+def context_rows(lines: DataFrame, stream: Sequence[str], chunk: str | None, order: Sequence[str],
                  hit: Column, context: int = 1) -> DataFrame:
     """Lines with a hit among their ``context`` neighbours on either side.
 
@@ -185,6 +214,7 @@ def context_rows(lines: DataFrame, stream: Sequence[str], chunk: str, order: Seq
     seam partition per stream, where true positions decide who is near.
     """
     stream, order = list(stream), list(order)
+    lines, chunk, given = *_chunked(lines, stream, chunk, order), chunk
     rows = number_lines(lines.withColumn("_hit", F.when(hit, 1).otherwise(0)),
                         stream, chunk, order, "_pos")
     inside = Window.partitionBy(*stream, chunk)
@@ -198,7 +228,7 @@ def context_rows(lines: DataFrame, stream: Sequence[str], chunk: str, order: Seq
     seam = Window.partitionBy(*stream).orderBy("_pos").rangeBetween(-context, context)
     far = edges.withColumn("_near", F.greatest("_near", F.max("_hit").over(seam)))
     both = rows.where(~edge).unionByName(far)
-    return both.where(F.col("_near") == 1).drop("_hit", "_near", "_low", "_high", "_pos")
+    return both.where(F.col("_near") == 1).drop("_hit", "_near", "_low", "_high", "_pos", *([] if given else [chunk]))
 
 
 def first_occurrence(lines: DataFrame, stream: Sequence[str], order: Sequence[str],

@@ -144,6 +144,50 @@ def best_and_plateau(spark, d):
         "user_id", "epochs", "best", "best_epoch", "since_best", "plateau")
 
 
+# --- one stream holds every line, and nothing says where to cut it -----------
+
+HOST = Derived("events", ("'all' AS host", *EVLOG.exprs))
+_HOST = HOST.sql
+_WHOLE = "PARTITION BY host ORDER BY ts, event_id"
+
+
+@query("number_lines_one_stream", f"SELECT host, event_id, row_number() OVER ({_WHOLE}) AS n FROM {_HOST}")
+def number_lines_one_stream(spark, d):
+    return lines.number_lines(HOST.df(spark, d), ["host"], None, ORDER).select("host", "event_id", "n")
+
+
+@query("block_id_one_stream", f"""
+SELECT host, event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (
+  {_WHOLE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS block FROM {_HOST}""")
+def block_id_one_stream(spark, d):
+    return lines.block_id(HOST.df(spark, d), ["host"], None, ORDER, F.col("event_type") == "error") \
+        .select("host", "event_id", "block")
+
+
+@query("carry_forward_one_stream", f"""
+SELECT host, event_id, last_value(CASE WHEN event_type = 'signup' THEN 'file_' || event_id END IGNORE NULLS) OVER (
+  {_WHOLE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file FROM {_HOST}""")
+def carry_forward_one_stream(spark, d):
+    mark = F.when(F.col("event_type") == "signup", F.concat(F.lit("file_"), F.col("event_id").cast("string")))
+    return lines.carry_forward(HOST.df(spark, d), ["host"], None, ORDER, mark, "file").select("host", "event_id", "file")
+
+
+@query("context_rows_one_stream", f"""
+SELECT host, event_id FROM (SELECT *, max(CASE WHEN event_type = 'purchase' AND value > 60 THEN 1 ELSE 0 END) OVER (
+  {_WHOLE} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM {_HOST}) WHERE near = 1""")
+def context_rows_one_stream(spark, d):
+    hit = (F.col("event_type") == "purchase") & (F.col("value") > 60)
+    return lines.context_rows(HOST.df(spark, d), ["host"], None, ORDER, hit, 3).select("host", "event_id")
+
+
+@query("islands_one_stream", f"""
+SELECT host, e.event_id, k AS key, CAST(c AS BIGINT) AS n FROM {B.islands(_HOST, 'host', 'ts, event_id', 'event_type')}
+JOIN (SELECT *, row_number() OVER ({_WHOLE}) AS n FROM {_HOST}) e USING (host) WHERE e.n = pos""")
+def islands_one_stream(spark, d):
+    return lines.islands(HOST.df(spark, d), ["host"], None, ORDER, "line", F.col("event_type")) \
+        .select("host", "event_id", "key", "n")
+
+
 # --- versions and the session cache ------------------------------------------
 
 @query("content_version", f"""

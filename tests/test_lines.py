@@ -94,6 +94,42 @@ def test_carry_block_number(log):
             assert carried[s, r[2]] == last and blocks[s, r[2]] == count and numbers[s, r[2]] == i + 1
 
 
+@pytest.mark.parametrize("size", [1, 7, 250, 65536])
+def test_chunks_cut_here(log, monkeypatch, size):
+    """Without a chunk column the operators cut their own, of any size, with the same answers."""
+    df, by = log
+    df = df.drop("chunk")
+    cut = L.range_chunks
+    chunks = cut(df, ["s"], ["n"], size=size).groupBy("s", "chunk").agg(F.count("*").alias("c"), F.min("n").alias("a"), F.max("n").alias("b"))
+    spans = sorted((r.s, r.chunk, r.a, r.b, r.c) for r in chunks.collect())
+    assert max(r[4] for r in spans) <= size and sum(r[4] for r in spans) == sum(map(len, by.values()))
+    assert all(x[0] != y[0] or x[3] < y[2] for x, y in zip(spans, spans[1:]))
+    monkeypatch.setattr(L, "range_chunks", lambda *a, **k: cut(*a, **k, size=size))
+    numbers = L.number_lines(df, ["s"], None, ["n"], "pos")
+    assert numbers.columns == [*df.columns, "pos"]
+    got = {(r.s, r.n): r.pos for r in numbers.collect()}
+    carried = {(r.s, r.n): r.carried for r in L.carry_forward(df, ["s"], None, ["n"], F.when(F.col("line") == "b", F.col("n"))).collect()}
+    blocks = {(r.s, r.n): r.block for r in L.block_id(df, ["s"], None, ["n"], F.col("line") == "b").collect()}
+    near = {(r.s, r.n) for r in L.context_rows(df, ["s"], None, ["n"], F.col("line") == "error x", 2).collect()}
+    runs = {(r.s, r.at, r.line, r.n) for r in L.islands(df.withColumnRenamed("n", "at"), ["s"], None, ["at"]).collect()}
+    for s, rows in by.items():
+        last, count = None, 0
+        for i, r in enumerate(rows):
+            if r[3] == "b":
+                last, count = r[2], count + 1
+            assert (carried[s, r[2]], blocks[s, r[2]], got[s, r[2]]) == (last, count, i + 1)
+    assert near == {(s, rows[j][2]) for s, rows in by.items() for i, r in enumerate(rows) if r[3] == "error x"
+                    for j in range(max(0, i - 2), min(len(rows), i + 3))}
+    assert runs == {(s, *r) for s, rows in by.items() for r in runs_of(rows)}
+
+
+def test_chunks_of_an_empty_table_and_null_keys(spark):
+    none = spark.createDataFrame([], "s string, n int, line string")
+    assert L.number_lines(none, ["s"], None, ["n"], "pos").collect() == []
+    with pytest.raises(Exception, match="null in key column s"):
+        L.number_lines(spark.createDataFrame([(None, 1)], "s string, n int"), ["s"], None, ["n"], "pos").collect()
+
+
 @pytest.mark.parametrize("limit", [1, 2, 30, 40, 129, 130, 131])
 def test_head_tail(log, limit):
     df, by = log
