@@ -136,6 +136,12 @@ def path_rollup(files: DataFrame, path: str = "path", shown: int = 20) -> DataFr
     return head.unionByName(sub).unionByName(first)
 
 
+def listing(rollup: DataFrame) -> DataFrame:
+    """The rows of ``path_rollup`` in reading order: summary, directories by name, files by name."""
+    place = F.when(F.col("kind") == "summary", 0).when(F.col("kind") == "dir", 1).otherwise(2)
+    return rollup.orderBy("dir", place, "name")
+
+
 def fold_prefix(paths: DataFrame, group: Sequence[str], path: str = "path") -> DataFrame:
     """Shared directory prefix of each group of paths ('' when there is none).
 

@@ -24,15 +24,26 @@ def clean_captures(captures: DataFrame) -> DataFrame:
     return captures.withColumn("raw", T.strip_ansi(F.coalesce(text, F.lit(""))))
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file: ``path``, ``text`` and ``error``.
+#: Largest file that becomes one row; ``read_lines`` reads files of any size in splits.
+WHOLE_FILE_BYTES = 256 << 20
 
-    Undecodable bytes become the replacement character.
+
+def read_documents(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """One row per file that is not empty: ``path``, ``text`` and ``error``.
+
+    Undecodable bytes become the replacement character.  No bad file fails the job or
+    vanishes: the listing has every file (but empty ones, which Spark scans skip), and one without content has a null ``text`` and
+    an ``error``, ``too large`` beyond ``max_bytes`` (its content is not read, see
+    ``read_lines``), else ``unreadable``.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).load(path))
-    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-                      F.when(F.col("content").isNull(), "unreadable").alias("error"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+             .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path))
+    listed = files.select("path", "length")
+    # The bound on the length reaches the scan, which then does not open larger files.
+    texts = files.where(F.col("length") <= max_bytes).select(
+        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return listed.join(texts, "path", "left").select(
+        "path", "text", F.when(F.col("text").isNull(), F.when(F.col("length") > max_bytes, "too large").otherwise("unreadable")).alias("error"))
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*", limit: int | None = None,

@@ -387,6 +387,27 @@ def test_files(spark, tmp_path):
     assert files.view_file(table, 2).where("path LIKE '%core.py'").first().compact.startswith("import os\n... [4 lines omitted] ...")
 
 
+def test_bad_files_keep_their_row(spark, tmp_path):
+    """An unreadable, an invalid and a large file: a row for each, and no failure; an empty one has none."""
+    (tmp_path / "fine.txt").write_text("fine")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "invalid.txt").write_bytes(b"a\xffb")
+    (tmp_path / "large.txt").write_text("x" * 5000)
+    (tmp_path / "torn.txt").write_text("torn")
+    # A checksum file that does not fit makes the local file system refuse the read.
+    (tmp_path / ".torn.txt.crc").write_bytes(b"crc\x00" + (512).to_bytes(4, "big") + b"\x00" * 4)
+    rows = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in readers.read_documents(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert rows == {"fine.txt": ("fine", None), "invalid.txt": ("a\ufffdb", None),
+                    "large.txt": (None, "too large"), "torn.txt": (None, "unreadable")}
+
+
+def test_listing_shows_directories_first(spark):
+    paths = [("b.txt",), ("a.txt",), ("z/one.py",), ("m/two.py",), ("m/three.py",)]
+    rows = findings.listing(findings.path_rollup(spark.createDataFrame(paths, "path string"))).collect()
+    assert [(r.kind, r.name) for r in rows if r.dir == "."] == [("summary", ""), ("dir", "m"), ("dir", "z"), ("file", "a.txt"), ("file", "b.txt")]
+    assert [(r.kind, r.name) for r in rows if r.dir == "m"] == [("summary", ""), ("file", "three.py"), ("file", "two.py")]
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, None if i % 3 == 0 else 1.0, "x") for i in range(30)], "id int, price double, name string")
     got = {r.column: (r.nulls, r.flag) for r in profiles.null_profile(df).collect()}
