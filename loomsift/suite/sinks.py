@@ -174,8 +174,10 @@ def session_cache_captures(spark, d):
 # --- streams -----------------------------------------------------------------
 
 def _stream(spark, d, table: str):
+    """A given table as a stream, be it one file or a folder of files."""
     schema = read(spark, d, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    # A plain path must be a folder; a glob, here of this one name, may meet either.
+    return spark.readStream.schema(schema).parquet(f"{d}/{table}.parque[t]")
 
 
 def _run(df, spark, name: str, mode: str = "append"):

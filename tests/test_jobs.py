@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomsift import suite
 from loomsift.functions import text as T
 from loomsift.operators import corpus, files, findings, jsonops, profiles, runs
 from loomsift.plans import captures, rules, shapes
@@ -429,3 +430,14 @@ def test_token_meter(spark):
 def test_cluster_tags(spark):
     docs = spark.createDataFrame([(1, json.dumps({"name": "c", "tags": {"env": "x", "team": "y"}})), (2, '{"name":"d"}')], "id int, text string")
     assert {r.id: r.tags for r in jsonops.cluster_rows(docs, ["id"]).collect()} == {1: {"env": "x", "team": "y"}, 2: None}
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_read_files_and_folders(spark, tmp_path, parts):
+    rows = spark.createDataFrame([(i, f"line {i}\nline {i}") for i in range(9)], "doc_id bigint, text string")
+    if parts:
+        rows.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    out = {r.doc_id: r.compact for r in suite.queries()["stream_compact"](spark, str(tmp_path)).collect()}
+    assert out == {i: f"line {i}  (x2)" for i in range(9)}
