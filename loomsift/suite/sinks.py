@@ -150,7 +150,8 @@ FROM (SELECT *, chr(27) || '[1m' || raw || chr(27) || '[0m' AS t FROM {RUNS.sql}
 def read_captures(spark, d):
     path = shared_dir(spark, "captures")
     raw = F.concat(F.lit("\x1b[1m"), "raw", F.lit("\x1b[0m"))
-    _results(spark, d).withColumn("raw", raw).select("capture_id", "argv", "code", "raw", "ts").write.json(path)
+    RUNS.df(spark, d).select("capture_id", F.array(F.lit("make"), F.col("kind")).alias("argv"), "code", raw.alias("raw"),
+                             F.lit("2024-03-01 10:00:00").cast("timestamp").alias("ts")).write.json(path)
     return readers.read_captures(spark, path, "json").select("capture_id", "code", F.length("raw").alias("chars"))
 
 

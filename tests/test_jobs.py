@@ -11,6 +11,7 @@ from loomsift.operators import corpus, files, findings, jsonops, profiles, runs
 from loomsift.plans import captures, rules, shapes
 from loomsift.session import shared_dir
 from loomsift.sources import readers, writers
+from loomsift.suite.runs import RUNS
 
 DIFF = """diff --git a/app.py b/app.py
 index 1..2 100644
@@ -441,3 +442,12 @@ def test_streams_read_files_and_folders(spark, tmp_path, parts):
         rows.toPandas().to_parquet(tmp_path / "documents.parquet")
     out = {r.doc_id: r.compact for r in suite.queries()["stream_compact"](spark, str(tmp_path)).collect()}
     assert out == {i: f"line {i}  (x2)" for i in range(9)}
+
+
+def test_read_captures_reads_every_run_of_its_table(spark, tmp_path):
+    orders = [(1, 4, "O", "1-URGENT"), (2, 6, "F", "2-HIGH"), (3, 7, "P", "3-MEDIUM")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    want = {r.capture_id: (r.code, len(r.raw)) for r in RUNS.df(spark, str(tmp_path)).collect()}
+    got = suite.queries()["read_captures"](spark, str(tmp_path)).collect()
+    assert len(got) == 3 and {r.capture_id: (r.code, r.chars) for r in got} == want
