@@ -16,11 +16,20 @@ from loomsift.functions.text import let
 
 def _line_metrics(line: Column) -> Column:
     """(metric, value) pairs of one log line, in order."""
-    names = F.regexp_extract_all(line, F.lit(P.METRIC), 1)
-    values = F.regexp_extract_all(line, F.lit(P.METRIC), 2)
-    pairs = F.zip_with(names, values, lambda n, v: F.struct(
-        F.lower(n).alias("metric"), v.try_cast("double").alias("value")))
-    return F.filter(pairs, lambda p: ~p["metric"].isin(*P.METRIC_SKIP) & p["value"].isNotNull())
+    def side(m: Column, i: int) -> Column:
+        return F.when(F.contains(m, F.lit("=")), F.substring_index(m, "=", i)).otherwise(F.substring_index(m, ":", i))
+
+    # The line is searched once; a match is cut apart without another search of the line.
+    named = F.transform(F.regexp_extract_all(line, F.lit(P.METRIC_ONCE), F.lit(0)), lambda m: F.struct(
+        F.lower(F.rtrim(side(m, 1), F.lit(P.WHITESPACE))).alias("metric"), m.alias("m")))
+    pairs = F.transform(F.filter(named, lambda p: ~p["metric"].isin(*P.METRIC_SKIP)), lambda p: F.struct(
+        p["metric"].alias("metric"), side(p["m"], -1).try_cast("double").alias("value")))
+    return F.filter(pairs, lambda p: p["value"].isNotNull())
+
+
+def _is_mark(line: Column) -> Column:
+    # Byte searches settle most lines, here and in ``training_epochs``.
+    return F.contains(line, F.lit("/")) & line.rlike(P.EPOCH_MARK)
 
 
 def training_epochs(text: Column) -> Column:
@@ -32,16 +41,30 @@ def training_epochs(text: Column) -> Column:
     pair = "array<struct<metric:string,value:double>>"
 
     def build(lines: Column) -> Column:
-        marked = F.transform(
-            A.segments(lines, lambda x: x.rlike(P.EPOCH_MARK)),
-            lambda s: F.flatten(F.transform(
-                F.concat(F.when(s["head"].isNull(), F.array().cast("array<string>")).otherwise(F.array(s["head"])),
-                         s["body"]), _line_metrics)))
-        per_line = F.filter(F.transform(lines, _line_metrics),
-                            lambda m: F.exists(m, lambda p: F.contains(p["metric"], F.lit("loss"))))
-        epochs = F.when(F.exists(lines, lambda x: x.rlike(P.EPOCH_MARK)), marked).otherwise(per_line)
-        return F.filter(epochs, lambda e: F.size(e) > 0).cast(f"array<{pair}>")
-    return let(T.split_lines(text), build)
+        def from_lines(rows: Column) -> Column:
+            def cut(heads: Column) -> Column:
+                def between(start: Column, end: Column) -> Column:
+                    return F.flatten(F.slice(rows, start + 1, end - start))
+                # What stands before the first mark counts too.
+                first = between(F.lit(0), F.get(heads, F.lit(0)))
+                rest = F.transform(heads, lambda h, j: between(h, F.coalesce(F.get(heads, j + 1), F.size(rows))))
+                per_line = F.filter(rows, lambda m: F.exists(m, lambda p: F.contains(p["metric"], F.lit("loss"))))
+                return F.filter(F.when(F.size(heads) > 0, F.concat(F.array(first), rest)).otherwise(per_line),
+                                lambda e: F.size(e) > 0)
+            return let(F.filter(A.positions(lines), lambda i: _is_mark(F.get(lines, i))), cut)
+        none = F.array().cast(pair)
+        return let(F.transform(lines, lambda x: F.when(
+            F.contains(x, F.lit(":")) | F.contains(x, F.lit("=")), _line_metrics(x)).otherwise(none)), from_lines)
+    return let(T.split_lines(text), build).cast(f"array<{pair}>")
+
+
+def _last_values(pairs: Column) -> Column:
+    """Of every metric of an epoch the last value."""
+    def pick(names: Column) -> Column:
+        # One pass for each of the few metric names.
+        return F.when(F.size(names) == F.size(pairs), pairs).otherwise(F.transform(names, lambda m: F.element_at(
+            F.filter(pairs, lambda p: p["metric"] == m), -1)))
+    return let(F.array_distinct(F.transform(pairs, lambda p: p["metric"])), pick)
 
 
 def training_facts(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> DataFrame:
@@ -50,13 +73,29 @@ def training_facts(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> D
     When a metric is logged several times in an epoch the last value counts.
     """
     e = runs.select(*keys, F.posexplode(training_epochs(F.col(text))).alias("epoch", "pairs"))
+    return e.select(*keys, (F.col("epoch") + 1).cast("bigint").alias("epoch"), F.inline(_last_values(F.col("pairs"))))
 
-    def last_values(pairs: Column) -> Column:
-        # One pass for each of the few metric names.
-        return F.transform(F.array_distinct(F.transform(pairs, lambda p: p["metric"])), lambda m: F.element_at(
-            F.filter(pairs, lambda p: p["metric"] == m), -1))
 
-    return e.select(*keys, (F.col("epoch") + 1).cast("bigint").alias("epoch"), F.inline(last_values(F.col("pairs"))))
+def training_series(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> DataFrame:
+    """One row per run and metric: ``series_summary`` of its ``training_facts``.
+
+    A run holds its whole series, so every summary is made in its row, without an exchange.
+    """
+    entries = F.flatten(F.transform(training_epochs(F.col(text)), lambda e, i: F.transform(_last_values(e), lambda p: F.struct(
+        p["metric"].alias("k"), (i + 1).cast("bigint").alias("at"), p["value"].alias("v")))))
+
+    def summary(g: Column) -> Column:
+        rows = g["members"]
+        best = F.array_min(F.transform(rows, lambda r: F.struct(r["v"].alias("v"), r["at"].alias("e"))))
+
+        def with_best(b: Column) -> Column:
+            n, end = F.size(rows).cast("bigint"), F.element_at(rows, -1)
+            since = end["at"] - b["e"]
+            return F.struct(g["k"].alias("metric"), n.alias("epochs"), F.element_at(rows, 1)["v"].alias("first"), end["v"].alias("last"),
+                            b["v"].alias("best"), b["e"].alias("best_epoch"), since.alias("since_best"),
+                            (since >= F.greatest(F.lit(5), F.floor(n / 10))).alias("plateau"))
+        return let(best, with_best)
+    return runs.select(*keys, F.inline(F.transform(A.grouped(entries), summary)))
 
 
 def series_summary(series: DataFrame, by: Sequence[str], epoch: str = "epoch",
@@ -84,7 +123,7 @@ def training_curve(text: Column) -> Column:
     (epochs, metrics: array of (metric, first, last) of every metric, best_metric,
     best_epoch, best_value, since_best, plateau)
     """
-    def build(epochs: Column) -> Column:
+    def build(text: Column, epochs: Column) -> Column:
         def value_in(e: Column, metric: Column) -> Column:
             return F.try_element_at(F.filter(e, lambda p: p["metric"] == metric), F.lit(-1))["value"]
 
@@ -101,8 +140,7 @@ def training_curve(text: Column) -> Column:
             ranges = F.transform(chosen, lambda m: let(series(m), lambda s: F.struct(
                 m.alias("metric"), F.get(s, F.lit(0))["v"].alias("first"),
                 F.get(s, F.size(s) - 1)["v"].alias("last"))))
-            totals = F.transform(F.filter(T.split_lines(text), lambda x: x.rlike(P.EPOCH_MARK)),
-                                 lambda x: F.regexp_extract(x, P.EPOCH_MARK, 2).try_cast("int"))
+            totals = F.transform(F.filter(T.split_lines(text), _is_mark), lambda x: F.regexp_extract(x, P.EPOCH_MARK, 2).try_cast("int"))
             n = F.coalesce(F.nullif(F.array_max(totals), F.lit(0)), F.size(epochs))
 
             def best_of(metric: str, better: str) -> Column:
@@ -123,7 +161,7 @@ def training_curve(text: Column) -> Column:
                                 (since >= F.greatest(F.lit(5), F.floor(n / 10))).alias("plateau"))
             return let(best, lambda b: let(n, lambda total: with_best(b, total)))
         return F.when(F.size(epochs) >= 2, let(seen, with_metrics))
-    return let(training_epochs(text), build)
+    return let(text, lambda t: let(training_epochs(t), lambda epochs: build(t, epochs)))
 
 
 def compact_training(text: Column) -> Column:

@@ -110,6 +110,9 @@ FRAME_FILE = r"(?m)^\s+File \".+\", line \d+"
 EPOCH_MARK = r"(?i)\bEpoch\s+(\d+)\s*/\s*(\d+)"
 EPOCH_LINE = r"(?im)^\s*epoch[\s:=]"
 METRIC = r"([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
+# The matches of METRIC: a name begins where no letter stands before it (the leftmost
+# match begins there anyway) and nothing is tried twice.
+METRIC_ONCE = r"(?<![A-Za-z_])[A-Za-z_][A-Za-z0-9_]*+\s*+[:=]\s*+[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 METRIC_SKIP = ("epoch", "eta", "step", "steps", "batch", "lr")
 METRIC_ORDER = ("loss", "val_loss", "accuracy", "acc", "val_accuracy", "val_acc")
 METRICS_SHOWN = 4

@@ -52,10 +52,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, deal: int = 1) -> DataFrame:
     """Give every core a share of a scan that has fewer splits than cores.
 
-    A table large enough to fill the cluster is returned as it is.
+    A larger table is left as it is, or dealt over ``deal`` tasks for each split: a split of
+    narrow rows from which long texts are built may be millions of texts, long for one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits < cores:
+        return df.repartition(cores)
+    return df.repartition(deal * splits) if deal > 1 else df

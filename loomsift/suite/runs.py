@@ -202,7 +202,7 @@ def training_facts(spark, d):
 SELECT capture_id, metric, epochs, first, last, best, best_epoch, epochs - best_epoch AS since_best,
   epochs - best_epoch >= 5 AS plateau FROM {_SERIES}""")
 def training_series(spark, d):
-    return profiles.series_summary(profiles.training_facts(TRAINING.df(spark, d), ["capture_id"]), ["capture_id", "metric"])
+    return profiles.training_series(TRAINING.df(spark, d), ["capture_id"])
 
 
 @query("training_summary", f"""

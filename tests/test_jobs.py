@@ -1,15 +1,17 @@
 """Jobs over captures, payloads, reports and files."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomsift import patterns as P
 from loomsift import suite
 from loomsift.functions import text as T
 from loomsift.operators import corpus, files, findings, jsonops, profiles, runs
 from loomsift.plans import captures, rules, shapes
-from loomsift.session import shared_dir
+from loomsift.session import shared_dir, spread
 from loomsift.sources import readers, writers
 from loomsift.suite.runs import RUNS
 
@@ -451,3 +453,32 @@ def test_read_captures_reads_every_run_of_its_table(spark, tmp_path):
     want = {r.capture_id: (r.code, len(r.raw)) for r in RUNS.df(spark, str(tmp_path)).collect()}
     got = suite.queries()["read_captures"](spark, str(tmp_path)).collect()
     assert len(got) == 3 and {r.capture_id: (r.code, r.chars) for r in got} == want
+
+
+def test_training_series_in_the_row(spark):
+    """Odd logs against a plain reading, and no exchange below the summaries."""
+    logs = ["loss: 9 Epoch 1/3 - Loss = 0.5 loss:0.25\nval_loss\t:\t1e-1 x1loss: 2 3acc=.5\nlr: 1\nEPOCH 2 / 3\nloss:\n0.7\nloss: 1e999 a: 1e5b: 2\nEpoch 3/3\n",
+            "acc: 1\nloss=2 acc=3\nnone\nmy_loss: +4 eta: 3 loss: 2", "", "a/b", "loss: 1", "épochs 1/2\nEpoch 1/2\néloss: 3\nEpoch 2/2 Epoch 9/9 loss: 3"]
+    want = {}
+    for key, log in enumerate(logs):
+        lines = log.split("\n")
+        marks = [i for i, x in enumerate(lines) if re.search(P.EPOCH_MARK, x)]
+        pieces = [lines[a:b] for a, b in zip([0, *marks], [*marks, len(lines)])] if marks else [[x] for x in lines]
+        epochs = [[(n.lower(), float(v)) for x in piece for n, v in re.findall(P.METRIC, x, re.A) if n.lower() not in P.METRIC_SKIP] for piece in pieces]
+        epochs = [e for e in epochs if e and (marks or any("loss" in n for n, _ in e))]
+        for metric in {n for e in epochs for n, _ in e}:
+            s = [(i, dict(e)[metric]) for i, e in enumerate(epochs, 1) if metric in dict(e)]
+            best, at = min((v, i) for i, v in s)
+            want[key, metric] = (len(s), s[0][1], s[-1][1], best, at, s[-1][0] - at, s[-1][0] - at >= max(5, len(s) // 10))
+    df = spark.createDataFrame(list(enumerate(logs)), "id int, raw string")
+    out = profiles.training_series(df, ["id"])
+    assert {(r.id, r.metric): tuple(r)[2:] for r in out.collect()} == want
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    from_facts = profiles.series_summary(profiles.training_facts(df, ["id"]), ["id", "metric"])
+    assert {(r.id, r.metric): tuple(r)[2:] for r in from_facts.collect()} == want
+
+
+def test_large_tables_of_narrow_rows_are_dealt_finer(spark):
+    df = spark.range(1000).repartition(4)
+    assert [spread(df, deal).rdd.getNumPartitions() for deal in (1, 8)] == [4, 32]
+    assert spread(spark.range(10).coalesce(1), 8).rdd.getNumPartitions() == 4
