@@ -94,35 +94,40 @@ def test_report(text: Column) -> Column:
     ``shorts`` are the ``FAILED`` / ``ERROR`` summary lines, ``blocks`` the
     failing tests with at most six assertion or location lines.
     """
-    def is_section(x: Column) -> Column:
+    def is_short(x: Column) -> Column:
         s = T.strip(x)
-        return F.startswith(s, F.lit("=")) & s.rlike(P.TEST_SECTION)
+        return (F.contains(x, F.lit("FAILED ")) | F.contains(x, F.lit("ERROR "))) & (F.startswith(s, F.lit("FAILED ")) | F.startswith(s, F.lit("ERROR ")))
+
+    def is_section(x: Column) -> Column:
+        # Byte searches settle most lines, here and below.
+        return F.contains(x, F.lit("=")) & let(T.strip(x), lambda s: F.startswith(s, F.lit("=")) & s.rlike(P.TEST_SECTION))
 
     def section_name(head: Column) -> Column:
         return F.regexp_extract(T.strip(head), P.TEST_SECTION, 1)
 
-    def is_short(x: Column) -> Column:
-        s = T.strip(x)
-        return F.startswith(s, F.lit("FAILED ")) | F.startswith(s, F.lit("ERROR "))
-
     def is_block(x: Column) -> Column:
-        return T.strip(x).rlike(P.TEST_BLOCK)
+        return F.contains(x, F.lit("___")) & T.strip(x).rlike(P.TEST_BLOCK)
 
     def is_detail(x: Column) -> Column:
         return (F.startswith(x, F.lit("E ")) | F.startswith(x, F.lit("E\t"))
-                | T.strip(x).rlike(P.TEST_LOCATION))
+                | (F.contains(x, F.lit(":")) & T.strip(x).rlike(P.TEST_LOCATION)))
 
     def build(lines: Column) -> Column:
         def from_sections(secs: Column) -> Column:
-            named = F.filter(F.transform(secs, lambda s: section_name(F.coalesce(s["head"], F.lit("")))),
-                             lambda n: n.rlike("(?i)(failed|passed|error|skipped)") & F.contains(n, F.lit(" in ")))
-            plain = F.filter(F.transform(lines, lambda x: T.strip(x)),
+            named = F.filter(F.transform(secs, lambda s: F.struct(section_name(F.coalesce(s["head"], F.lit(""))).alias("name"), s["body"].alias("body"))),
+                             lambda s: s["name"] != "")
+            return let(named, from_named)
+
+        def from_named(named: Column) -> Column:
+            ended = F.transform(F.filter(named, lambda s: F.contains(s["name"], F.lit(" in ")) & s["name"].rlike("(?i)(failed|passed|error|skipped)")),
+                                lambda s: s["name"])
+            plain = F.filter(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(" in "))), lambda x: T.strip(x)),
                              lambda s: s.rlike(r"^\d+\s+(failed|passed|error)") & F.contains(s, F.lit(" in ")))
-            summary = F.coalesce(F.get(named, F.size(named) - 1), F.get(plain, F.size(plain) - 1), F.lit(""))
+            summary = F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("string")), ended), -1),
+                                 F.element_at(F.concat(F.array(F.lit(None).cast("string")), plain), -1), F.lit(""))
             shorts = F.transform(F.filter(lines, lambda x: is_short(x) & ~is_section(x)),
                                  lambda x: T.clip_line(T.strip(x)))
-            failing = F.filter(secs, lambda s: section_name(F.coalesce(s["head"], F.lit("")))
-                               .isin("FAILURES", "ERRORS"))
+            failing = F.filter(named, lambda s: s["name"].isin("FAILURES", "ERRORS"))
             blocks = F.flatten(F.transform(failing, lambda s: F.filter(
                 A.segments(F.filter(s["body"], lambda x: ~is_short(x)), is_block),
                 lambda b: b["head"].isNotNull())))
@@ -154,25 +159,26 @@ def test_failures(runs: DataFrame, keys: Sequence[str], text: str = "raw") -> Da
     """One row per failing test of every run: summary line and details.
 
     Summary lines and blocks meet on the test name, the k-th line of a name
-    with its k-th block; either side may be missing.
+    with its k-th block; either side may be missing.  They stand in one row, so they
+    meet there, without an exchange.
     """
-    keys = list(keys)
-    rep = runs.select(*keys, test_report(F.col(text)).alias("r"))
     empty = F.lit(None).cast("string")
-    entries = F.concat(
-        F.transform("r.shorts", lambda x, i: F.struct(
-            _short_name(x).alias("test"), i.alias("pos"), x.alias("short"), empty.alias("details"))),
-        F.transform("r.blocks", lambda b, i: F.struct(
-            _base_name(b["name"]).alias("test"), i.alias("pos"), empty.alias("short"),
-            T.join_lines(b["details"]).alias("details"))))
-    rows = rep.select(*keys, F.inline(entries))
-    side = F.col("short").isNull()
-    # One exchange serves both the numbering and the grouping.
-    rows = rows.repartition(*keys, "test").withColumn("occurrence", F.row_number().over(
-        Window.partitionBy(*keys, "test", side).orderBy("pos")))
-    return rows.groupBy(*keys, "test", "occurrence").agg(
-        F.max("short").alias("short"), F.max("details").alias("details")) \
-        .withColumn("occurrence", F.col("occurrence").cast("bigint"))
+
+    def build(r: Column) -> Column:
+        entries = F.concat(
+            F.transform(r["shorts"], lambda x, i: F.struct(
+                _short_name(x).alias("k"), i.alias("at"), x.alias("short"), empty.alias("details"))),
+            F.transform(r["blocks"], lambda b, i: F.struct(
+                _base_name(b["name"]).alias("k"), i.alias("at"), empty.alias("short"), T.join_lines(b["details"]).alias("details"))))
+
+        def paired(g: Column) -> Column:
+            shorts, blocks = (F.filter(g["members"], lambda m: m[side].isNotNull()) for side in ("short", "details"))
+            pairs = let(shorts, lambda s: let(blocks, lambda b: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(s), F.size(b)) - 1),
+                lambda i: F.struct((i + 1).cast("bigint").alias("occurrence"), F.get(s, i)["short"].alias("short"), F.get(b, i)["details"].alias("details")))))
+            return F.transform(pairs, lambda p: F.struct(g["k"].alias("test"), p["occurrence"].alias("occurrence"), p["short"].alias("short"), p["details"].alias("details")))
+        return F.flatten(F.transform(A.grouped(entries), paired))
+    return runs.select(*keys, F.inline(let(test_report(F.col(text)), build)))
 
 
 def flaky_tests(failures: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -482,3 +482,15 @@ def test_large_tables_of_narrow_rows_are_dealt_finer(spark):
     df = spark.range(1000).repartition(4)
     assert [spread(df, deal).rdd.getNumPartitions() for deal in (1, 8)] == [4, 32]
     assert spread(spark.range(10).coalesce(1), 8).rdd.getNumPartitions() == 4
+
+
+def test_failures_meet_in_the_row(spark):
+    rows = [(1, PYTEST), (2, "===== FAILURES =====\n__ no __\n____ A.t[x] ____\nE  one\n____ B.t ____\nE  two\n____ u ____\n===== short =====\n"
+             "FAILED a.py::t[x] - m\nERROR a.py::v\nFAILED a.py::t - m\nFAILED a.py::t - n"), (3, "nothing"), (4, "")]
+    out = runs.test_failures(spark.createDataFrame(rows, "id int, raw string"), ["id"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.test, r.occurrence): (r.short, r.details) for r in out.collect()}
+    assert {k: v for k, v in got.items() if k[0] != 1} == {
+        (2, "t", 1): ("FAILED a.py::t[x] - m", "E  one"), (2, "t", 2): ("FAILED a.py::t - m", "E  two"),
+        (2, "t", 3): ("FAILED a.py::t - n", None), (2, "u", 1): (None, ""), (2, "v", 1): ("ERROR a.py::v", None)}
+    assert {k[1:] for k in got if k[0] == 1} == {("test_one", 1), ("test_two", 1)} and dict(out.dtypes)["occurrence"] == "bigint"
