@@ -145,8 +145,12 @@ def corpus_profile(profile: DataFrame, key: str) -> DataFrame:
 
 
 def json_compact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key`` and the ``path=sample`` lines of every row that holds a JSON document."""
-    return docs.select(key, compact_json(F.col(text))["compact"].alias("compact")).where(F.col("compact").isNotNull())
+    """``key`` and the ``path=sample`` lines of every row that holds a JSON document.
+
+    A filter on the lines would be moved down to the scan and open every document there a
+    second time, on as many cores as the scan has splits; a generator stays where it is.
+    """
+    return docs.select(key, F.explode(F.filter(F.array(compact_json(F.col(text))["compact"]), lambda c: c.isNotNull())).alias("compact"))
 
 
 def secret_keys(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -494,3 +494,10 @@ def test_failures_meet_in_the_row(spark):
         (2, "t", 1): ("FAILED a.py::t[x] - m", "E  one"), (2, "t", 2): ("FAILED a.py::t - m", "E  two"),
         (2, "t", 3): ("FAILED a.py::t - n", None), (2, "u", 1): (None, ""), (2, "v", 1): ("ERROR a.py::v", None)}
     assert {k[1:] for k in got if k[0] == 1} == {("test_one", 1), ("test_two", 1)} and dict(out.dtypes)["occurrence"] == "bigint"
+
+
+def test_a_document_is_opened_once(spark):
+    docs = spark.createDataFrame([(1, '{"a": [1]}'), (2, "no"), (3, None), (4, "{}")], "id int, text string").repartition(3)
+    out = jsonops.json_compact(docs, "id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.id: r.compact for r in out.collect()} == {1: "$.a=(1 items)\n$.a[]=1", 4: "$={}"}
