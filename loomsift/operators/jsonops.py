@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift import patterns as P
 from loomsift.functions.text import is_secret_key, let, strip, strip_bom
+from loomsift.session import shared_dir
 
 
 def parse_json(text: Column) -> Column:
@@ -30,6 +33,8 @@ ROWS = "array<struct<path:string,type:string,sample:string,n_items:bigint,redact
 class _Number(str):
     """A number as it is written."""
 
+    __slots__ = ()
+
 
 def _opened(text: str, mask: bool) -> list[tuple] | None:
     """Rows of one text (see ``json_rows``), numbers as written; null when it is not JSON."""
@@ -41,10 +46,13 @@ def _opened(text: str, mask: bool) -> list[tuple] | None:
         return [("$", "deeper", "{...}", None, False)]
     except ValueError:
         return None
-    secret = re.compile(P.SECRET_KEY).search if mask else lambda key: None
+    return _walked("$", root, False, 0, re.compile(P.SECRET_KEY).search if mask else lambda key: None)
+
+
+def _walked(start: str, root: object, masked: bool, depth: int, secret: Callable) -> list[tuple]:
+    """Rows of a parsed value that stands ``depth`` levels deep."""
     rows: list[tuple] = []
-    level: list[tuple] = [("$", root, False)]
-    depth = 0
+    level: list[tuple] = [(start, root, masked)]
     while level:
         below: list[tuple] = []
         for path, value, hidden in level:
@@ -109,19 +117,27 @@ def json_rows(text: Column, mask: bool = True) -> Column:
     a row of type ``deeper`` and not shown; of a text nested deeper than the parser goes
     that row is the only one.
     """
-    def shown(r: Column) -> Column:
-        # Numbers as the engine writes them, one small value at a time.
-        number = F.coalesce(F.try_parse_json(r["sample"]).cast("string"), r["sample"])
-        return F.struct(r["path"].alias("path"), r["type"].alias("type"), F.when(r["type"] == "number", number).otherwise(r["sample"]).alias("sample"),
-                        r["n_items"].alias("n_items"), r["redacted"].alias("redacted"))
-    return F.transform(_opener(mask)(text), shown)
+    return F.transform(_opener(mask)(text), _shown)
+
+
+def _shown(r: Column) -> Column:
+    # Numbers as the engine writes them, one small value at a time.
+    number = F.coalesce(F.try_parse_json(r["sample"]).cast("string"), r["sample"])
+    return F.struct(r["path"].alias("path"), r["type"].alias("type"), F.when(r["type"] == "number", number).otherwise(r["sample"]).alias("sample"),
+                    r["n_items"].alias("n_items"), r["redacted"].alias("redacted"))
+
+
+def _has_line(r: Column) -> Column:
+    return r["sample"].isNotNull() | r["n_items"].isNotNull() | (r["type"] == "null")
+
+
+def _line(r: Column) -> Column:
+    return F.concat(r["path"], F.lit("="), F.coalesce(r["sample"], F.concat(F.lit("("), r["n_items"].cast("string"), F.lit(" items)")), F.lit("null")))
 
 
 def json_lines(rows: Column) -> Column:
     """Ordered ``path=sample`` lines of the rows of a document; objects show through their members."""
-    shown = F.filter(rows, lambda r: r["sample"].isNotNull() | r["n_items"].isNotNull() | (r["type"] == "null"))
-    return F.array_join(F.array_sort(F.transform(shown, lambda r: F.concat(r["path"], F.lit("="), F.coalesce(
-        r["sample"], F.concat(F.lit("("), r["n_items"].cast("string"), F.lit(" items)")), F.lit("null"))))), "\n")
+    return F.array_join(F.array_sort(F.transform(F.filter(rows, _has_line), _line)), "\n")
 
 
 def compact_json(text: Column, mask: bool = True) -> Column:
@@ -130,6 +146,91 @@ def compact_json(text: Column, mask: bool = True) -> Column:
         json_lines(rows).alias("compact"), F.exists(rows, lambda r: r["redacted"]).alias("redacted"))))
 
 
+def _members(text: str) -> Iterator[tuple[str, object]]:
+    """Top-level members of the text of an object, one at a time; of a repeated key the last.
+
+    A first pass keeps eight bytes a member, to know repeated keys; nothing else is held.
+    """
+    decode = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_no_constant).raw_decode
+    gap = re.compile(r"[ \t\n\r]*").match
+
+    def scan() -> Iterator[tuple[str, object]]:
+        at = gap(text, gap(text).end() + 1).end()
+        more = text[at:at + 1] != "}"
+        while more:
+            if text[at:at + 1] != '"':
+                raise ValueError("a key is missing")
+            key, at = decode(text, at)
+            at = gap(text, at).end()
+            if text[at:at + 1] != ":":
+                raise ValueError("a value is missing")
+            value, at = decode(text, gap(text, at + 1).end())
+            yield key, value
+            at = gap(text, at).end()
+            more = text[at:at + 1] == ","
+            at = gap(text, at + 1).end() if more else at
+        if text[at:at + 1] != "}" or gap(text, at + 1).end() != len(text):
+            raise ValueError("the object does not end")
+
+    hashes = np.fromiter((hash(k) for k, _ in scan()), np.int64)
+    distinct, counts = np.unique(hashes, return_counts=True)
+    twice = set(distinct[counts > 1].tolist())
+    last = {k: i for i, (k, _) in enumerate(scan()) if hash(k) in twice} if twice else {}
+    return ((k, v) for i, (k, v) in enumerate(scan()) if last.get(k, i) == i)
+
+
+def _wide_rows(text: str) -> Iterator[tuple]:
+    """The rows of ``_opened`` in another order, member by member; none when the text is not JSON."""
+    text = text[len(next((b for b in P.BOMS if text.startswith(b)), "")):]
+    if text.lstrip(" \t\n\r")[:1] != "{":
+        yield from _opened(text, True) or []
+        return
+    secret = re.compile(P.SECRET_KEY).search
+    try:
+        members, empty = _members(text), True
+        for key, value in members:
+            empty = False
+            yield from _walked(f"$.{key}", value, bool(secret(key)), 1, secret)
+        yield "$", "object", "{}" if empty else None, None, False
+    except RecursionError:
+        yield "$", "deeper", "{...}", None, False
+    except ValueError:
+        return
+
+
+def json_compact_wide(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``json_compact`` for documents of millions of members: no task holds an opened document.
+
+    Texts are read member by member, the lines are written once to the shared folder, sorted by
+    ranges and put together range by range.  Only a document's text and result are whole, and a
+    row of Spark holds 2 GB at most.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0), batch.column(1)):
+                rows = iter(_wide_rows(body.as_py()))
+                while part := list(islice(rows, 50_000)):
+                    columns = list(zip(*part))
+                    strings = [pa.array(map(_utf8, c), pa.binary(), size=len(part)).cast(pa.string()) for c in columns[:3]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part), batch.schema.field(0).type), *strings, pa.array(columns[3], pa.int64()),
+                                                      pa.array(columns[4], pa.bool_())], names=["k", "path", "type", "sample", "n_items", "redacted"])
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(
+        opened, f"k {kind}, path string, type string, sample string, n_items bigint, redacted boolean")
+    row = F.struct("path", "type", "sample", "n_items", "redacted")
+    path = shared_dir(spark, "json-wide")
+    rows.select("k", _line(_shown(row)).alias("line"), _has_line(row).alias("shows")).write.parquet(path)
+    lines = spark.read.parquet(path)
+    parts = lines.where("shows").repartitionByRange("k", "line").withColumn("part", F.spark_partition_id()) \
+        .groupBy("k", "part").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("chunk"))
+    whole = parts.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk"))), lambda x: x["chunk"]), "\n").alias("compact"))
+    # A document whose rows show nothing has an empty text.
+    return lines.select("k").distinct().join(whole, "k", "left").select(F.col("k").alias(key), F.coalesce("compact", F.lit("")).alias("compact"))
+
+
 def json_profile(docs: DataFrame, keys: Sequence[str], text: str = "text", mask: bool = True) -> DataFrame:
     """Structure of every JSON document, one row per path (see ``json_rows``), next to ``keys``."""
     return docs.select(*keys, F.inline(json_rows(F.col(text), mask)))

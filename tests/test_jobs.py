@@ -2,6 +2,7 @@
 
 import json
 import re
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -501,3 +502,13 @@ def test_a_document_is_opened_once(spark):
     out = jsonops.json_compact(docs, "id")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert {r.id: r.compact for r in out.collect()} == {1: "$.a=(1 items)\n$.a[]=1", 4: "$={}"}
+
+
+def test_wide_documents_are_read_member_by_member(spark):
+    texts = ['{"b": {"x": 1.50, "token": "t"}, "a": [{"y": null}], "b": 2, "o1": {"z": 1}, "o10": "\\ud800", "o1.z": true}', "{}", " { } ", "[1, 2]", "no", "{", '{"a": 1} x',
+             '{"a": 1,}', '{"a" 1}', '{a: 1}', '{"a": NaN}', '{"password": {"x": 1}, "e": {}}', "﻿{\"a\": \"\"}", "3", "[]", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    want = {r.id: r.compact for r in jsonops.json_compact(docs, "id").collect()}
+    assert {r.id: r.compact for r in jsonops.json_compact_wide(docs, "id").collect()} == want and len(want) == 8
+    plain = jsonops._members('{"k": 1, "k": 2, "l": 3}')
+    assert isinstance(plain, types.GeneratorType) and list(plain) == [("k", "2"), ("l", "3")]
